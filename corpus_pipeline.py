@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wareloom.llm import decontamination, jaccard, packing
+from wareloom.llm import decontamination, jaccard, line_dedup, packing, quality
 from wareloom.llm.common import Scratch, table
 
 
+def reject_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; the classifier is fitted to the stage's own input."""
+    return quality.score_quality(docs).where("not rejected").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go, but for the earliest; a document that loses all its words goes too."""
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("n_exact") + F.col("n_near") > 0
+    out = out.where(~changed | (F.trim(F.translate("text", "\n", " ")) != ""))
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8 or more)."""
     return jaccard.keep_one(docs)
@@ -24,6 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", reject_junk),
+    ("line_dedup", drop_repeated_lines),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", cut_benchmark),
     ("packing", pack),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wareloom.llm.common import Scratch
-from wareloom.llm.tokens import END_ID, WordEncoder, default_tokenizer
+from wareloom.llm.tokens import END_ID, default_tokenizer, worker_encoder
 
 CAPACITY = 1024
 #: Bin completions that the search looks at before it settles for the best plan so far.
@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = (t or "" for t in batch.column("text").to_pylist())
@@ -270,7 +270,7 @@ def packed_ids(docs: DataFrame, placed: DataFrame, tokenizer: str | None = None,
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             ids = encoder.encode_all(t or "" for t in batch.column("text").to_pylist())
             cells = [[*np.frombuffer(x, dtype="<u4").astype(np.int32), end_id] for x in ids]

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import chat, decontamination, embeddings, jaccard, packing, token_store
+from wareloom.llm import (
+    chat,
+    decontamination,
+    embeddings,
+    html_text,
+    jaccard,
+    language_id,
+    line_dedup,
+    packing,
+    quality,
+    token_store,
+)
 from wareloom.llm.common import Scratch, table
 
 #: What the extra conversation of op1 says, twice.
@@ -23,10 +34,28 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.turn_events(turns.unionByName(probe))))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select(
+        "page_id", "text", F.char_length("text").cast("long").alias("n_chars"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "quality", "rejected", (~F.col("rejected")).alias("kept"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -41,6 +70,13 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs, language_id.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_overlap(docs, table(spark, sf_dir, "benchmark"))
@@ -55,10 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op2_html_extraction,
+        op3_line_dedup,
         op4_best_fit_packing,
+        op5_quality_classifier,
         op6_ngram_jaccard_join,
         op7_embedding_near_dedup,
         op8_token_id_output,
+        op9_language_id,
         op10_benchmark_decontamination,
     )
 }

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm.tokens import END_ID, WordEncoder, default_tokenizer
+from wareloom.llm.tokens import END_ID, default_tokenizer, worker_encoder
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
@@ -96,7 +96,7 @@ def write_store(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         keys: list = []

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 END_ID = 2
 #: Texts of one call into the tokenizer, in characters, and words remembered by a worker.
-SLICE_CHARS, REMEMBERED = 2_000_000, 400_000
+SLICE_CHARS, REMEMBERED = 2_000_000, 250_000
 
 
 def default_tokenizer() -> str:
@@ -53,10 +54,10 @@ class WordEncoder:
         if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
         words = [f"\n{t}".replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*words) - self.young.keys()
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        new -= self.old.keys()
+        new = [w for w in set().union(*words) if w not in self.young]
+        known = [w for w in new if w in self.old]
+        self.young.update((w, self.old[w]) for w in known)
+        new = [w for w in new if w not in self.old] if known else new
         plain = [w for w in new if self._plain(w)]
         self.young.update(dict.fromkeys(new))
         self.young.update(zip(plain, self.whole([w if w[0] == "\n" else f" {w}" for w in plain]), strict=True))
@@ -80,3 +81,9 @@ class WordEncoder:
                 part, size = [], 0
         if part:
             yield from self.encode(part)
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; tasks that follow one another find its words remembered."""
+    return WordEncoder(path)
