@@ -42,11 +42,12 @@ def _halves() -> Column:
 
 def _variants() -> Column:
     """(place, key): 0 and the whole line, then each place and the line without its word there."""
-    left = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("w")))
+    before = lambda i: F.call_function("substring_index", F.col("line"), F.lit(" "), i - 1)
+    after = lambda i: F.call_function("substring_index", F.col("line"), F.lit(" "), i - F.col("w"))
     whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("line").alias("key")))
     less = F.transform(
         F.sequence(F.lit(1), F.col("w")),
-        lambda i: F.struct(i.alias("place"), F.xxhash64(F.array_join(left(i), " ")).alias("key")),
+        lambda i: F.struct(i.alias("place"), F.xxhash64(F.trim(F.concat(before(i), F.lit(" "), after(i)))).alias("key")),
     )
     return F.concat(whole, less)
 
@@ -91,8 +92,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     near = scratch.write(lines.join(near, ["doc_id", "line_no", *own]).dropDuplicates(own), "near")
 
     # each variant's group: lines with one word replaced at a place, and the line that all of them extend
-    parts = near.withColumn("words", F.split("line", " ", -1))
-    parts = parts.select("doc_id", "line_no", "h1", "h2", "w", F.inline(_variants()))
+    parts = near.select("doc_id", "line_no", "h1", "h2", "w", F.inline(_variants()))
     parts = parts.withColumn("at", F.struct("doc_id", "line_no", "h1", "h2", "w"))
     # by size too: the whole line has as many words as the others have left
     parts = parts.withColumn("left", F.when(F.col("place") == 0, F.col("w")).otherwise(F.col("w") - 1))
