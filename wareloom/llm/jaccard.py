@@ -31,6 +31,8 @@ SHINGLE = 3
 KEPT_WHOLE = 64
 #: Shingles in more lists' prefixes than this are frequent and come last; the number is raised until they are few.
 FREQUENT, MOST_FREQUENT = 64, 500_000
+#: Lists of up to SHORT_LIST members pair them as rows; longer ones are compared in tiles of about TILE members.
+SHORT_LIST, TILE = 16, 256
 #: Partners of one document in one verification block, and bits of the filter on documents concerned.
 BLOCK, FILTER_BITS = 256, 1 << 24
 SLICE_BYTES = 2 << 20
@@ -257,6 +259,73 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, words: int, scratch: S
     return links
 
 
+def compare_crowds(docs: DataFrame, crowds: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link among the documents of each crowd; written.
+
+    ``crowds``: head, doc_id, component. The members of the head's component link already; the others are strangers.
+    Strangers are compared with each other and with the head's component, in pairs of tiles of bounded size: a tile
+    pair's common shingles are counted by products of 0-1 matrices, and only links leave the task.
+    """
+    heads = crowds.where("doc_id = head").select("head", F.col("component").alias("own"))
+    members = crowds.join(heads, "head").withColumn("stranger", F.col("component") != F.col("own"))
+    sizes = members.groupBy("head").agg(
+        F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"), F.ceil(F.count_if(~F.col("stranger")) / TILE).cast("int").alias("ta")
+    )
+    members = members.join(sizes.where("ts > 0"), "head").withColumn("h", F.xxhash64("doc_id"))
+    members = members.withColumn("tile", F.expr("cast(if(stranger, pmod(h, ts), ts + pmod(h, ta)) as int)"))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, if(stranger, ts + ta, ts) - 1)")))
+    tiles = members.select("head", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "tile")
+    tiles = scratch.write(tiles, "tiles")
+    ids = with_bit(tiles.select("doc_id").distinct())
+    sets = scratch.write(whole_sets(docs, ids, words).dropDuplicates(["doc_id"]), "sets")
+    num, den = rule.num, rule.den
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        group, keys, sides, sets = None, [], [], []
+
+        def links():
+            key, side, size = np.array(keys), np.array(sides), np.array([len(s) for s in sets])
+            _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            doc, often = np.repeat(np.arange(len(sets)), size), times > 1
+            column = (np.cumsum(often) - 1)[token]
+            doc, column = doc[often[token]], column[often[token]]
+            left = np.flatnonzero(side == group[1])
+            right = left if group[1] == group[2] else np.flatnonzero(side == group[2])
+            both = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(column, kind="stable")
+            doc, column = doc[order], column[order]
+            for start in range(0, int(often.sum()), 4096):
+                a, b = np.searchsorted(column, [start, start + 4096])
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[doc[a:b], column[a:b] - start] = 1
+                both += part[left] @ part[right].T
+            fits = both * den >= num * (size[left][:, None] + size[right][None, :] - both)
+            a, b = (key[x[k]] for x, k in zip((left, right), np.nonzero(fits)))
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            keep = low < high
+            return pa.RecordBatch.from_arrays([pa.array(low[keep], pa.int64()), pa.array(high[keep], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("head", "i", "j", "doc_id", "tile")]
+            for (head, i, j, doc, tile), grams in zip(zip(*columns, strict=True), _rows_of(batch.column("grams")), strict=True):
+                if group != (head, i, j):
+                    if len(keys) > 1:
+                        yield links()
+                    group, keys, sides, sets = (head, i, j), [], [], []
+                keys.append(doc)
+                sides.append(tile)
+                sets.append(grams.copy())
+        if len(keys) > 1:
+            yield links()
+
+    dealt = tiles.join(sets, "doc_id").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j")
+    found = scratch.write(dealt.mapInArrow(compare, "a long, b long").distinct(), "crowd-links")
+    scratch.drop(sets, tiles)
+    return found
+
+
 def light_boundary(sizes: dict[int, int], rule: Rule, members: float) -> int:
     """The largest size whose sets enumerate subsets more cheaply than they scan lists.
 
@@ -397,17 +466,20 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, similarity: tuple[
     links = verify(docs, star, rule, words, scratch)
     found = scratch.write(connected_components(links, scratch), "components")
 
-    sides = shared.select("key", "doc_id", "n", "pos").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    sides = shared.select("key", "doc_id", "n", "pos", F.col("y.doc_id").alias("head")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     sides = sides.withColumn("component", F.coalesce("component", "doc_id"))
     sides = sides.withColumn("c1", F.min("component").over(whole)).withColumn("c2", F.max("component").over(whole))
+    sides = sides.withColumn("members", F.count("*").over(whole))
     sides = scratch.write(sides.where("c1 < c2").drop("c1", "c2"), "apart")
-    x, y = sides.alias("x"), sides.alias("y")
+    small, large = sides.where(F.col("members") <= SHORT_LIST), sides.where(F.col("members") > SHORT_LIST)
+    x, y = small.alias("x"), small.alias("y")
     rest = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.component <> y.component and {fits}"))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    crowds = scratch.write(large.select("head", "doc_id", "component").distinct(), "crowds")
     scratch.drop(shared, sides)
-    more = verify(docs, rest, rule, words, scratch)
+    more = verify(docs, rest, rule, words, scratch).unionAll(compare_crowds(docs, crowds, rule, words, scratch))
     same = known.join(classes.where("members > 1"), own).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     found = connected_components(links.unionAll(more).unionAll(same), scratch)
     return (
