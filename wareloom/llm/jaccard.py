@@ -35,7 +35,7 @@ FREQUENT, MOST_FREQUENT = 64, 500_000
 SHORT_LIST, TILE = 16, 256
 #: Partners of one document in one verification block, and bits of the filter on documents concerned.
 BLOCK, FILTER_BITS = 256, 1 << 24
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SPACE = np.zeros(256, dtype=bool)
