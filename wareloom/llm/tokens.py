@@ -8,7 +8,7 @@ from functools import lru_cache
 
 END_ID = 2
 #: Texts of one call into the tokenizer, in characters, and words remembered by a worker.
-SLICE_CHARS, REMEMBERED = 2_000_000, 400_000
+SLICE_CHARS, REMEMBERED = 2_000_000, 120_000
 
 
 def default_tokenizer() -> str:
