@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql.window import Window
 
 from wareloom.functions import dims, urls, values
 from wareloom.operators import enrich, images, ledger, review
+from wareloom.sources import exports, links
+from wareloom.streaming import outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -455,3 +459,43 @@ def best_low_res(spark, sf_dir):
  select count(*)::bigint as pages, count(*) filter (do_upload)::bigint as uploads, count(*) filter (do_upload and tier1_passed)::bigint as violations from g""")
 def gate_violations(spark, sf_dir):
     return images.gate_check(images.judged(_shots(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- sources and streams
+
+
+@query(r"""with t as (select page_id, 'see ' || url || ', or (' || url || ').' as line from pages),
+ f as (select page_id, unnest(regexp_extract_all(line, 'https?://[^\s]+')) as raw, generate_subscripts(regexp_extract_all(line, 'https?://[^\s]+'), 1) - 1 as pos from t)
+ select page_id, 2::bigint as line_no, pos::bigint as pos, regexp_replace(raw, '[.,;:!?)]+$', '') as link from f""")
+def links_from_text(spark, sf_dir):
+    text = F.concat(F.lit("links:\n"), F.lit("see "), "url", F.lit(", or ("), "url", F.lit(").\n\nnone here"))
+    found = links.links_in_lines(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "page_id", "text")
+    return found.withColumns({"line_no": F.col("line_no").cast("long"), "pos": F.col("pos").cast("long")})
+
+
+@query("""select p_name as title, count(*)::bigint as n, sum(round(p_retailprice, 2))::double as price, sum(p_size * 1000)::bigint as weight_g,
+ sum(1)::bigint as images from part group by 1""")
+def export_records(spark, sf_dir):
+    aliases = {"title": ["title", "product name"], "price": ["price", "mrp"], "weight": ["weight", "item weight"], "images": ["image urls", "images"]}
+    sheet = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("Product Name"), F.concat(F.lit("Rs "), F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")).alias("Price (INR)"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" kg")).alias("Item Weight"), F.lit("https://a.example/1.jpg; no link").alias("Image URLs"), F.lit(1).alias("Stock"),
+    )
+    rows = exports.named(sheet, exports.map_columns(sheet.columns, aliases))
+    return rows.groupBy("title").agg(
+        F.count("*").alias("n"), F.sum(exports.number(F.col("price"))).alias("price"),
+        F.sum(exports.grams(F.col("weight"))).alias("weight_g"), F.sum(F.size(exports.image_links(F.col("images"))).cast("long")).alias("images"),
+    )
+
+
+@query("""with w as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events)
+ select user_id, event_id, event_type from w where r = 1""")
+def stream_latest_outcomes(spark, sf_dir):
+    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+    base = f"{root.rstrip('/')}/outcomes-{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    # a pattern, as the stream's reader takes a plain path for a folder
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    outcomes.write_outcomes(stream, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    latest = outcomes.latest_outcomes(spark, f"{base}/rows", source.schema, "user_id", ["ts", "event_id"])
+    return latest.select("user_id", "event_id", "event_type")
