@@ -185,7 +185,8 @@ _READERS: dict[str, Reader] = {}
 def train(examples: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_stretches: int = SAMPLE_STRETCHES) -> ByteGRU | None:
     """A network fitted on the driver to ``examples`` (doc_id, text, lang), or None without any.
 
-    It sees a bounded sample: of each language ``sample_docs`` documents, those of the smallest hash of doc_id and
+    It sees a bounded sample: of each language the first 4,000 characters of ``sample_docs`` documents (predictions read
+    whole texts), those of the smallest hash of doc_id and
     text, and ``sample_stretches`` stretches of them in all. Rows with a null text or lang teach nothing.
     """
     known = examples.where("text is not null and lang is not null")
