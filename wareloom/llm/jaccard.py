@@ -263,21 +263,21 @@ def compare_crowds(docs: DataFrame, crowds: DataFrame, rule: Rule, words: int, s
     """The pairs (a, b) that link among the documents of each crowd; written.
 
     ``crowds``: head, doc_id, component. The members of the head's component link already; the others are strangers.
-    Strangers are compared with each other and with the head's component, in pairs of tiles of bounded size: a tile
-    pair's common shingles are counted by products of 0-1 matrices, and only links leave the task.
+    Strangers are compared with each other and with the head's component, in pairs of tiles of bounded size (a crowd
+    of up to TILE members is one tile): a tile pair's common shingles are counted by products of 0-1 matrices, and
+    only links leave the task.
     """
     heads = crowds.where("doc_id = head").select("head", F.col("component").alias("own"))
     members = crowds.join(heads, "head").withColumn("stranger", F.col("component") != F.col("own"))
-    sizes = members.groupBy("head").agg(
-        F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"), F.ceil(F.count_if(~F.col("stranger")) / TILE).cast("int").alias("ta")
-    )
+    own = F.when(F.count("*") > TILE, F.ceil(F.count_if(~F.col("stranger")) / TILE)).otherwise(0)
+    sizes = members.groupBy("head").agg(F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"), own.cast("int").alias("ta"))
     members = members.join(sizes.where("ts > 0"), "head").withColumn("h", F.xxhash64("doc_id"))
-    members = members.withColumn("tile", F.expr("cast(if(stranger, pmod(h, ts), ts + pmod(h, ta)) as int)"))
+    members = members.withColumn("tile", F.expr("cast(case when stranger then pmod(h, ts) when ta > 0 then ts + pmod(h, ta) else 0 end as int)"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, if(stranger, ts + ta, ts) - 1)")))
     tiles = members.select("head", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "tile")
     tiles = scratch.write(tiles, "tiles")
     ids = with_bit(tiles.select("doc_id").distinct())
-    sets = scratch.write(whole_sets(docs, ids, words).dropDuplicates(["doc_id"]), "sets")
+    sets = whole_sets(docs, ids, words).dropDuplicates(["doc_id"])  # dealt by doc_id, as the join below needs them
     num, den = rule.num, rule.den
 
     def compare(batches: Iterator) -> Iterator:
@@ -322,7 +322,7 @@ def compare_crowds(docs: DataFrame, crowds: DataFrame, rule: Rule, words: int, s
 
     dealt = tiles.join(sets, "doc_id").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j")
     found = scratch.write(dealt.mapInArrow(compare, "a long, b long").distinct(), "crowd-links")
-    scratch.drop(sets, tiles)
+    scratch.drop(tiles)
     return found
 
 
