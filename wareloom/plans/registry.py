@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wareloom.functions import dims, urls, values
-from wareloom.operators import enrich, images, ledger, review
+from wareloom.operators import enrich, gates, images, ledger, review
 from wareloom.sources import exports, links
 from wareloom.streaming import outcomes
 
@@ -499,3 +499,32 @@ def stream_latest_outcomes(spark, sf_dir):
     outcomes.write_outcomes(stream, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
     latest = outcomes.latest_outcomes(spark, f"{base}/rows", source.schema, "user_id", ["ts", "event_id"])
     return latest.select("user_id", "event_id", "event_type")
+
+
+# ---------------------------------------------------------------- gates
+
+#: Words of a fetcher, by an event's number.
+_WORDS = ["transport_reset", "connection_refused", "tls_error", "dns_error", "http_401", "http_403", "http_404", "http_429", "http_503", "http_5x", "not_html", "other"]
+
+
+@query(f"""with w as (select {_WORDS}[(event_id % {len(_WORDS)} + 1)::int] as word from events),
+ r as (select word, case when word = 'transport_reset' then 'timeout_read' when word in ('connection_refused', 'tls_error') then 'timeout_connect'
+   when word = 'dns_error' then 'dns_failure' when word in ('http_401', 'http_403') then 'blocked_403' when word = 'http_429' then 'blocked_429'
+   when word = 'not_html' or word like 'http@_4%' escape '@' then 'not_a_product_page' when word like 'http@_5%' escape '@' then 'http_error_5xx'
+   else 'timeout_read' end as reason, try_cast(nullif(regexp_extract(word, '^http_([0-9]+)$', 1), '') as integer) as status from w)
+ select reason, status, count(*)::bigint as n from r group by 1, 2""")
+def fetch_reasons(spark, sf_dir):
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % len(_WORDS)).cast("int"))
+    words = table(spark, sf_dir, "events").select(word.alias("word"))
+    return words.groupBy(gates.fetch_reason(F.col("word")).alias("reason"), gates.fetch_status(F.col("word")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select p_partkey, case p_partkey % 4 when 0 then 'handwoven-textiles' when 1 then 'apparel' when 2 then 'pottery' else '' end as c,
+   case p_partkey % 3 when 0 then 'sarees' when 1 then 'bowls' else '' end as k from part)
+ select p_partkey, case when c = 'pottery' then 'unknown_category_slug:pottery' when k = '' then null when c = '' then 'subcategory_without_category:' || k
+   when c = 'handwoven-textiles' and k = 'sarees' then null else 'unknown_subcategory_slug:' || c || '/' || k end as fault from s""")
+def slug_faults(spark, sf_dir):
+    key = F.col("p_partkey")
+    category = F.get(F.array(*map(F.lit, ["handwoven-textiles", "apparel", "pottery", ""])), (key % 4).cast("int"))
+    shelf = F.get(F.array(*map(F.lit, ["sarees", "bowls", ""])), (key % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", gates.slug_fault(category, shelf).alias("fault"))
