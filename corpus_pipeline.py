@@ -16,7 +16,7 @@ def reject_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go, but for the earliest; a document that loses all its words goes too."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short_copies=True)
     changed = F.col("n_exact") + F.col("n_near") > 0
     out = out.where(~changed | (F.trim(F.translate("text", "\n", " ")) != ""))
     kind = docs.schema["n_chars"].dataType

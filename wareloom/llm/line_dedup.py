@@ -7,6 +7,9 @@ share a variant, at the same place for a replacement. Variants are hashed, equal
 Two steps keep the join small. Equal lines become one first (by two 64-bit hashes and the number of words). Then only
 lines that could be within the bound of another emit their variants: an edit leaves the line's first or second half
 as it was, so such lines share the hash of a half.
+
+For the variants any white space parts words. Lines of few words have exact copies only: with one word of a short line
+replaced, little of it is left that is the same.
 """
 
 from __future__ import annotations
@@ -17,16 +20,29 @@ from pyspark.sql.window import Window
 
 from wareloom.llm.common import Scratch
 
-#: Shorter lines are left alone: a heading or a single word repeats for good reasons.
+#: Lines of fewer words have no near copies; whether their exact copies go is up to the caller (``short_copies``).
 LEAST_WORDS = 5
+#: White space, all of which parts words; a line end of two characters leaves its \r in the line.
+_SPACES = " \t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _lines(docs: DataFrame, least_words: int, short_copies: bool) -> DataFrame:
+    """doc_id, line_no, line (trimmed, words parted by blanks), w (its words), h1, h2 (of the line as it stands, trimmed)
+    of the lines that take part."""
+    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    split = split.withColumn("raw", F.trim("raw")).where(F.col("raw").rlike(f"[^{_SPACES}]"))
+    split = split.withColumn("line", F.trim(F.regexp_replace("raw", f"[{_SPACES[1:]}]", " "))).withColumn("w", F.size(F.split("line", " ", -1)))
+    split = split if short_copies else split.where(F.col("w") >= least_words)
+    return split.select("doc_id", "line_no", "line", "w", F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(7), "raw").alias("h2"))
 
 
-def _lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, line_no, line (trimmed), w (its words), h1, h2 of the lines that take part."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    split = split.withColumn("line", F.trim("line")).where(f"line like '%{' %' * (least_words - 1)}'")
-    split = split.withColumn("w", F.size(F.split("line", " ", -1)))
-    return split.select("doc_id", "line_no", "line", "w", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+def _same_place(a: DataFrame, b: DataFrame, own: list[str], how: str = "inner") -> DataFrame:
+    """``a`` and ``b`` joined on doc_id (a null one equals a null one), line_no and ``own``; with ``a``'s of these."""
+    b = b.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", *own)])
+    on = a["doc_id"].eqNullSafe(b["_doc_id"])
+    for c in ("line_no", *own):
+        on = on & (a[c] == b[f"_{c}"])
+    return a.join(b, on, how).select(*a.columns)
 
 
 def _halves() -> Column:
@@ -65,31 +81,34 @@ def within_one_word(a: str, b: str) -> Column:
     )
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies: bool = False) -> DataFrame:
     """(doc_id, line_no, near) of the lines of ``docs`` (doc_id, text) that go: near tells a near from an exact copy.
 
-    Lines are what stands between line ends, trimmed of blanks; those of fewer than ``least_words`` words (by single
-    blanks) never go. A line goes if an equal line stands earlier, or if its first occurrence has an earlier line
-    within one word; earlier is by doc_id (null first), then line number. Whether that earlier line goes itself
+    Lines are what stands between line ends, trimmed of blanks; those of white space alone never go. A line goes if an
+    equal line stands earlier, or if its first occurrence has an earlier line within one word; earlier is by doc_id
+    (null first), then line number. Lines of fewer than ``least_words`` words (by single characters of white space) have
+    no near copies; with ``short_copies`` their exact copies go like any others, without it these lines are left alone. Whether that earlier line goes itself
     doesn't matter, so the earliest of a chain stays. Null and empty texts have no lines that take part. Repeated
     rows of one doc_id count as one document: their lines share a place and aren't copies of each other.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     own = ["h1", "h2", "w"]
     place = F.struct("doc_id", "line_no")
-    lines = _lines(docs, least_words)
-    every = scratch.write(lines.select("doc_id", "line_no", *own, _halves().alias("halves")), "lines")
+    lines = _lines(docs, least_words, short_copies)
+    halves = F.when(F.col("w") >= least_words, _halves())
+    every = scratch.write(lines.select("doc_id", "line_no", *own, halves.alias("halves")), "lines")
     first = every.groupBy(*own).agg(F.min(place).alias("at"), F.count("*").alias("times"))
     first = scratch.write(first, "distinct")
 
     # lines that share a half with another line
-    halves = every.join(first.select("at.*", *own), ["doc_id", "line_no", *own], "left_semi")
+    long = F.col("w") >= least_words
+    halves = _same_place(every.where(long), first.where(long).select("at.*", *own), own, "left_semi")
     halves = halves.select(*own, F.explode("halves").alias("half"))
     alike = Window.partitionBy("half")
     line = F.struct(*own)
     near = halves.withColumn("x", F.min(line).over(alike)).withColumn("y", F.max(line).over(alike)).where("x <> y")
     near = near.select(*own).distinct().join(first, own).select("at.*", *own)
-    near = scratch.write(lines.join(near, ["doc_id", "line_no", *own]).dropDuplicates(own), "near")
+    near = scratch.write(_same_place(lines.where(long), near, own).dropDuplicates(own), "near")
 
     # each variant's group: lines with one word replaced at a place, and the line that all of them extend
     parts = near.select("doc_id", "line_no", "h1", "h2", "w", F.inline(_variants()))
@@ -104,7 +123,10 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     earlier = F.array_compact(F.array(F.when(F.col("place") > 0, F.col("first")), F.when(F.col("place") > 0, F.col("whole")), F.when(F.col("place") == 0, F.col("longer"))))
     pairs = parts.select("at", F.explode(F.filter(earlier, lambda e: e < F.col("at"))).alias("to")).distinct()
     words = near.select(F.struct("doc_id", "line_no", "h1", "h2", "w").alias("at"), F.split("line", " ", -1).alias("own"))
-    pairs = pairs.join(words, "at").join(words.select(F.col("at").alias("to"), F.col("own").alias("other")), "to")
+    # by hashes, as the place may have a null doc_id
+    by = lambda at, text: words.select(*[F.col(f"at.{c}").alias(f"{at}_{c}") for c in own], F.col("own").alias(text))
+    pairs = pairs.select("at", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("at", "to") for c in own])
+    pairs = pairs.join(by("at", "own"), [f"at_{c}" for c in own]).join(by("to", "other"), [f"to_{c}" for c in own])
     gone = scratch.write(pairs.where(within_one_word("own", "other")).select("at.h1", "at.h2", "at.w").distinct(), "gone")
 
     marked = first.join(gone.withColumn("near", F.lit(True)), own, "left").where("times > 1 or near")
@@ -113,14 +135,14 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     return out.where("near or not is_first").select("doc_id", "line_no", (F.col("near") & F.col("is_first")).alias("near")).distinct()
 
 
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies: bool = False) -> DataFrame:
     """``docs`` with the lines of ``repeated_lines`` taken out of ``text``, and n_lines, n_exact, n_near (all long).
 
     Needs doc_id and text; other columns pass through, and columns named like the three counts are replaced. A null
     text stays null with 0 lines.
     """
     docs = docs.drop("n_lines", "n_exact", "n_near", "_gone", "_key")
-    gone = repeated_lines(docs, least_words).groupBy(F.col("doc_id").alias("_key")).agg(
+    gone = repeated_lines(docs, least_words, short_copies).groupBy(F.col("doc_id").alias("_key")).agg(
         F.collect_set("line_no").alias("_gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near")
     )
     joined = docs.join(gone, docs.doc_id.eqNullSafe(gone._key), "left")

@@ -43,7 +43,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
     return docs.select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
 
 
