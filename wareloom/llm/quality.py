@@ -23,8 +23,10 @@ from wareloom.llm.common import Scratch
 FEATURES, SAMPLE, EPOCHS, SEED = 1 << 10, 3_000, 8, 3
 #: Documents that score less are rejected.
 THRESHOLD = 0.5
-#: Texts shorter than this, in words, are too short to tell; labellers abstain on them.
-SHORT = 4
+#: A word of more bytes counts as several words where a measure is per word: text without blanks isn't one word.
+LONGEST_WORD = 32
+#: Capitals are a share of as many letters at least: the capital that opens a text of one word isn't shouting.
+FEW_LETTERS = 20
 LABELLERS = ("symbols", "marked", "capitals", "shouting", "repeats", "common", "bars", "sentences")
 
 
@@ -34,7 +36,7 @@ _SYMBOLS = np.frombuffer(b"#$%&*@^~=<>{}[]_\\", dtype=np.uint8)
 def measures(words: list[str], text: str) -> tuple:
     """What the labellers look at, over a whole text: symbols per byte and per word, capitals among letters,
     exclamation marks per word, share of repeated words, share of the three most common, bars and sentence ends per
-    word, words."""
+    word, words. Per word means per LONGEST_WORD bytes where the words are longer than that on average."""
     n = len(words)
     if not n:
         return (0.0,) * 8 + (0,)
@@ -42,51 +44,55 @@ def measures(words: list[str], text: str) -> tuple:
     upper, lower, symbols = int(counts[65:91].sum()), int(counts[97:123].sum()), int(counts[_SYMBOLS].sum())
     times = Counter(words)
     common = sum(nlargest(3, times.values())) / n
+    size = int(counts.sum())
+    per = max(n, size / LONGEST_WORD)
     return (
-        symbols / int(counts.sum()), symbols / n, upper / max(1, upper + lower), int(counts[33]) / n,
-        1 - len(times) / n - min(0.3, n / 20_000), common, int(counts[124]) / n, int(counts[[46, 33, 63]].sum()) / n, n,
+        symbols / size, symbols / per, upper / max(FEW_LETTERS, upper + lower), int(counts[33]) / per,
+        1 - len(times) / n - min(0.3, n / 20_000), common, int(counts[124]) / per, int(counts[[46, 33, 63]].sum()) / per, n,
     )
 
 
 def votes(text: str | None) -> list[int]:
-    """One vote per labeller: 1 good, -1 bad, 0 none."""
+    """One vote per labeller: 1 good, -1 bad, 0 none, 2 if it can't judge: a share among few words tells nothing, and a
+    text without words nothing at all."""
     symbols, marked, capitals, shouts, repeats, common, bars, ends, n = measures((text or "").split(), text or "")
-    if n < SHORT:
-        return [0] * len(LABELLERS)
+    if not n:
+        return [2] * len(LABELLERS)
     long = n >= 30
     return [
         -1 if symbols > 0.04 else 0,
         -1 if marked > 0.4 else 1 if marked < 0.1 else 0,
         -1 if capitals > 0.4 else 0,
         -1 if shouts > 0.3 else 1 if shouts < 0.05 else 0,
-        -1 if long and repeats > 0.45 else 0,
-        -1 if long and common > 0.4 else 1 if long and common < 0.3 else 0,
+        2 if not long else -1 if repeats > 0.45 else 0,
+        2 if not long else -1 if common > 0.4 else 1 if common < 0.3 else 0,
         -1 if bars > 0.25 else 0,
-        -1 if long and ends < 0.02 else 1 if ends >= 0.03 else 0,
+        1 if ends >= 0.03 else 2 if not long else -1 if ends < 0.02 else 0,
     ]
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """doc_id and pattern (the votes as a string of +, - and 0) of each row of ``docs`` (doc_id, text)."""
+    """doc_id and pattern (the votes as a string of +, -, 0 and . for 2) of each row of ``docs`` (doc_id, text)."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            marks = ["".join("0+-"[v] for v in votes(t)) for t in batch.column("text").to_pylist()]
+            marks = ["".join("0+.-"[v] for v in votes(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], ["doc_id", "pattern"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, pattern string")
 
 
 def _matrix(patterns: list[str]) -> np.ndarray:
-    return np.array([[{"0": 0, "+": 1, "-": 2}[c] for c in p] for p in patterns], dtype=np.int64)
+    return np.array([[{"0": 0, "+": 1, "-": 2, ".": 3}[c] for c in p] for p in patterns], dtype=np.int64)
 
 
 class LabelModel:
     """Chances of each vote given good or bad, and the share of good documents, by expectation-maximisation.
 
-    A labeller's votes are taken as independent given the class. The start favours votes that say the class.
+    A labeller's votes are taken as independent given the class; one that can't judge is left out, for good or bad.
+    The start favours votes that say the class.
     """
 
     def __init__(self, labellers: int = len(LABELLERS)):
@@ -94,8 +100,9 @@ class LabelModel:
         self.good = 0.8
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(good) for each row of votes (0 none, 1 good, 2 bad)."""
-        logs = np.log([self.good, 1 - self.good]) + sum(np.log(self.chance[j][:, votes[:, j]]).T for j in range(votes.shape[1]))
+        """P(good) for each row of votes (0 none, 1 good, 2 bad, 3 can't judge)."""
+        chance = np.concatenate((self.chance, np.ones((len(self.chance), 2, 1))), axis=2)
+        logs = np.log([self.good, 1 - self.good]) + sum(np.log(chance[j][:, votes[:, j]]).T for j in range(votes.shape[1]))
         top = logs.max(axis=1, keepdims=True)
         parts = np.exp(logs - top)
         return parts[:, 0] / parts.sum(axis=1)
@@ -107,7 +114,7 @@ class LabelModel:
             self.good = float(np.clip((share[0].sum() + 0.9) / (counts.sum() + 1), 1e-3, 1 - 1e-3))
             for j in range(votes.shape[1]):
                 # a few imagined votes that agree with the class keep every chance above 0
-                seen = np.array([[np.bincount(votes[:, j], weights=w, minlength=3)] for w in share])[:, 0] + np.array([[0.5, 0.49, 0.01], [0.4, 0.2, 0.4]])
+                seen = np.array([[np.bincount(votes[:, j], weights=w, minlength=4)[:3]] for w in share])[:, 0] + np.array([[0.5, 0.49, 0.01], [0.4, 0.2, 0.4]])
                 self.chance[j] = seen / seen.sum(axis=1, keepdims=True)
         return self
 
@@ -148,7 +155,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         _NUMBERS.clear()
     counts = np.bincount(np.fromiter(map(_NUMBERS.__getitem__, words), np.int64, len(words)), minlength=FEATURES)
     ids = np.flatnonzero(counts)
-    got = measures(words, text)[:8]
+    got = list(measures(words, text)[:8])
+    got[5] -= min(1, 3 / len(words))  # few words are few different ones at best
     return np.concatenate((np.arange(9), ids)), np.concatenate(([1.0], got, np.sqrt(counts[ids] / len(words))))
 
 
@@ -178,7 +186,7 @@ class Scorer:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     """The label model of all of ``docs`` (doc_id, text) and a scorer learned from up to ``sample`` of them.
 
-    The driver gets one count per vote pattern (3 to the number of labellers at most), and a sample in which good
+    The driver gets one count per vote pattern (4 to the number of labellers at most), and a sample in which good
     and bad documents, by posterior, have equal room: those with the smallest hashes of doc_id and pattern.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -208,8 +216,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
 def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with quality (0 to 1) and rejected (quality < threshold); the two are replaced where they exist.
 
-    Needs doc_id and text; other columns pass through. Texts of fewer than SHORT words, null ones among them, aren't
-    judged: quality 1, kept. Repeated rows get the same score. An empty table stays empty.
+    Needs doc_id and text; other columns pass through. Null texts and those without any word aren't judged:
+    quality 1, kept; every other text is, however short. Repeated rows get the same score. An empty table stays empty.
     """
     docs = docs.drop("quality", "rejected")
     model = fit(docs.select("doc_id", "text"), sample)[1]
@@ -221,7 +229,7 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
         scorer = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = [1.0 if len((t or "").split(None, SHORT)) < SHORT else round(scorer.score(t), 6) for t in texts]
+            score = [round(scorer.score(t), 6) if t and not t.isspace() else 1.0 for t in texts]
             yield batch.append_column("quality", pa.array(score, pa.float64())).append_column(
                 "rejected", pa.array([s < threshold for s in score])
             )
