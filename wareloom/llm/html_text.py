@@ -15,7 +15,21 @@ from html import unescape
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist title".split())
+HIDDEN = frozenset("head script style template noscript iframe audio video canvas datalist title".split())
+#: What a head holds; any other tag, and text, ends one that is still open.
+IN_HEAD = frozenset("head base link meta title style script template noscript".split())
+#: Of an SVG image only text (and HTML within it) is written, and not what is there to be described or used elsewhere.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
+#: Of a formula all but its sources and what only takes up room.
+UNSAID = frozenset("annotation annotation-xml mphantom".split())
+#: Parts of a formula that aren't set on one line.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr mtd".split())
+#: HTML starts again in these, inside an image or a formula; tags of the third set end an image or a formula they stand in.
+FOREIGN, AGAIN = frozenset({"svg", "math"}), frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 "
@@ -40,7 +54,8 @@ ENDS = {
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "body"})
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_HIDING = re.compile(r"(?<![\w-])display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.IGNORECASE)
 _BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -54,7 +69,7 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; never fails, whatever the markup."""
     root = Node("#root", {})
-    stack, at, raw = [root], 0, ""
+    stack, at, raw, foreign = [root], 0, "", False
 
     def close(names, stops) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -81,6 +96,8 @@ def parse(html: str) -> Node:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
+            if stack[-1].tag == "head" and text.strip(" \t\r\n\f"):
+                stack.pop()
             stack[-1].children.append(unescape(text))
         if not m:
             break
@@ -99,10 +116,17 @@ def parse(html: str) -> Node:
             close({tag}, stops if tag not in ("table", "html", "body") else ())
             continue
         own = {a.lower(): unescape(v.strip("\"'")) for a, v in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
+        inside = 0
+        if foreign and (tag in BREAKOUT or m[3].endswith("/")):
+            inside = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in FOREIGN | AGAIN), 0)
+            inside = inside if stack[inside].tag in FOREIGN else 0
+            if inside and tag in BREAKOUT:
+                del stack[inside:]
+                inside = 0
         if tag in ("html", "body"):
             if any(n.tag == tag for n in stack):
                 continue
-        elif tag != "head" and stack[-1].tag == "head" and tag not in HIDDEN | VOID:
+        if tag != "html" and stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
         if tag in BLOCK and tag not in ("html", "body"):
             close({"p"}, SCOPE)
@@ -112,8 +136,9 @@ def parse(html: str) -> Node:
             stack.pop()
         node = Node(tag, own)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (inside and m[3].endswith("/")):
             continue
+        foreign = foreign or tag in FOREIGN
         stack.append(node)
         if tag in RAW:
             raw = tag
@@ -121,6 +146,7 @@ def parse(html: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether anything of a node is to be seen, but for the visibility that it hands down."""
     a = node.attributes
     return not (
         node.tag in HIDDEN
@@ -131,6 +157,12 @@ def visible(node: Node) -> bool:
     )
 
 
+def shown(node: Node, before: bool) -> bool:
+    """The visibility of a node in a parent of visibility ``before``."""
+    said = _VISIBILITY.findall(node.attributes.get("style", ""))
+    return {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(said[-1].lower(), before) if said else before
+
+
 class _Page:
     """Lines under construction. ``gap`` is what the next text needs before it: 0 nothing, 1 a new line, 2 an empty one."""
 
@@ -175,53 +207,60 @@ class _Page:
         return "\n".join(self.lines)
 
 
-def _inside(node: Node) -> str:
+def _inside(node: Node, seen: bool) -> str:
     page = _Page()
     for c in node.children:
-        _write(c, page, [], False)
+        _write(c, page, [], False, seen)
     return page.end()
 
 
-def _table(node: Node, page: _Page) -> None:
+def _table(node: Node, page: _Page, seen: bool) -> None:
     rows: list[list[str]] = []
 
-    def collect(n: Node) -> None:
+    def collect(n: Node, seen: bool) -> None:
         for c in n.children:
             if isinstance(c, str):
-                if c.strip():
+                if seen and c.strip():
                     page.text(c)
-            elif not visible(c):
                 continue
-            elif c.tag == "tr":
-                rows.append([_BLANK.sub(" ", _inside(x)) for x in c.children if isinstance(x, Node) and visible(x)])
-                loose = " ".join(x.strip() for x in c.children if isinstance(x, str) and x.strip())
+            if not visible(c):
+                continue
+            own = shown(c, seen)
+            if c.tag == "tr":
+                rows.append([_BLANK.sub(" ", _inside(x, shown(x, own))) for x in c.children if isinstance(x, Node) and visible(x)])
+                loose = " ".join(x.strip() for x in c.children if own and isinstance(x, str) and x.strip())
                 if loose:
                     rows[-1].append(_BLANK.sub(" ", loose))
             elif c.tag in ("tbody", "thead", "tfoot"):
-                collect(c)
+                collect(c, own)
             elif c.tag in ("td", "th"):
-                rows.append([_BLANK.sub(" ", _inside(c))])
+                rows.append([_BLANK.sub(" ", _inside(c, own))])
             else:
                 page.block(1)
-                _write(c, page, [], False)
+                _write(c, page, [], False, seen)
                 page.block(1)
 
-    collect(node)
+    collect(node, seen)
     widths = [max(len(r[k]) for r in rows if len(r) > k) for k in range(max(map(len, rows), default=0))]
     for r in rows:
         if any(r):
             page.verbatim(" | ".join(cell.ljust(w) for cell, w in zip(r, widths)).rstrip())
 
 
-def _write(node, page: _Page, lists: list, pre: bool) -> None:
-    """Write a node; a stack of its own, so deep trees are fine."""
-    work: list = [("open", node, lists, pre)]
+def _write(node, page: _Page, lists: list, pre: bool, seen: bool = True) -> None:
+    """Write a node; a stack of its own, so deep trees are fine.
+
+    ``seen`` is the visibility handed down; ``mode`` tells HTML (''), a formula, an SVG image and text within one.
+    """
+    work: list = [("open", node, lists, pre, seen, "")]
     while work:
-        what, n, lists, pre = work.pop()
+        what, n, lists, pre, seen, mode = work.pop()
         if what == "do":
             n()
             continue
         if isinstance(n, str):
+            if not seen or mode == "svg":
+                continue
             if pre:
                 for k, line in enumerate(n.split("\n")):
                     if k:
@@ -234,28 +273,36 @@ def _write(node, page: _Page, lists: list, pre: bool) -> None:
             continue
         if not visible(n):
             continue
-        tag = n.tag
+        tag, seen = n.tag, shown(n, seen)
+        if (mode in ("svg", "text") and tag in UNDRAWN) or (mode == "math" and tag in UNSAID):
+            continue
+        if tag in FOREIGN:
+            mode = tag
+        elif tag == "foreignobject":
+            mode = ""
+        elif tag == "text" and mode == "svg":
+            mode, page.space = "text", True
         if tag == "br":
             page.block(1)
             continue
         if tag == "table":
             page.block(2)
-            _table(n, page)
+            _table(n, page, seen)
             page.block(2)
             continue
         if tag == "img":
-            if n.attributes.get("alt", "").strip():
+            if seen and n.attributes.get("alt", "").strip():
                 page.text(n.attributes["alt"])
             continue
         if tag == "input":
-            if n.attributes.get("type", "text").lower() in ("submit", "button", "reset") and n.attributes.get("value"):
+            if seen and n.attributes.get("type", "text").lower() in ("submit", "button", "reset") and n.attributes.get("value"):
                 page.text(n.attributes["value"])
             continue
         after: list = []
         if tag in BLOCK:
             gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1
             page.block(gap)
-            after.append(("do", lambda g=gap: page.block(g), None, None))
+            after.append(("do", lambda g=gap: page.block(g), None, None, None, None))
         if tag in ("ul", "ol", "menu", "dir"):
             start = n.attributes.get("start", "1")
             lists = [*lists, [tag, int(start) if start.lstrip("-").isdigit() else 1]]
@@ -265,15 +312,20 @@ def _write(node, page: _Page, lists: list, pre: bool) -> None:
             before = (page.indent, page.mark)
             page.indent, page.mark = depth, "- " if kind[0] != "ol" else f"{kind[1]}. "
             kind[1] += 1
-            after.append(("do", lambda b=before: (setattr(page, "indent", b[0]), setattr(page, "mark", b[1])), None, None))
+            after.append(("do", lambda b=before: (setattr(page, "indent", b[0]), setattr(page, "mark", b[1])), None, None, None, None))
         elif tag == "dd":
             before = page.indent
             page.indent += "  "
-            after.append(("do", lambda b=before: setattr(page, "indent", b), None, None))
+            after.append(("do", lambda b=before: setattr(page, "indent", b), None, None, None, None))
         elif tag == "option" or tag == "button":
             page.space = True
+        elif tag == "text" and mode == "text":
+            after.append(("do", lambda: setattr(page, "space", True), None, None, None, None))
         work += after[::-1] if tag not in ("li", "dd") else after
-        work += [("open", c, lists, pre or tag == "pre") for c in reversed(n.children)]
+        for c in reversed(n.children):
+            work.append(("open", c, lists, pre or tag == "pre", seen, mode))
+            if mode == "math" and tag in APART:
+                work.append(("do", lambda: setattr(page, "space", True), None, None, None, None))
 
 
 def visible_text(html: str | None) -> str:
