@@ -1,16 +1,16 @@
 """Best-fit packing by bin completion over the histogram of piece lengths.
 
 Pieces are at most ``capacity`` ids long, so the whole corpus has at most ``capacity`` different lengths however many
-documents there are. The search runs on that histogram: it takes the largest length left, fills the space beside it,
-and uses the filling as often as the counts allow. The answer is a plan of (length, ranks) -> (sequences, offset);
-pieces find their place by their rank among the pieces of their length, which Spark computes without ever gathering
-a length in one task.
+documents there are. The search runs on that histogram: it takes the largest length left, enumerates the undominated
+fillings of the space beside it, least waste first, and uses one as often as the counts allow, or less often on the
+way back. The answer is a plan of (length, ranks) -> (sequences, offset); pieces find their place by their rank among
+the pieces of their length, which Spark computes without ever gathering a length in one task.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +22,8 @@ from wareloom.llm.common import Scratch
 from wareloom.llm.tokens import END_ID, default_tokenizer, worker_encoder
 
 CAPACITY = 1024
-#: Bin completions that the search looks at before it settles for the best plan so far.
-SEARCH_STEPS = 20_000
+#: Partial fillings that the search looks at before it settles for the best plan so far; None: until the plan is optimal.
+SEARCH_STEPS = 150_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,21 +40,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_
 
         encoder, end = worker_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            texts = (t or "" for t in batch.column("text").to_pylist())
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts), strict=True):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                at = [0, *range(first, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(at, at[1:])):
-                    for column, value in zip(out, (key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
-                names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")],
-            )
+            keys = batch.column("doc_id")
+            for first, last, ids, counts in encoder.slices(batch.column("text")):
+                raw, total = memoryview(ids.astype("<u4", copy=False).tobytes()), counts + 1
+                parts = -(-total // capacity)
+                row = np.repeat(np.arange(len(counts)), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                head = total - (parts - 1) * capacity
+                length = np.where(piece == 0, head[row], capacity)
+                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+                at = (np.cumsum(counts) - counts)[row] + start
+                ends = piece == parts[row] - 1
+                crc = [
+                    zlib.crc32(end, zlib.crc32(raw[4 * a : 4 * (a + n - 1)])) if e else zlib.crc32(raw[4 * a : 4 * (a + n)])
+                    for a, n, e in zip(at.tolist(), length.tolist(), ends.tolist(), strict=True)
+                ]
+                columns = (pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(first, last - first).take(pa.array(row)), *columns], names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+                )
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECE_SCHEMA)
 
@@ -73,136 +77,176 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], wide: int = 12) -> list[list[int]]:
-    """Undominated sets of lengths for ``room``, least waste first: of one, two or three lengths, then best fit.
+class Steps:
+    """What is left of the search's steps."""
 
-    A filling is dominated by another whose lengths can hold it; so a single length that fills the room stands for
-    all others, and only the largest last length is of interest beside given first ones.
-    """
+    def __init__(self, steps: int | None):
+        self.left = steps
+
+    def take(self) -> bool:
+        if self.left is not None:
+            self.left -= 1
+        return self.left is None or self.left >= 0
+
+
+def _spread(bits: int, width: int) -> int:
+    """Every set bit, and the ``width`` bits above it."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    def largest(limit: int, used: list[int]) -> int:
-        k = bisect_right(sizes, limit)
-        while k:
-            s = sizes[k - 1]
-            if counts[s] > used.count(s):
-                return s
-            k -= 1
-        return 0
-
-    one = largest(room, [])
-    if not one:
-        return [[]]
-    if one == room:
-        return [[one]]
-    found = {(one,)}
-    greedy, left = [], room
-    while s := largest(left, greedy):
-        greedy.append(s)
-        left -= s
-    found.add(tuple(greedy))
-    firsts = sizes[: bisect_right(sizes, room)][::-1]
-    for a in firsts:
-        b = largest(min(a, room - a), [a])
-        if b:
-            found.add((a, b))
-            if a + b < room and len(found) < 8 * wide:
-                for b2 in sizes[: bisect_right(sizes, min(a, room - a))][::-1][:wide]:
-                    if c := largest(min(b2, room - a - b2), [a, b2]):
-                        if counts[b2] > [a].count(b2):
-                            found.add((a, b2, c))
-        if len(found) >= 16 * wide:
-            break
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-s for s in f]))
-    return [list(f) for f in ranked[:wide]]
-
-
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS):
-    """[(lengths, times)]: fillings that use up ``counts``, in as few sequences as the search finds.
 
-    Depth-first bin completion around the largest length left. The first plan is best fit; a branch ends when its
-    waste so far leaves no room for fewer sequences than the best plan; the search ends at the lower bound.
+def fillings(room: int, counts: dict[int, int], waste: int, steps: Steps) -> Iterator[list[int]]:
+    """All undominated fillings of ``room`` from ``counts`` that waste at most ``waste``, least waste first.
+
+    A filling is dominated if some of its lengths (or none) could give way to one more available length that is no
+    shorter than they are together and still fits: whatever packing uses the filling, one at least as good uses the
+    other. Lengths join a filling in falling order, so a part of a filling in which some lengths can give way isn't
+    continued. With the same waste, fillings of longer lengths come first.
     """
-    counts = {s: c for s, c in counts.items() if c}
-    total, goal = sum(s * c for s, c in counts.items()), lower_bound(counts, capacity) if counts else 0
-
-    def fill(counts: dict[int, int], sizes: list[int], choose) -> list[tuple[list[int], int]]:
-        plan = []
-        while sizes:
-            bin_ = choose(counts, sizes)
-            times = min(counts[s] // bin_.count(s) for s in set(bin_))
-            plan.append((bin_, times))
-            take(counts, sizes, bin_, times)
-        return plan
-
-    def take(counts: dict[int, int], sizes: list[int], bin_: list[int], times: int) -> None:
-        for s in bin_:
-            counts[s] -= times
-        for s in set(bin_):
-            if not counts[s]:
-                sizes.remove(s)
-
-    def give(counts: dict[int, int], sizes: list[int], bin_: list[int], times: int) -> None:
-        for s in set(bin_):
-            if not counts[s]:
-                insort(sizes, s)
-        for s in bin_:
-            counts[s] += times
+    sizes = [s for s in sorted(counts) if counts[s] and s <= room]
+    if not sizes:
+        if room <= waste:
+            yield []
+        return
+    if sizes[-1] == room:
+        yield [room]
+        return
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for s in sizes:
+        bits, times, step = reach[-1], min(counts[s], room // s), 1
+        while times:
+            step = min(step, times)
+            bits |= (bits << (s * step)) & mask
+            times -= step
+            step *= 2
+        reach.append(bits)
+    there = sum(1 << s for s in sizes)
+    used: dict[int, int] = {}
 
-    def best_fit(counts: dict[int, int], sizes: list[int]) -> list[int]:
-        big = sizes[-1]
-        counts[big] -= 1
-        bin_, left = [big], capacity - big
+    def grow(k: int, left: int, chosen: list[int], some: int, two: int, slack: int) -> Iterator[list[int]]:
+        """Fillings that continue ``chosen`` with ``left`` more, of sizes[:k]; ``some`` and ``two``: sums of at least
+        one and of at least two of the chosen."""
+        if not left:
+            if all(s > slack for s in sizes[: bisect_right(sizes, slack)] if counts[s] > used.get(s, 0)):
+                yield chosen
+            return
+        for i in range(min(k, bisect_right(sizes, left)) - 1, -1, -1):
+            if not reach[i + 1] >> left & 1:
+                return
+            s = sizes[i]
+            if used.get(s, 0) >= counts[s] or not (reach[i] | reach[i + 1]) >> (left - s) & 1:
+                continue
+            if not steps.take():
+                return
+            used[s] = used.get(s, 0) + 1
+            now_two = two | (some << s)
+            free = there if counts[s] > used[s] else there & ~(1 << s)
+            for x in chosen:
+                if counts[x] <= used[x]:
+                    free &= ~(1 << x)
+            apart = _spread(1 << s, slack) & ~(1 << s)
+            if not (_spread(now_two, slack) | apart) & free:
+                yield from grow(i + 1, left - s, [*chosen, s], some | (1 << s) | (some << s), now_two, slack)
+            used[s] -= 1
+
+    for slack in range(min(waste, room - sizes[0]) + 1):
+        if reach[-1] >> (room - slack) & 1:
+            yield from grow(len(sizes), room - slack, [], 0, 0, slack)
+        if steps.left is not None and steps.left < 0:
+            return
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """A plan that puts beside the largest length left the largest that fits, again and again."""
+    counts, plan = {s: c for s, c in counts.items() if c}, []
+    while counts:
+        sizes, bin_, left = sorted(counts), [], capacity
         while True:
             k = bisect_right(sizes, left)
-            while k and counts[sizes[k - 1]] < 1:
+            while k and counts[sizes[k - 1]] <= bin_.count(sizes[k - 1]):
                 k -= 1
             if not k:
                 break
             bin_.append(sizes[k - 1])
-            counts[sizes[k - 1]] -= 1
             left -= sizes[k - 1]
+        times = min(counts[s] // bin_.count(s) for s in set(bin_))
+        plan.append((bin_, times))
         for s in bin_:
-            counts[s] += 1
-        return bin_
+            counts[s] -= times
+        counts = {s: c for s, c in counts.items() if c}
+    return plan
 
-    best = fill(dict(counts), sorted(counts), best_fit)
-    bins = sum(n for _, n in best)
-    now, sizes, path, waste = dict(counts), sorted(counts), [], 0
-    stack: list[Iterator] = []
 
-    def choices() -> Iterator:
-        big = sizes[-1]
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = SEARCH_STEPS):
+    """[(lengths, times)]: fillings that use up ``counts``, in as few sequences as the search finds.
+
+    Depth-first bin completion around the largest length left, with best fit as the first incumbent. A filling is used
+    as often as it can be, then half as often and so on down to once, which together with all undominated fillings
+    makes the search complete: without a limit of steps it ends with an optimal plan. A branch ends when its waste so
+    far leaves no room for fewer sequences than the incumbent, or where it meets counts that it has been to with no
+    more waste; the search ends at the lower bound.
+    """
+    now = {s: c for s, c in counts.items() if c}
+    if not now:
+        return []
+    total, goal = sum(s * c for s, c in now.items()), lower_bound(now, capacity)
+    best = best_fit(now, capacity)
+    bins, budget = sum(n for _, n in best), Steps(steps)
+    random = np.random.default_rng(7)
+    number = {s: int(random.integers(1, 1 << 62)) for s in now}
+    seen: dict[int, int] = {}
+    path: list[tuple[list[int], int]] = []
+    state, waste = sum(number[s] * c for s, c in now.items()) & ((1 << 64) - 1), 0
+
+    def spare() -> int:
+        return (bins - 1) * capacity - total - waste
+
+    def moves() -> Iterator[tuple[list[int], int]]:
+        big = max(s for s, c in now.items() if c)
         now[big] -= 1
-        options = fillings(capacity - big, sizes, now)
+        options = fillings(capacity - big, dict(now), spare(), budget)
         now[big] += 1
-        return iter([[big, *f] for f in options])
-
-    if bins > goal:
-        stack.append(choices())
-    while stack and steps and bins > goal:
-        bin_ = next(stack[-1], None)
-        if bin_ is None:
+        for f in options:
+            bin_ = [big, *f]
+            times = min(now[s] // bin_.count(s) for s in set(bin_))
+            while times:
+                yield bin_, times
+                times //= 2
+
+    stack = [moves()] if bins > goal else []
+    while stack and bins > goal and (budget.left is None or budget.left >= 0):
+        move = next(stack[-1], None)
+        if move is None:
             stack.pop()
             if path:
                 bin_, times = path.pop()
                 waste -= (capacity - sum(bin_)) * times
-                give(now, sizes, bin_, times)
+                for s in bin_:
+                    now[s] += times
+                    state += number[s] * times
+                state &= (1 << 64) - 1
             continue
-        steps -= 1
-        times = min(now[s] // bin_.count(s) for s in set(bin_))
+        bin_, times = move
         more = (capacity - sum(bin_)) * times
-        if waste + more > (bins - 1) * capacity - total:
+        if more > spare():
+            continue
+        after = (state - sum(number[s] for s in bin_) * times) & ((1 << 64) - 1)
+        if seen.get(after, waste + more + 1) <= waste + more:
             continue
-        take(now, sizes, bin_, times)
+        seen[after] = waste + more
+        for s in bin_:
+            now[s] -= times
         path.append((bin_, times))
-        waste += more
-        if sizes:
-            stack.append(choices())
-        else:
-            best, bins = list(path), sum(n for _, n in path)
-            bin_, times = path.pop()
-            waste -= more
-            give(now, sizes, bin_, times)
+        state, waste = after, waste + more
+        if any(now.values()):
+            stack.append(moves())
+            continue
+        best, bins = list(path), sum(n for _, n in path)
+        stack.append(iter(()))
     return best
 
 
@@ -272,9 +316,11 @@ def packed_ids(docs: DataFrame, placed: DataFrame, tokenizer: str | None = None,
 
         encoder = worker_encoder(tokenizer)
         for batch in batches:
-            ids = encoder.encode_all(t or "" for t in batch.column("text").to_pylist())
-            cells = [[*np.frombuffer(x, dtype="<u4").astype(np.int32), end_id] for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for first, last, ids, counts in encoder.slices(batch.column("text")):
+                cells = [[*own, end_id] for own in np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, last - first), pa.array(cells, pa.list_(pa.int32()))], ["doc_id", "ids"]
+                )
 
     ids = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
     parts = placed.join(ids, placed.doc_id.eqNullSafe(ids.doc_id)).select(

@@ -30,6 +30,11 @@ BLOCK_SCHEMA = (
 )
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones of each byte, and the place of each of its ones.
+_ONES, _PLACE = _BITS.sum(axis=1).astype(np.int64), np.argsort(1 - _BITS, axis=1, kind="stable")
+
+
 class EliasFano:
     """A non-decreasing sequence of integers: low bits packed, high bits in unary, every 64th one sampled for select."""
 
@@ -58,22 +63,22 @@ class EliasFano:
             word |= raw[at // 8 + k].astype(np.int64) << (8 * k)
         return (word >> (at % 8)) & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th value, by the sample before it and a scan of the unary bits from there."""
-        at = int(np.frombuffer(self.samples, dtype="<u4")[i // SAMPLE])
-        missing = i % SAMPLE
+    def select(self, index: np.ndarray) -> np.ndarray:
+        """The values at ``index``: from the sample before each, a scan of the unary bits, byte by byte for all at once."""
+        index = np.asarray(index, dtype=np.int64)
+        if not len(index):
+            return index
+        at = np.frombuffer(self.samples, dtype="<u4")[index // SAMPLE].astype(np.int64)
         raw = np.frombuffer(self.high, dtype=np.uint8)
-        base, step = at // 8, 32
-        while missing:
-            bits = np.unpackbits(raw[base : base + step], bitorder="little")
-            ones = np.flatnonzero(bits[at - base * 8 + 1 :]) if len(bits) else bits
-            if len(ones) >= missing:
-                at += 1 + int(ones[missing - 1])
-                break
-            if base + step >= len(raw):
-                raise IndexError(i)
-            step *= 2
-        return ((at - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+        byte, left = at >> 3, index % SAMPLE + 1
+        now = raw[byte] & (0xFF << (at & 7)).astype(np.uint8)  # the sample's own bit is the first to count
+        going = np.arange(len(index))
+        while len(going := going[_ONES[now[going]] < left[going]]):
+            left[going] -= _ONES[now[going]]
+            byte[going] += 1
+            now[going] = raw[byte[going]]
+        high = byte * 8 + _PLACE[now, left - 1] - index
+        return (high << self.low_bits) | self._low(index)
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little"))[: self.n]
@@ -87,8 +92,8 @@ def write_store(
     """Write ``docs`` (doc_id, text; other columns are ignored) to a new store at ``path``.
 
     Null texts count as empty, so each document has its end id at least. Rows are in ascending doc_id order, nulls
-    first; rows that share a doc_id stay together, ordered by text, each a document of its own. An empty table makes
-    a store without blocks.
+    first; rows that share a doc_id are in an order of their own (by hash, then by text), each a document, and needn't
+    be in one part. An empty table makes a store without blocks.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -96,50 +101,57 @@ def write_store(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = worker_encoder(tokenizer)
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in BLOCK_SCHEMA.split(", ")])
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
-        keys: list = []
-        held: list[bytes] = []
-        state = {"block": 0, "first": 0, "size": 0}
+        keys, held, sizes, state = [], [], [], {"block": 0, "first": 0, "size": 0}
 
         def flush():
-            lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
-            code = EliasFano.of(np.concatenate(([0], np.cumsum(lengths))))
-            ids = np.frombuffer(b"".join(held), dtype="<u4").astype(f"<u{width}")
+            lengths = np.concatenate(sizes)
+            code, ids = EliasFano.of(np.concatenate(([0], np.cumsum(lengths)))), np.concatenate(held)
             row = {
-                "part": part, "block": state["block"], "first": state["first"], "n_ids": len(ids), "n_docs": len(held),
+                "part": part, "block": state["block"], "first": state["first"], "n_ids": len(ids), "n_docs": len(lengths),
                 "width": width, "ids": ids.tobytes(), "low_bits": code.low_bits, "low": code.low, "high": code.high,
-                "samples": code.samples, "doc_ids": list(keys),
+                "samples": code.samples, "doc_ids": [k for own in keys for k in own.to_pylist()],
             }
             state.update(block=state["block"] + 1, first=state["first"] + len(ids), size=0)
-            keys.clear()
-            held.clear()
-            return pa.RecordBatch.from_pylist([row], schema=arrow_schema())
+            for x in (keys, held, sizes):
+                x.clear()
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            texts = (t or "" for t in batch.column("text").to_pylist())
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts), strict=True):
-                keys.append(key)
-                held.append(ids + end)
-                state["size"] += len(ids) // 4 + 1
-                if state["size"] >= block_ids:
-                    yield flush()
+            for first, last, ids, counts in encoder.slices(batch.column("text")):
+                ends = np.cumsum(counts + 1)
+                every = np.full(ends[-1], end_id, dtype=f"<u{width}")
+                inside = np.ones(len(every), dtype=bool)
+                inside[ends - 1] = False
+                every[inside] = ids
+                at = 0
+                while at < len(counts):
+                    done = ends[at - 1] if at else 0
+                    to = min(len(counts), int(np.searchsorted(ends, done + block_ids - state["size"])) + 1)
+                    keys.append(batch.column("doc_id").slice(first + at, to - at))
+                    held.append(every[done : ends[to - 1]])
+                    sizes.append(counts[at:to] + 1)
+                    state["size"] += len(held[-1])
+                    at = to
+                    if state["size"] >= block_ids:
+                        yield flush()
         if held:
             yield flush()
 
-    def arrow_schema():
-        import pyarrow as pa
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
-        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-        return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in BLOCK_SCHEMA.split(", ")])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+def _code(row: dict) -> EliasFano:
+    return EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a store: doc_id, start, n_tokens, ids_crc32, part, block.
+    """One row per document of a store: doc_id, start, n_tokens, ids_crc32, part, block; places by selects.
 
     Only the number of ids of each part (as many numbers as write tasks) passes the driver, to place the parts.
     """
@@ -153,18 +165,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                bounds = EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"]).all()
-                ids = np.frombuffer(row["ids"], dtype=f"<u{row['width']}")
-                cut = [ids[a:b].astype("<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                n, code = row["n_docs"], _code(row)
+                start, end = code.select(np.arange(n)), code.select(np.arange(1, n + 1))
+                raw = memoryview(np.frombuffer(row["ids"], dtype=f"<u{row['width']}").astype("<u4").tobytes())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                        "start": pa.array(bounds[:-1] + base[row["part"]] + row["first"], pa.int64()),
-                        "n_tokens": pa.array(np.diff(bounds), pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in cut], pa.int64()),
-                        "part": pa.array([row["part"]] * len(cut), pa.int32()),
-                        "block": pa.array([row["block"]] * len(cut), pa.int32()),
+                        "start": pa.array(start + base[row["part"]] + row["first"], pa.int64()),
+                        "n_tokens": pa.array(end - start, pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.int64()),
+                        "part": pa.array([row["part"]] * n, pa.int32()),
+                        "block": pa.array([row["block"]] * n, pa.int32()),
                     }
                 )
 
@@ -180,12 +193,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                code = EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"])
-                ids = np.frombuffer(row["ids"], dtype=f"<u{row['width']}").astype(np.int32)
-                cut = [ids[code.select(i) : code.select(i + 1)] for i in range(row["n_docs"])]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(cut, pa.list_(pa.int32()))}
-                )
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                bounds = _code(row).select(np.arange(row["n_docs"] + 1)).astype(np.int32)
+                ids = pa.array(np.frombuffer(row["ids"], dtype=f"<u{row['width']}").astype(np.int32))
+                cells = pa.ListArray.from_arrays(pa.array(bounds), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), cells], ["doc_id", "ids"])
 
     return spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(documents, "doc_id long, ids array<int>")
