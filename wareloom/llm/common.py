@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def with_own_names(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with its columns that are called like one of ``names`` (in any case), or have a dot or an accent in their
+    names, renamed, and what gives a table made from it the columns of ``docs`` again, and more columns if they are named."""
+    clash, taken, new = {n.lower() for n in names}, {c.lower() for c in docs.columns}, []
+    for column in docs.columns:
+        name = re.sub("[.`]", "_", column)
+        while name.lower() in clash or (name != column and name.lower() in taken):
+            name += "_"
+        new.append(name)
+        taken.add(name.lower())
+    return docs.toDF(*new), lambda out, *more: out.select(*[quoted(n).alias(c) for n, c in zip(new, docs.columns, strict=True)], *more)
+
+
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet in the shared folder.
 
@@ -46,6 +66,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Have Spark remove the shuffles that no plan needs any more: it does so when the driver collects its garbage,
+        and until then they fill the executors' disks."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
@@ -53,10 +79,6 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def fixed_hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a long, b long) for every id on an edge.
 
@@ -76,13 +98,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark = seen
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that both sides of the join are plain exchanges, of which Spark can split the one of a hot node
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.write(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = scratch.write(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(now, large)
+        lowest = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(lowest, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = scratch.write(small.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct(), "small")
+        scratch.drop(now, least, large, lowest)
         now = new
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

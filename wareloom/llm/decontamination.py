@@ -14,8 +14,9 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wareloom.llm.common import Scratch
+from wareloom.llm.common import Scratch, with_own_names
 from wareloom.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -103,7 +104,6 @@ def cut_words(text: str, spans: list[dict]) -> str:
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = docs.columns[:]
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -158,8 +158,8 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, fir
         if held:
             yield from flush()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if first or f.name not in found_names())
-    return docs.select(*names).mapInArrow(scan, f"{schema}, {FOUND}")
+    own = [f for f in docs.schema if first or f.name not in found_names()]
+    return docs.mapInArrow(scan, StructType([*own, *StructType.fromDDL(FOUND)]))
 
 
 def found_names() -> list[str]:
@@ -215,9 +215,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the same columns, occurrences cut out; n_chars, if there is one, follows a text that changed."""
-    out = decontaminate(docs.drop(*found_names()), benchmark, window)
-    if "n_chars" in out.columns:
-        kind = out.schema["n_chars"].dataType
+    """``docs`` with the same columns, whatever their names, and occurrences cut out; n_chars, if there is one, follows a
+    text that changed. Rows all stay, those with null or empty texts as they are."""
+    plain, back = with_own_names(docs, found_names())
+    out = decontaminate(plain, benchmark, window)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns if c not in found_names()])
+    return back(out)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wareloom.llm.common import Scratch
+from wareloom.llm.common import Scratch, quoted, with_own_names
 
 #: Lines of fewer words have no near copies; whether their exact copies go is up to the caller (``short_copies``).
 LEAST_WORDS = 5
@@ -139,18 +139,39 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies: b
     """``docs`` with the lines of ``repeated_lines`` taken out of ``text``, and n_lines, n_exact, n_near (all long).
 
     Needs doc_id and text; other columns pass through, and columns named like the three counts are replaced. A null
-    text stays null with 0 lines.
+    text stays null with 0 lines. Which lines go is kept in words of 64 bits, so a text of many lines, all of which
+    go, takes no search per line.
     """
-    docs = docs.drop("n_lines", "n_exact", "n_near", "_gone", "_key")
-    gone = repeated_lines(docs, least_words, short_copies).groupBy(F.col("doc_id").alias("_key")).agg(
-        F.collect_set("line_no").alias("_gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near")
+    docs = docs.drop("n_lines", "n_exact", "n_near")
+    plain, _ = with_own_names(docs, ("_key", "_words", "n_exact", "n_near"))
+    word = F.floor(F.col("line_no") / 64).cast("int").alias("word")
+    gone = repeated_lines(docs, least_words, short_copies).groupBy(F.col("doc_id").alias("_key"), word).agg(
+        F.expr("bit_or(shiftleft(1L, line_no % 64))").alias("bits"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near")
     )
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(gone._key), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(
-        *[F.col(c) if c != "text" else F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+    gone = gone.groupBy("_key").agg(F.collect_list(F.struct("word", "bits")).alias("_words"), *[F.sum(c).alias(c) for c in ("n_exact", "n_near")])
+    # a word for each 64 lines up to the last that goes; made below the join, so that it's made once for a document
+    dense = "transform(sequence(0, array_max(transform(_words, x -> x.word))), w -> coalesce(get(filter(_words, x -> x.word = w), 0).bits, 0L))"
+    joined = plain.join(gone.withColumn("_words", F.expr(dense)), F.col("doc_id").eqNullSafe(F.col("_key")), "left")
+    kept = "array_join(filter(split(text, '\\n', -1), (x, i) -> (shiftright(coalesce(get(_words, i div 64), 0L), i % 64) & 1) = 0), '\\n')"
+    cut = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.expr(kept))
+    counts = (
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
         F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
+    columns = [(cut if c == "text" else quoted(n)).alias(c) for n, c in zip(plain.columns, docs.columns, strict=True)]
+    return joined.select(*columns, *counts)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, whatever their names, and repeated and nearly repeated lines (of any number of words
+    for exact copies) gone, but for the earliest. A document that loses all its words goes; n_chars, if there is one,
+    follows a text that changed. See ``repeated_lines`` for nulls, ties and repeated rows."""
+    plain, back = with_own_names(docs, ("n_lines", "n_exact", "n_near"))
+    out = dedup_lines(plain, short_copies=True)
+    changed = F.col("n_exact") + F.col("n_near") > 0
+    out = out.where(~changed | F.col("text").rlike(f"[^{_SPACES}\n]"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return back(out)

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from heapq import nlargest
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from wareloom.llm.common import Scratch
+from wareloom.llm.common import Scratch, with_own_names
 
 FEATURES, SAMPLE, EPOCHS, SEED = 1 << 10, 3_000, 8, 3
 #: Documents that score less are rejected.
@@ -71,17 +72,21 @@ def votes(text: str | None) -> list[int]:
     ]
 
 
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text").alias("h")
+
+
 def vote_table(docs: DataFrame) -> DataFrame:
-    """doc_id and pattern (the votes as a string of +, -, 0 and . for 2) of each row of ``docs`` (doc_id, text)."""
+    """h (hash of doc_id and text) and pattern (the votes as a string of +, -, 0 and . for 2) of each row of ``docs``."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             marks = ["".join("0+.-"[v] for v in votes(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], ["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(marks, pa.string())], ["h", "pattern"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, pattern string")
+    return docs.select(_row_hash(), "text").mapInArrow(scan, "h long, pattern string")
 
 
 def _matrix(patterns: list[str]) -> np.ndarray:
@@ -170,8 +175,8 @@ class Scorer:
         ids, weights = features(text)
         return float(1 / (1 + np.exp(-np.clip(self.w[ids] @ weights, -30, 30))))
 
-    def fit(self, texts: list[str | None], target: np.ndarray, times: np.ndarray) -> Scorer:
-        rows = [features(t) for t in texts]
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, times: np.ndarray) -> Scorer:
+        """``rows``: what ``features`` gives for each text learned from."""
         order, pace = np.random.default_rng(SEED), np.full(FEATURES, 1e-6)
         for _ in range(EPOCHS):
             for k in order.permutation(len(rows)):
@@ -183,11 +188,27 @@ class Scorer:
         return self
 
 
+def _feature_table(docs: DataFrame) -> DataFrame:
+    """h, and the numbers and weights of the features of each row of ``docs`` (h, text)."""
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [features(t) for t in batch.column("text").to_pylist()]
+            cells = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in zip(zip(*rows), ("<i2", "<f4"))] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("h"), *cells], ["h", "ids", "weights"])
+
+    return docs.mapInArrow(scan, "h long, ids binary, weights binary")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     """The label model of all of ``docs`` (doc_id, text) and a scorer learned from up to ``sample`` of them.
 
     The driver gets one count per vote pattern (4 to the number of labellers at most), and a sample in which good
-    and bad documents, by posterior, have equal room: those with the smallest hashes of doc_id and pattern.
+    and bad documents, by posterior, have equal room: those with the smallest hashes of doc_id and text. Of a sampled
+    text it gets the features, FEATURES numbers at most however long the text is.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     table = scratch.write(vote_table(docs), "votes")
@@ -199,18 +220,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     chosen: dict[int, float] = {}
     for good in (True, False):
         own = [p for p in patterns if (label[p] >= 0.5) == good]
-        share = sample / max(1, sum(c for p, c in seen if p in own))
-        # about the sample's share of the documents by hash, then exactly its number
-        picked = table.where(F.col("pattern").isin(own) & F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id", "pattern"))
-        picked = picked.where(F.pmod("h", F.lit(1_000_000)) <= share * 1_000_000).orderBy("h", "doc_id").limit(sample // 2)
-        chosen |= {r[0]: label[r[1]] for r in picked.select("doc_id", "pattern").collect()}
-    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
-    rows = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").collect() if chosen else []
-    texts, target = [r[1] for r in rows], [chosen[r[0]] for r in rows]
-    goal = np.array(target)
+        share = 4 * sample / max(1, sum(c for p, c in seen if p in own))
+        # by hash about four times the sample's share of the rows, then exactly its number of different ones
+        picked = table.where(F.col("pattern").isin(own) & (F.pmod("h", F.lit(1_000_000)) <= share * 1_000_000)).distinct()
+        chosen |= {r[0]: label[r[1]] for r in picked.orderBy("h").limit(sample // 2).collect()}
+    scratch.drop(table)
+    if not chosen:
+        return model, Scorer()
+    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "h long")
+    found = _feature_table(docs.select(_row_hash(), "text").join(F.broadcast(ids), "h")).dropDuplicates(["h"]).collect()
+    found.sort(key=lambda r: r[0])
+    rows = [(np.frombuffer(r[1], "<i2").astype(np.int64), np.frombuffer(r[2], "<f4").astype(float)) for r in found]
+    goal = np.array([chosen[r[0]] for r in found])
     n_good, n_bad = max(1, int((goal >= 0.5).sum())), max(1, int((goal < 0.5).sum()))
-    times = np.where(goal >= 0.5, len(goal) / (2 * n_good), len(goal) / (2 * n_bad)) if len(goal) else goal
-    return model, Scorer().fit(texts, goal, np.minimum(times, 4))
+    times = np.where(goal >= 0.5, len(goal) / (2 * n_good), len(goal) / (2 * n_bad))
+    return model, Scorer().fit(rows, goal, np.minimum(times, 4))
+
+
+def _scores(scorer: Scorer, texts: list[str | None]) -> list[float]:
+    return [round(scorer.score(t), 6) if t and not t.isspace() else 1.0 for t in texts]
 
 
 def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -219,20 +247,33 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
     Needs doc_id and text; other columns pass through. Null texts and those without any word aren't judged:
     quality 1, kept; every other text is, however short. Repeated rows get the same score. An empty table stays empty.
     """
-    docs = docs.drop("quality", "rejected")
-    model = fit(docs.select("doc_id", "text"), sample)[1]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain, back = with_own_names(docs.drop("quality", "rejected"), ("quality", "rejected"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), sample)[1])
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = [round(scorer.score(t), 6) if t and not t.isspace() else 1.0 for t in texts]
+            score = _scores(shared.value, batch.column("text").to_pylist())
             yield batch.append_column("quality", pa.array(score, pa.float64())).append_column(
-                "rejected", pa.array([s < threshold for s in score])
+                "rejected", pa.array([s < threshold for s in score], pa.bool_())
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{schema}, quality double, rejected boolean")
+    more = [StructField("quality", DoubleType()), StructField("rejected", BooleanType())]
+    out = plain.mapInArrow(scan, StructType([*plain.schema.fields, *more]))
+    return back(out, "quality", "rejected")
+
+
+def keep_good(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` doesn't reject, with the columns they have, whatever their names."""
+    plain, back = with_own_names(docs, ())
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), sample)[1])
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            score = _scores(shared.value, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([s >= threshold for s in score], pa.bool_()))
+
+    return back(plain.mapInArrow(scan, plain.schema))
