@@ -3,38 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wareloom.llm import decontamination, jaccard, line_dedup, packing, quality
 from wareloom.llm.common import Scratch, table
 
+# Every stage but the last returns the columns it gets, whatever else they are called; a table without rows stays so, and
+# nulls in other columns than doc_id and text mean nothing to any stage.
+
 
 def reject_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; the classifier is fitted to the stage's own input."""
-    return quality.score_quality(docs).where("not rejected").select(docs.columns)
+    """Documents that the quality classifier rejects go; it is fitted to the stage's own input. Null texts and those without
+    a word stay; repeated rows stay or go together."""
+    return quality.keep_good(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go, but for the earliest; a document that loses all its words goes too."""
-    out = line_dedup.dedup_lines(docs, short_copies=True)
-    changed = F.col("n_exact") + F.col("n_near") > 0
-    out = out.where(~changed | (F.trim(F.translate("text", "\n", " ")) != ""))
-    kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Repeated and nearly repeated lines go, but for the earliest; a document that loses all its words goes too. Earliest
+    is by doc_id (null first), then by line. Null and empty texts stay; repeated rows of a doc_id are one document."""
+    return line_dedup.without_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8 or more), the one of the
+    smallest doc_id, and one of its repeated rows. Null and empty texts and rows without a doc_id all stay."""
     return jaccard.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts; n_chars follows."""
+    """Benchmark passages are cut out of the texts; n_chars follows. All rows stay."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, with their sequence and place."""
+    """Pieces of the documents left, with their sequence and place; a null text is an empty one, with its end id alone."""
     return packing.pack_documents(docs)
 
 
