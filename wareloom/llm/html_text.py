@@ -13,6 +13,10 @@ from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from wareloom.llm.common import with_own_names
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript iframe audio video canvas datalist title".split())
@@ -52,11 +56,23 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "body"})
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_HIDING = re.compile(r"(?<![\w-])display\s*:\s*none", re.IGNORECASE)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.IGNORECASE)
+#: A value may stand in quotes behind an equals sign; other quotes are characters like any.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.IGNORECASE)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Comments and at-rules, with the rules inside them.
+_NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", re.DOTALL)
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+_NUMBER = re.compile(r"-?[0-9]{1,6}", re.ASCII)
 _BLANK = re.compile(r"[ \t\r\n\f]+")
+#: Inputs that show their value.
+VALUED = frozenset("text search email url tel number date time month week datetime-local submit button reset".split())
+#: Columns and rows that a cell takes at most, as HTML has it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 
 
 class Node:
@@ -66,109 +82,157 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; never fails, whatever the markup."""
-    root = Node("#root", {})
-    stack, at, raw, foreign = [root], 0, "", False
+class _Open:
+    """The stack of open nodes, with the places of each tag in it, so that no question needs a walk over the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open node of ``tags``; -1 without one."""
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=-1)
 
-    def close(names, stops) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in stops:
-                return
+    def close(self, names, stops) -> bool:
+        """Close the innermost of ``names`` and all that is open in it, unless one of ``stops`` stands between."""
+        at = self.last(names)
+        if at < 1 or self.last(stops) > at:
+            return False
+        self.cut(at)
+        return True
 
-    def close_all(names, stops) -> None:
-        size = -1
-        while size != len(stack):
-            size = len(stack)
-            close(names, stops)
 
+def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The tree of a page, and the (selector, declarations) of its style sheets; never fails, whatever the markup."""
+    root, rules = Node("#root", {}), []
+    open_ = _Open(root)
+    at, raw = 0, ""
     while at < len(html):
+        here = open_.nodes[-1]
         if raw:
             end = re.compile(rf"</{raw}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
             stop = end.start() if end else len(html)
-            stack[-1].children.append(unescape(html[at:stop]) if raw in ("textarea", "title") else html[at:stop])
+            here.children.append(unescape(html[at:stop]) if raw in ("textarea", "title") else html[at:stop])
+            if raw == "style":
+                rules += _RULE.findall(_NO_RULE.sub(" ", html[at:stop]))
             at, raw = end.end() if end else len(html), ""
-            stack.pop()
+            open_.cut(len(open_.nodes) - 1)
             continue
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
-            if stack[-1].tag == "head" and text.strip(" \t\r\n\f"):
-                stack.pop()
-            stack[-1].children.append(unescape(text))
+            if here.tag == "head" and text.strip(" \t\r\n\f"):
+                open_.cut(len(open_.nodes) - 1)
+            open_.nodes[-1].children.append(unescape(text))
         if not m:
             break
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+                open_.nodes[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in VOID and tag != "br":
                 continue
-            if tag == "p" and all(n.tag != "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+            if tag == "p" and not open_.places.get("p"):
+                open_.nodes[-1].children.append(Node("p", {}))
             stops = {"table", "#root"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "li") else SCOPE - {tag}
-            close({tag}, stops if tag not in ("table", "html", "body") else ())
+            open_.close({tag}, stops if tag not in ("table", "html", "body") else ())
             continue
-        own = {a.lower(): unescape(v.strip("\"'")) for a, v in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
+        own = {}
+        if m[3].strip(" /\n\t"):
+            for name, value in _ATTRIBUTE.findall(m[3]):
+                own.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1 else value))
         inside = 0
-        if foreign and (tag in BREAKOUT or m[3].endswith("/")):
-            inside = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in FOREIGN | AGAIN), 0)
-            inside = inside if stack[inside].tag in FOREIGN else 0
-            if inside and tag in BREAKOUT:
-                del stack[inside:]
+        if (tag in BREAKOUT or m[3].endswith("/")) and open_.last(FOREIGN) > open_.last(AGAIN):
+            inside = open_.last(FOREIGN)
+            if tag in BREAKOUT:
+                open_.cut(inside)
                 inside = 0
-        if tag in ("html", "body"):
-            if any(n.tag == tag for n in stack):
-                continue
-        if tag != "html" and stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        if tag in ("html", "body") and open_.places.get(tag):
+            continue
+        if tag != "html" and open_.nodes[-1].tag == "head" and tag not in IN_HEAD:
+            open_.cut(len(open_.nodes) - 1)
         if tag in BLOCK and tag not in ("html", "body"):
-            close({"p"}, SCOPE)
+            open_.close({"p"}, SCOPE)
         if tag in ENDS:
-            close_all(*ENDS[tag])
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
-            stack.pop()
+            while open_.close(*ENDS[tag]):
+                pass
+        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", open_.nodes[-1].tag):
+            open_.cut(len(open_.nodes) - 1)
         node = Node(tag, own)
-        stack[-1].children.append(node)
+        open_.nodes[-1].children.append(node)
         if tag in VOID or (inside and m[3].endswith("/")):
             continue
-        foreign = foreign or tag in FOREIGN
-        stack.append(node)
+        open_.push(node)
         if tag in RAW:
             raw = tag
-    return root
+    return root, rules
+
 
+class Styles:
+    """What a page's rules say of display and visibility, by tag, class and number; the last of the strongest counts.
+
+    Selectors that look at more than the node itself (combinators, states, attributes) and rules inside @media are left
+    out: whether they hold can't be told here.
+    """
 
-def visible(node: Node) -> bool:
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.by: dict[str, list[tuple]] = {}
+        for order, (selectors, body) in enumerate(rules):
+            said = {k.lower(): v.lower() for k, v in _DECLARED.findall(body)}
+            for selector in selectors.split(",") if said else ():
+                m = _SIMPLE.match(selector.strip())
+                if not m or not m[0] or "@" in selectors:
+                    continue
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                strength = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), bool(m[1] and m[1] != "*"))
+                key = marks[0] if marks else (m[1] or "*").lower()
+                self.by.setdefault(key, []).append((strength, order, (m[1] or "*").lower(), frozenset(marks), said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        found: list[tuple] = []
+        if self.by:
+            marks = {f".{c}" for c in node.attributes.get("class", "").split()} | {f"#{node.attributes.get('id', '')}"}
+            for key in {*marks, node.tag, "*"} & self.by.keys():
+                found += [x for x in self.by[key] if x[2] in ("*", node.tag) and x[3] <= marks]
+        said: dict[str, str] = {}
+        for *_, own in sorted(found, key=lambda x: x[:2]):
+            said |= own
+        return said | {k.lower(): v.lower() for k, v in _DECLARED.findall(node.attributes.get("style", ""))}
+
+
+def visible(node: Node, said: dict[str, str]) -> bool:
     """Whether anything of a node is to be seen, but for the visibility that it hands down."""
     a = node.attributes
     return not (
         node.tag in HIDDEN
-        or "hidden" in a
+        or ("hidden" in a and "display" not in said)
         or a.get("aria-hidden", "").lower() == "true"
         or (node.tag == "dialog" and "open" not in a)
-        or _HIDING.search(a.get("style", ""))
+        or said.get("display") == "none"
     )
 
 
-def shown(node: Node, before: bool) -> bool:
+def shown(said: dict[str, str], before: bool) -> bool:
     """The visibility of a node in a parent of visibility ``before``."""
-    said = _VISIBILITY.findall(node.attributes.get("style", ""))
-    return {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(said[-1].lower(), before) if said else before
+    return {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(said.get("visibility", ""), before)
 
 
 class _Page:
     """Lines under construction. ``gap`` is what the next text needs before it: 0 nothing, 1 a new line, 2 an empty one."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self):
         self.lines: list[str] = []
-        self.now, self.gap, self.space, self.indent, self.mark = "", 0, False, indent, ""
+        self.now, self.gap, self.space, self.indent, self.mark = "", 0, False, "", ""
 
     def block(self, gap: int) -> None:
         if self.now:
@@ -183,11 +247,11 @@ class _Page:
             self.space = self.space or bool(flat)
             return
         blank = (self.space or flat[0] == " ") and self.now and not self.now.endswith(" ")
-        self._start()
+        self.start()
         self.now += (" " if blank else "") + body
         self.space = flat[-1] == " "
 
-    def _start(self) -> None:
+    def start(self) -> None:
         if not self.now:
             if self.gap == 2 and self.lines:
                 self.lines.append("")
@@ -195,87 +259,164 @@ class _Page:
             if self.mark:
                 self.mark = ""
 
-    def verbatim(self, line: str) -> None:
+    def verbatim(self, text: str) -> None:
+        """Text of which every blank counts; its empty lines stay if text stands before and behind them."""
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                if not self.now and self.lines and self.gap == 1:
+                    self.lines.append("")
+                self.block(1)
+            if line.strip():
+                self.start()
+                self.now += line
+
+    def line(self, line: str) -> None:
         self.block(1)
-        self._start()
+        self.start()
         self.now += line
         self.lines.append(self.now.rstrip(" "))
         self.now = ""
 
-    def end(self) -> str:
+    def end(self) -> list[str]:
         self.block(0)
-        return "\n".join(self.lines)
-
-
-def _inside(node: Node, seen: bool) -> str:
-    page = _Page()
-    for c in node.children:
-        _write(c, page, [], False, seen)
-    return page.end()
-
-
-def _table(node: Node, page: _Page, seen: bool) -> None:
-    rows: list[list[str]] = []
+        while self.lines and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines
+
+
+def _number(text: str | None, least: int, most: int, default: int) -> int:
+    return min(max(int(text), least), most) if text and _NUMBER.fullmatch(text) else default
+
+
+class _Table:
+    """Cells of a table, with the columns and rows that they take."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[_Page, int, int]]] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def cell(self, node: Node | None = None) -> _Page:
+        if not self.rows:
+            self.row()
+        a = node.attributes if node else {}
+        page = _Page()
+        self.rows[-1].append((page, _number(a.get("colspan"), 1, MOST_COLUMNS, 1), _number(a.get("rowspan"), 0, MOST_ROWS, 1)))
+        return page
+
+    def lines(self) -> Iterator[str]:
+        """Rows as lines: columns as wide as their widest cell, a cell of several lines on as many lines."""
+        taken: dict[int, int] = {}  # column: rows from above that still take it
+        placed, widths, wide = [], {}, []
+        for k, row in enumerate(self.rows):
+            column, out = 0, []
+            for page, columns, rows in row:
+                while taken.get(column, 0) > 0:
+                    column += 1
+                text = page.end()
+                out.append((column, columns, text))
+                size = max(map(len, text), default=0)
+                if columns == 1:
+                    widths[column] = max(widths.get(column, 0), size)
+                elif size:
+                    wide.append((columns, column, size))
+                for c in range(column, column + columns) if rows != 1 else ():
+                    taken[c] = max(taken.get(c, 0), (rows or len(self.rows) - k))
+                column += columns
+            placed.append(out)
+            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        # a column that only cells over several columns take has no width of its own
+        for columns, column, size in sorted(wide):
+            own = [c for c in range(column, column + columns) if c in widths]
+            last = own[-1] if own else column
+            widths[last] = widths.get(last, 0) + max(0, size - sum(widths.get(c, 0) for c in own) - 3 * max(0, len(own) - 1))
+        order = sorted(widths)
+        for row in placed:
+            at = {c: (columns, text) for c, columns, text in row}
+            for k in range(max((len(text) for _, _, text in row), default=0)):
+                parts, skip = [], -1
+                for c in order:
+                    if c < skip:
+                        continue
+                    columns, text = at.get(c, (1, []))
+                    skip = c + columns
+                    span = [widths[x] for x in order if c <= x < skip]
+                    parts.append((text[k] if k < len(text) else "").ljust(sum(span) + 3 * (len(span) - 1)))
+                line = " | ".join(parts).rstrip()
+                if line.strip(" |"):
+                    yield line
+
+
+class _Writer:
+    """Writes a tree over a stack of its own, so deep trees are fine. A step carries the page it writes to, whether text is
+    verbatim, the visibility handed down, the open lists, and HTML (''), a formula, an SVG image or text within one."""
+
+    def __init__(self, styles: Styles):
+        self.styles, self.work = styles, []
+
+    def later(self, do) -> None:
+        self.work.append((do, None, None, None, None, None))
+
+    def children(self, node: Node, page: _Page, lists: tuple, pre: bool, seen: bool, mode: str) -> None:
+        for c in reversed(node.children):
+            self.work.append((c, page, lists, pre, seen, mode))
+            if mode == "math" and node.tag in APART:
+                self.later(lambda: setattr(page, "space", True))
+
+    def table(self, node: Node, page: _Page, pre: bool, seen: bool) -> None:
+        table = _Table()
+
+        def end() -> None:
+            for line in table.lines():
+                page.line(line)
+            page.block(2)
 
-    def collect(n: Node, seen: bool) -> None:
-        for c in n.children:
+        page.block(2)
+        self.later(end)
+        steps: list = []
+        todo, loose = [(c, "table", seen) for c in reversed(node.children)], False
+        while todo:
+            c, parent, seen = todo.pop()
             if isinstance(c, str):
                 if seen and c.strip():
-                    page.text(c)
+                    steps.append((c, table.cell() if parent == "tr" else page, (), pre, seen, ""))
                 continue
-            if not visible(c):
+            said = self.styles.of(c)
+            if not visible(c, said):
                 continue
-            own = shown(c, seen)
-            if c.tag == "tr":
-                rows.append([_BLANK.sub(" ", _inside(x, shown(x, own))) for x in c.children if isinstance(x, Node) and visible(x)])
-                loose = " ".join(x.strip() for x in c.children if own and isinstance(x, str) and x.strip())
-                if loose:
-                    rows[-1].append(_BLANK.sub(" ", loose))
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                collect(c, own)
-            elif c.tag in ("td", "th"):
-                rows.append([_BLANK.sub(" ", _inside(c, own))])
+            if parent == "tr" or c.tag in ("td", "th"):
+                if parent != "tr" and not loose:
+                    table.row()
+                loose = parent != "tr"
+                steps.append((c, table.cell(c), (), pre, seen, ""))
+            elif c.tag in ("tr", "tbody", "thead", "tfoot"):
+                loose = False
+                if c.tag == "tr":
+                    table.row()
+                todo += [(x, c.tag, shown(said, seen)) for x in reversed(c.children)]
             else:
-                page.block(1)
-                _write(c, page, [], False, seen)
-                page.block(1)
-
-    collect(node, seen)
-    widths = [max(len(r[k]) for r in rows if len(r) > k) for k in range(max(map(len, rows), default=0))]
-    for r in rows:
-        if any(r):
-            page.verbatim(" | ".join(cell.ljust(w) for cell, w in zip(r, widths)).rstrip())
-
-
-def _write(node, page: _Page, lists: list, pre: bool, seen: bool = True) -> None:
-    """Write a node; a stack of its own, so deep trees are fine.
-
-    ``seen`` is the visibility handed down; ``mode`` tells HTML (''), a formula, an SVG image and text within one.
-    """
-    work: list = [("open", node, lists, pre, seen, "")]
-    while work:
-        what, n, lists, pre, seen, mode = work.pop()
-        if what == "do":
-            n()
-            continue
-        if isinstance(n, str):
-            if not seen or mode == "svg":
-                continue
-            if pre:
-                for k, line in enumerate(n.split("\n")):
-                    if k:
-                        page.block(1)
-                    if line.strip():
-                        page._start()
-                        page.now += line
+                steps.append((c, page, (), pre, seen, ""))
+        self.work += reversed(steps)
+
+    def write(self, node, page: _Page, seen: bool = True) -> None:
+        self.work.append((node, page, (), False, seen, ""))
+        while self.work:
+            n, page, lists, pre, seen, mode = self.work.pop()
+            if callable(n):
+                n()
+            elif isinstance(n, str):
+                if seen and mode != "svg":
+                    (page.verbatim if pre else page.text)(n)
             else:
-                page.text(n)
-            continue
-        if not visible(n):
-            continue
-        tag, seen = n.tag, shown(n, seen)
+                said = self.styles.of(n)
+                if visible(n, said):
+                    self.node(n, page, lists, pre, shown(said, seen), mode)
+
+    def node(self, n: Node, page: _Page, lists: tuple, pre: bool, seen: bool, mode: str) -> None:
+        tag = n.tag
         if (mode in ("svg", "text") and tag in UNDRAWN) or (mode == "math" and tag in UNSAID):
-            continue
+            return
         if tag in FOREIGN:
             mode = tag
         elif tag == "foreignobject":
@@ -283,56 +424,58 @@ def _write(node, page: _Page, lists: list, pre: bool, seen: bool = True) -> None
         elif tag == "text" and mode == "svg":
             mode, page.space = "text", True
         if tag == "br":
-            page.block(1)
-            continue
-        if tag == "table":
-            page.block(2)
-            _table(n, page, seen)
-            page.block(2)
-            continue
-        if tag == "img":
+            page.verbatim("\n") if pre else page.block(1)
+        elif tag == "table":
+            self.table(n, page, pre, seen)
+        elif tag == "img":
             if seen and n.attributes.get("alt", "").strip():
                 page.text(n.attributes["alt"])
-            continue
-        if tag == "input":
-            if seen and n.attributes.get("type", "text").lower() in ("submit", "button", "reset") and n.attributes.get("value"):
+        elif tag == "input":
+            if seen and n.attributes.get("type", "text").lower() in VALUED and n.attributes.get("value"):
                 page.text(n.attributes["value"])
-            continue
-        after: list = []
-        if tag in BLOCK:
-            gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1
+        else:
+            self.inside(n, page, lists, pre or tag in ("pre", "textarea", "listing", "xmp"), seen, mode)
+
+    def inside(self, n: Node, page: _Page, lists: tuple, pre: bool, seen: bool, mode: str) -> None:
+        tag = n.tag
+        gap = (2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1) if tag in BLOCK else 0
+        if gap:
             page.block(gap)
-            after.append(("do", lambda g=gap: page.block(g), None, None, None, None))
+            self.later(lambda: page.block(gap))
         if tag in ("ul", "ol", "menu", "dir"):
-            start = n.attributes.get("start", "1")
-            lists = [*lists, [tag, int(start) if start.lstrip("-").isdigit() else 1]]
+            lists = (*lists, [tag, _number(n.attributes.get("start"), -999_999, 999_999, 1)])
         elif tag == "li":
-            kind = lists[-1] if lists else ["ul", 1]
-            depth = "  " * max(0, len(lists) - 1)
-            before = (page.indent, page.mark)
-            page.indent, page.mark = depth, "- " if kind[0] != "ol" else f"{kind[1]}. "
+            kind, before = lists[-1] if lists else ["ul", 1], (page.indent, page.mark)
+            kind[1] = _number(n.attributes.get("value"), -999_999, 999_999, kind[1])
+            page.indent, page.mark = "  " * max(0, len(lists) - 1), "- " if kind[0] != "ol" else f"{kind[1]}. "
             kind[1] += 1
-            after.append(("do", lambda b=before: (setattr(page, "indent", b[0]), setattr(page, "mark", b[1])), None, None, None, None))
+
+            def restore() -> None:
+                page.block(1)
+                page.indent, page.mark = before
+
+            self.later(restore)
         elif tag == "dd":
-            before = page.indent
+            before_indent = page.indent
             page.indent += "  "
-            after.append(("do", lambda b=before: setattr(page, "indent", b), None, None, None, None))
-        elif tag == "option" or tag == "button":
+
+            def outdent() -> None:
+                page.block(1)
+                page.indent = before_indent
+
+            self.later(outdent)
+        elif tag in ("option", "button"):
             page.space = True
         elif tag == "text" and mode == "text":
-            after.append(("do", lambda: setattr(page, "space", True), None, None, None, None))
-        work += after[::-1] if tag not in ("li", "dd") else after
-        for c in reversed(n.children):
-            work.append(("open", c, lists, pre or tag == "pre", seen, mode))
-            if mode == "math" and tag in APART:
-                work.append(("do", lambda: setattr(page, "space", True), None, None, None, None))
+            self.later(lambda: setattr(page, "space", True))
+        self.children(n, page, lists, pre, seen, mode)
 
 
 def visible_text(html: str | None) -> str:
     """All visible text of a page, laid out; '' for null, empty or invisible pages."""
-    page = _Page()
-    _write(parse(html or ""), page, [], False)
-    return page.end().strip("\n")
+    page, (root, rules) = _Page(), parse(html or "")
+    _Writer(Styles(rules)).write(root, page)
+    return "\n".join(page.end()).strip("\n")
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
@@ -341,12 +484,14 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     Null or empty html gives ''. Rows are independent; repeated rows give the same text, an empty table none.
     """
     base = pages.drop(text) if text != html else pages
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
+    plain, back = with_own_names(base, ("_seen",))
+    column = plain.columns[base.columns.index(html)]
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.append_column(text, pa.array([visible_text(h) for h in batch.column(html).to_pylist()], pa.string()))
+            yield batch.append_column("_seen", pa.array([visible_text(h) for h in batch.column(column).to_pylist()], pa.string()))
 
-    return base.mapInArrow(scan, f"{', '.join(names)}, `{text}` string")
+    out = plain.mapInArrow(scan, StructType([*plain.schema, StructField("_seen", StringType())]))
+    return back(out, F.col("_seen").alias(text)) if text != html else back(out.drop(column).withColumnRenamed("_seen", column))
