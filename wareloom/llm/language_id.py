@@ -1,11 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads the bytes of a stretch of text without white space (of up to STRETCH bytes; longer ones are cut) in
-both directions and labels every byte with a language. A document's probabilities are the mean over all its bytes, in
-whatever stretches they stand, so every byte of every text counts. Stretches repeat a lot; a worker reads each
-distinct one once and remembers its summed label probabilities.
+The network reads whole texts, blanks and all, in windows of STEP bytes that overlap: CONTEXT more bytes on either side
+bring both directions' states up to date before a window's own bytes are labelled. Every byte of every text is labelled
+once; a document's probabilities are the mean over all its bytes.
 
-Training is backpropagation through time on stretches of a bounded number of documents.
+Training is backpropagation through time on windows from anywhere in a bounded number of documents.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCH = 24
-HIDDEN, EMBED, EPOCHS, BATCH, RATE, SEED = 16, 12, 5, 512, 0.01, 5
-#: Documents learned from, per language at most, and stretches taken from them in all.
-SAMPLE_DOCS, SAMPLE_STRETCHES = 400, 40_000
-#: Distinct stretches that a worker remembers.
-REMEMBERED = 300_000
+HIDDEN, EMBED, EPOCHS, BATCH, RATE, SEED = 8, 12, 4, 128, 0.01, 5
+#: Bytes that a window labels, and those it reads on either side for their state; rows of one run of the network.
+STEP, CONTEXT, ROWS = 704, 64, 1024
+#: Learned from, per language: about so many documents, and windows of so many bytes, from each document at most so many.
+SAMPLE_DOCS, SAMPLE_WINDOWS, LEARNED_BYTES, PER_DOC = 400, 1_500, 96, 16
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -58,26 +57,42 @@ class ByteGRU:
             h = states[t] = new
         return states, trace
 
-    def _states(self, d: str, bytes_: np.ndarray) -> np.ndarray:
-        """States (steps, rows, hidden) of one direction over stretches of one length, without what training needs."""
-        h_, n = self.hidden, bytes_.shape[1]
-        into = self.w["e"] @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h, states = np.zeros((len(bytes_), h_), np.float32), np.empty((n, len(bytes_), h_), np.float32)
-        for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            now, back = into[bytes_[:, t]], h @ self.w[f"h{d}"]
-            gates = np.tanh((now[:, : 2 * h_] + back[:, : 2 * h_]) * np.float32(0.5))
-            gates *= np.float32(0.5)
-            gates += np.float32(0.5)
-            c = np.tanh(now[:, 2 * h_ :] + gates[:, h_:] * back[:, 2 * h_ :])
-            h = states[t] = c + gates[:, :h_] * (h - c)
-        return states
-
-    def label(self, bytes_: np.ndarray) -> np.ndarray:
-        """Label probabilities (steps, rows, labels) of the bytes of stretches of one length (rows, steps)."""
-        states = np.concatenate([self._states(d, bytes_) for d in "fb"], axis=2)
-        scores = states @ self.w["o"] + self.w["p"]
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-        return scores / scores.sum(axis=2, keepdims=True)
+    def _scores(self, d: str, bytes_: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What one direction adds to the label scores: (labels, steps, rows). Rows are in falling order of ``sizes``, so
+        at each step those that have a byte there come first, and the others' states stay 0."""
+        h_, (rows, steps) = self.hidden, bytes_.shape
+        into, half = self.w["e"] @ self.w[f"x{d}"] + self.w[f"c{d}"], np.float32(0.5)
+        into_gates, into_c = into[:, : 2 * h_] * half, into[:, 2 * h_ :].copy()
+        back_gates, back_c = self.w[f"h{d}"][:, : 2 * h_] * half, self.w[f"h{d}"][:, 2 * h_ :].copy()
+        h, states, by_step = np.zeros((rows, h_), np.float32), np.zeros((steps, rows, h_), np.float32), bytes_.T.astype(np.intp)
+        live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            k = live[t]
+            gates, c = into_gates.take(by_step[t, :k], axis=0), h[:k] @ back_c
+            gates += h[:k] @ back_gates
+            np.tanh(gates, out=gates)
+            gates += np.float32(1)
+            gates *= half
+            c *= gates[:, h_:]
+            c += into_c.take(by_step[t, :k], axis=0)
+            np.tanh(c, out=c)
+            new = states[t, :k]
+            np.subtract(h[:k], c, out=new)
+            new *= gates[:, :h_]
+            new += c
+            h = states[t]
+        out = self.w["o"][:h_] if d == "f" else self.w["o"][h_:]
+        return (out.T @ states.reshape(-1, h_).T).reshape(-1, steps, rows)
+
+    def label(self, bytes_: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Label probabilities (labels, steps, rows) of rows of bytes, in falling order of their ``sizes``."""
+        scores = self._scores("f", bytes_, sizes)
+        scores += self._scores("b", bytes_, sizes)
+        scores += self.w["p"][:, None, None]
+        scores -= scores.max(axis=0)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=0)
+        return scores
 
     def gradients(self, bytes_: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         h_, live = self.hidden, bytes_.T < 256
@@ -130,78 +145,85 @@ class ByteGRU:
         return self
 
 
-def stretches(text: str) -> list[bytes]:
-    out = text.encode().split()
-    if len(max(out, key=len, default=b"")) > STRETCH:
-        out = [w[k : k + STRETCH] for w in out for k in range(0, len(w), STRETCH)]
+def padded(windows: list[bytes]) -> np.ndarray:
+    out = np.full((len(windows), max(map(len, windows))), 256, dtype=np.int16)
+    sizes = np.array([len(w) for w in windows])
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(windows), dtype=np.uint8)
     return out
 
 
-def padded(words: list[bytes]) -> np.ndarray:
-    out = np.full((len(words), max(map(len, words))), 256, dtype=np.int16)
-    sizes = np.array([len(w) for w in words])
-    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return out
+def read(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
+    """Mean label probabilities over all bytes of each text; zeros for an empty one."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    raw, first = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(sizes) - sizes
+    windows = -(-sizes // STEP)
+    doc = np.repeat(np.arange(len(texts)), windows)
+    own = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * STEP
+    begin, end = np.maximum(own - CONTEXT, 0), np.minimum(own + STEP + CONTEXT, sizes[doc])
+    skip, size = own - begin, end - begin
+    kept = np.minimum(own + STEP, sizes[doc]) - own
+    begin += first[doc]
+    order, sums = np.argsort(-size, kind="stable"), np.zeros((len(doc), len(model.labels)))
+    for k in range(0, len(order), ROWS):
+        at = order[k : k + ROWS]
+        steps = np.arange(int(size[at[0]]))
+        part = raw[np.minimum(begin[at][:, None] + steps, len(raw) - 1)]
+        inside = (steps[:, None] >= skip[at]) & (steps[:, None] < (skip + kept)[at])
+        sums[at] = np.einsum("ltr,tr->rl", model.label(part, size[at]), inside.astype(np.float32))
+    out = np.zeros((len(texts), len(model.labels)))
+    np.add.at(out, doc, sums)
+    return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-12)
+
+
+def _learned_windows(known: DataFrame, shares: dict[str, float], per_doc: int, size: int) -> DataFrame:
+    """(lang, h, window binary): windows from anywhere in the documents that their hashes choose; cut on the executors."""
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in shares.items()])
+    chosen = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
+                raw = text.encode()
+                places = np.arange(0, max(1, len(raw) - size // 2), size)
+                random = np.random.default_rng(h & ((1 << 62) - 1))
+                if len(places) > per_doc:
+                    places = random.choice(len(raw) - size, per_doc, replace=False)
+                for a in places.tolist() if raw else []:
+                    for column, value in zip(out, (lang, int(random.integers(1 << 62)), raw[a : a + size]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["lang", "h", "window"]
+            )
 
+    return chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, window binary")
 
-class Reader:
-    """Sums of a stretch's label probabilities, remembered for the distinct stretches of a worker."""
-
-    def __init__(self, model: ByteGRU, remembered: int = REMEMBERED):
-        self.model, self.remembered = model, remembered
-        self.number: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(model.labels)), np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        words.sort(key=len)
-        sizes, sums = np.array([len(w) for w in words]), []
-        for n in np.unique(sizes):
-            for a in range(np.searchsorted(sizes, n), np.searchsorted(sizes, n, side="right"), 2048):
-                part = words[a : min(a + 2048, np.searchsorted(sizes, n, side="right"))]
-                sums.append(self.model.label(np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, n)).sum(axis=0))
-        start = len(self.number)
-        self.number.update(zip(words, range(start, start + len(words)), strict=True))
-        self.sums = np.concatenate((self.sums, *sums))
-
-    def read(self, texts: list[str]) -> np.ndarray:
-        """Mean label probabilities over the bytes of each text; zeros where there are none."""
-        words = [stretches(t) for t in texts]
-        if len(self.number) > self.remembered:
-            self.number, self.sums = {}, self.sums[:0]
-        new = [w for w in set().union(*words) if w not in self.number]
-        if new:
-            self._learn(sorted(new))
-        out = np.zeros((len(texts), len(self.model.labels)))
-        for k, w in enumerate(words):
-            if w:
-                own = self.sums[np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))].sum(axis=0, dtype=np.float64)
-                out[k] = own / max(own.sum(), 1e-12)
-        return out
-
-
-_READERS: dict[str, Reader] = {}
-
-
-def train(examples: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_stretches: int = SAMPLE_STRETCHES) -> ByteGRU | None:
+
+def train(
+    examples: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, size: int = LEARNED_BYTES, per_doc: int = PER_DOC
+) -> ByteGRU | None:
     """A network fitted on the driver to ``examples`` (doc_id, text, lang), or None without any.
 
-    It sees a bounded sample: of each language the first 4,000 characters of ``sample_docs`` documents (predictions read
-    whole texts), those of the smallest hash of doc_id and
-    text, and ``sample_stretches`` stretches of them in all. Rows with a null text or lang teach nothing.
+    It sees a bounded sample: of each language about ``sample_docs`` documents, chosen by hashes of doc_id and text, up
+    to ``per_doc`` windows of ``size`` bytes from anywhere in each, and ``sample_windows`` of these. The driver gets the
+    windows, not the texts. Rows with a null text or lang teach nothing.
     """
-    known = examples.where("text is not null and lang is not null")
-    labels = sorted(r[0] for r in known.select("lang").distinct().collect())
-    words, target = [], []
-    for k, lang in enumerate(labels):
-        part = known.where(F.col("lang") == lang).withColumn("h", F.xxhash64("doc_id", "text"))
-        rows = part.orderBy("h").limit(sample_docs).select(F.substring("text", 1, 4000)).collect()
-        own = [w for r in rows for w in stretches(r[0])]
-        take = np.random.default_rng(SEED).permutation(len(own))[: sample_stretches // len(labels)]
-        words += [own[i] for i in take]
-        target += [k] * len(take)
-    if not words:
+    known = examples.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    counts = dict(sorted((r[0], r[1]) for r in known.groupBy("lang").count().collect()))
+    if not counts:
+        return None
+    shares = {k: min(1.0, sample_docs / n) for k, n in counts.items()}
+    rows = sorted(_learned_windows(known, shares, per_doc, size).collect(), key=lambda r: (r[1], r[2]))
+    windows, target = [], []
+    for k, lang in enumerate(counts):
+        own = [bytes(r[2]) for r in rows if r[0] == lang][:sample_windows]
+        windows += own
+        target += [k] * len(own)
+    if not windows:
         return None
-    return ByteGRU(labels).fit(padded(words), np.array(target))
+    return ByteGRU(list(counts)).fit(padded(windows), np.array(target))
 
 
 def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
@@ -209,35 +231,28 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
 
     The label with the highest mean probability over the text's bytes, and that probability. A null text or one
     without letters is UNDETERMINED with score 0; so is every text without a model. Ties go to the first label.
+    Repeated rows get the same label; an empty table stays empty.
     """
-    import uuid
-
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from wareloom.llm import language_id as here
 
-        if key not in here._READERS:
-            here._READERS.clear()
-            if shared.value is not None:
-                here._READERS[key] = Reader(shared.value)
-        reader = here._READERS.get(key)
+        model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            names, scores, at = [], [], 0
+            texts, names, scores, at = batch.column("text").to_pylist(), [], [], 0
             while at < len(texts):
                 part, size = [], 0
-                while at + len(part) < len(texts) and size < 2_000_000:
-                    part.append(texts[at + len(part)])
+                while at + len(part) < len(texts) and size < SLICE_BYTES:
+                    text = texts[at + len(part)]
+                    part.append(text.encode() if model and text and _LETTER.search(text) else b"")
                     size += len(part[-1])
                 at += len(part)
-                means = reader.read(part) if reader else None
-                for k, t in enumerate(part):
-                    sure = reader is not None and _LETTER.search(t) is not None
-                    best = int(means[k].argmax()) if sure else 0
-                    names.append(reader.model.labels[best] if sure else UNDETERMINED)
-                    scores.append(min(1.0, round(float(means[k][best]), 6)) if sure else 0.0)
+                means = read(model, part) if model else None
+                for k, raw in enumerate(part):
+                    best = int(means[k].argmax()) if raw else 0
+                    names.append(model.labels[best] if raw else UNDETERMINED)
+                    scores.append(min(1.0, round(float(means[k][best]), 6)) if raw else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )
