@@ -91,16 +91,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
 
     now = scratch.write(tied(edges), "edges")
-    mark = None
     while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = now.select("u", "v", F.lit(1).alias("above"))
+        both = up.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("above")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum("above").alias("above"), F.count("*").alias("n"))
         # written, so that both sides of the join are plain exchanges, of which Spark can split the one of a hot node
-        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.write(least, "least")
+        # done when each node is a smallest one, or hangs on one edge
+        if least.where("above > 1 or (above > 0 and above < n)").isEmpty():
+            scratch.drop(least)
+            break
+        large = both.join(least.select("u", "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.write(large, "large")
         lowest = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")

@@ -1,14 +1,17 @@
 """N-gram Jaccard join: size-aware heavy-light similarity join on word-shingle sets.
 
-1. One pass turns every text into a set of 64-bit shingle hashes and keeps its size, a fingerprint and its smallest
-   hashes. Documents with equal sets become one class, represented by the smallest doc_id.
+1. One pass turns every text into a set of 64-bit shingle hashes and keeps its size, a fingerprint, its smallest
+   hashes and a bitmap (the parity of the set's hashes, one to two bits a shingle). Documents with equal sets become
+   one class.
 2. Light (small) sets enumerate their subsets of exactly the size that a link needs; sets that share a subset link.
    Heavy sets scan inverted lists of their rarest shingles. The boundary is where the two costs, counted on the
    corpus, meet.
-3. In each list the member with the fewest rarer shingles is tried against all others (a star). Verified links make
-   components; then only members of different components are paired, so copies are never paired with each other,
-   yet every link between different components is found.
-4. Candidates are verified on whole sets, which are recomputed for the documents concerned only.
+3. In each list one member is tried against all others (a star). Verified links make components; then only members of
+   different components are paired, so copies are never paired with each other, yet every link between different
+   components is found.
+4. Bits in which two bitmaps differ are shingles that one set has alone, so bitmaps bound the intersection from above:
+   pairs that can't link go without moving a set. What is left is verified on whole sets, which are made again for the
+   documents concerned only, first one partner for each, then the others that are still in different components.
 """
 
 from __future__ import annotations
@@ -20,21 +23,24 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wareloom.llm.common import Scratch, connected_components
+from wareloom.llm.common import Scratch, connected_components, quoted
 
 #: A link: intersection * 100 >= 90 * union.
 SIMILARITY = (90, 100)
 SHINGLE = 3
 #: Sets up to this size are kept whole from the first pass; the light boundary lies below.
 KEPT_WHOLE = 64
-#: Shingles in more lists' prefixes than this are frequent and come last; the number is raised until they are few.
-FREQUENT, MOST_FREQUENT = 64, 500_000
+#: Shingles in more sets' prefixes than this are frequent and come last; the number is raised until they are few.
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Lists of up to SHORT_LIST members pair them as rows; longer ones are compared in tiles of about TILE members.
 SHORT_LIST, TILE = 16, 256
 #: Partners of one document in one verification block, and bits of the filter on documents concerned.
 BLOCK, FILTER_BITS = 256, 1 << 24
+#: Sets of one batch on the way to verification.
+SETS_AT_ONCE = 256
+#: Document numbers that may be broadcast.
+BROADCAST_IDS = 1_000_000
 SLICE_BYTES = 1 << 19
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -148,47 +154,68 @@ def _rows_of(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _bitmap(grams: np.ndarray) -> bytes:
+    """Parities of the hashes of a set by their lowest bits: a power of two of bits, at least one a shingle."""
+    bits = 1 << max(6, (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount(grams & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of the same length as rows of 64-bit words, folded to ``size`` bytes: parities of fewer bits add up."""
+    rows = np.frombuffer(b"".join(bitmaps), dtype=np.uint64).reshape(len(bitmaps), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def _fingerprints(grams: np.ndarray) -> tuple[int, int]:
+    raw = grams.view(np.uint64)
+    return tuple(int(_mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (raw, raw ^ np.uint64(_BASE)))
+
+
 def shingle_table(docs: DataFrame, rule: Rule, words: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), low (its smallest hashes, all of a set of up to KEPT_WHOLE)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), low (its smallest hashes, all of a set of up to KEPT_WHOLE), bits."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingler = Shingler(words)
         for batch in batches:
-            n, f1, f2, low = [], [], [], []
+            n, f1, f2, low, bits = [], [], [], [], []
             for s in shingler.sets(batch.column("text").to_pylist()):
                 n.append(len(s))
-                raw = s.view(np.uint64)
-                f1.append(int(_mix(raw).sum(dtype=np.uint64).astype(np.int64)))
-                f2.append(int(_mix(raw ^ np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)))
+                for column, value in zip((f1, f2), _fingerprints(s), strict=True):
+                    column.append(value)
                 p = rule.prefix(len(s)) if len(s) else 0
                 low.append(s if len(s) <= KEPT_WHOLE else s[: p + max(8, p // 4)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _list_of(low)],
-                ["doc_id", "n", "f1", "f2", "low"],
-            )
+                bits.append(_bitmap(s))
+            columns = (pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _list_of(low), pa.array(bits, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "f1", "f2", "low", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n int, f1 long, f2 long, low array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n int, f1 long, f2 long, low array<long>, bits binary")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (_mix(ids.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, grams array<long>) of the documents in ``ids`` (doc_id).
+def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(c, grams array<long>) of the classes in ``classes`` (c, doc_id, f1, f2), which has been written.
 
     A bit filter of fixed size (its bits are or-ed on the executors first) keeps other texts from being hashed; the
     join behind it removes what the filter let through.
     """
-    session = docs.sparkSession
-    marks = ids.select(F.shiftright(F.col("bit"), 15).alias("row"), F.expr("cast(bit % 32768 as long)").alias("pos"))
-    marks = marks.groupBy("row").agg(F.expr("bitmap_construct_agg(pos)").alias("bits")).collect()
+
+    def places(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            bit = _bit(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 15), pa.array(bit & 32767)], ["row", "pos"])
+
+    marks = classes.select("doc_id").mapInArrow(places, "row long, pos long")
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row, own in marks:
+    for row, own in marks.groupBy("row").agg(F.expr("bitmap_construct_agg(pos)").alias("bits")).collect():
         bits[row * 4096 : row * 4096 + 4096] = np.frombuffer(own, dtype=np.uint8)
-    shared = session.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,40 +226,58 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             at = _bit(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             wanted = ((bits[at >> 3] >> (at & 7)) & 1).astype(bool) & keys.is_valid().to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array(wanted))
-            if part.num_rows:
-                sets = list(shingler.sets(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list_of(sets)], ["doc_id", "grams"])
-
-    found = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, grams array<long>")
-    return found.join(ids.select("doc_id"), "doc_id", "left_semi")
-
+            for k in range(0, part.num_rows, SETS_AT_ONCE):
+                own = part.slice(k, SETS_AT_ONCE)
+                sets = list(shingler.sets(own.column("text").to_pylist()))
+                prints = np.array([_fingerprints(s) for s in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _list_of(sets)], ["doc_id", "f1", "f2", "grams"]
+                )
+
+    found = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, f1 long, f2 long, grams array<long>")
+    return found.join(classes, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select("c", "grams")
+
+
+def may_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and bitmaps don't rule out."""
+    side = lambda x: classes.select(*[F.col(c).alias(f"{x}{c}" if c != "c" else x) for c in ("c", "n", "bits")])
+    fit = f"{rule.den} * least(an, bn) >= {rule.num} * greatest(an, bn)"
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fit)
+    num, den = rule.num, rule.den
 
-def with_bit(ids: DataFrame) -> DataFrame:
-    def scan(batches: Iterator) -> Iterator:
+    def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([keys, pa.array(_bit(keys.to_numpy(zero_copy_only=False)))], ["doc_id", "bit"])
+            a, b, an, bn = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "an", "bn"))
+            left, right = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("abits", "bbits"))
+            shape = np.array([(len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64).reshape(-1, 2)
+            keep = np.zeros(len(a), dtype=bool)
+            for x, y in np.unique(shape, axis=0).tolist():
+                at = np.flatnonzero((shape == (x, y)).all(axis=1))
+                apart = _folded(left[at].tolist(), min(x, y)) ^ _folded(right[at].tolist(), min(x, y))
+                both = (an[at].astype(np.int64) + bn[at] - np.bitwise_count(apart).sum(axis=1, dtype=np.int64)) // 2
+                keep[at] = both * den >= num * (an[at] + bn[at] - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    return ids.mapInArrow(scan, "doc_id long, bit long")
+    return joined.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(look, "a long, b long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; written.
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
+    """The written ``pairs`` (a, b) whose whole sets link; written.
 
-    ``a`` stands in blocks of up to BLOCK partners; a block is a's set and then its partners' sets, read in order.
+    ``a`` stands in blocks of about BLOCK partners; a block is a's set and then its partners' sets, read in order.
     """
-    ids = with_bit(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = scratch.write(whole_sets(docs, ids, words).dropDuplicates(["doc_id"]), "sets")
-    order = Window.partitionBy("a").orderBy("b")
-    blocks = pairs.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = scratch.write(blocks, "blocks")
-    heads = blocks.select("a", "block").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
-    tails = blocks.join(sets.withColumnRenamed("doc_id", "b"), "b")
-    rows = heads.select("a", "block", F.lit(None).cast("long").alias("b"), "grams").unionAll(
-        tails.select("a", "block", "b", "grams")
-    )
+    own = classes.select("c", "doc_id", "f1", "f2")
+    concerned = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    concerned = scratch.write(own.join(concerned, "c", "left_semi"), "concerned")
+    sets = scratch.write(whole_sets(docs, concerned, words), "sets")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "a").withColumn("block", F.expr("pmod(xxhash64(b), blocks)"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    heads = heads.join(sets.withColumnRenamed("c", "a"), "a")
+    tails = dealt.select("a", "block", "b").join(sets.withColumnRenamed("c", "b"), "b")
+    rows = heads.select("a", "block", F.lit(None).cast("long").alias("b"), "grams").unionAll(tails.select("a", "block", "b", "grams"))
     num, den = rule.num, rule.den
 
     def check(batches: Iterator) -> Iterator:
@@ -253,77 +298,90 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule, words: int, scratch: S
                         right.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    links = scratch.write(dealt.mapInArrow(check, "a long, b long"), "links")
-    scratch.drop(sets, blocks)
+    placed = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    links = scratch.write(placed.mapInArrow(check, "a long, b long"), "links")
+    scratch.drop(sets, concerned)
+    scratch.release()
     return links
 
 
-def compare_crowds(docs: DataFrame, crowds: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link among the documents of each crowd; written.
+def resolve(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
+    """Links among the written ``pairs`` (a, b) that make the same components as all of them; written.
 
-    ``crowds``: head, doc_id, component. The members of the head's component link already; the others are strangers.
-    Strangers are compared with each other and with the head's component, in pairs of tiles of bounded size (a crowd
-    of up to TILE members is one tile): a tile pair's common shingles are counted by products of 0-1 matrices, and
-    only links leave the task.
+    One partner of each b is verified first; then the pairs whose ends are still in different components.
+    """
+    first = scratch.write(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = verify(docs, first, classes, rule, words, scratch)
+    found = scratch.write(connected_components(links, scratch), "found")
+    side = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = scratch.write(rest.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"), "rest")
+    scratch.drop(first, found)
+    if rest.isEmpty():
+        return links
+    more = verify(docs, rest, classes, rule, words, scratch)
+    scratch.drop(rest)
+    return links.unionAll(more)
+
+
+def crowd_pairs(crowds: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of different components among the members of each crowd that sizes and bitmaps don't rule out.
+
+    ``crowds``: head, c, component. Sizes of linked sets lie in the same or in neighbouring bands, so members meet
+    by band. The members of the head's component link already; the others are strangers, compared with each other and
+    with the head's component in pairs of tiles of bounded size (a crowd's band of up to TILE members is one tile).
     """
-    heads = crowds.where("doc_id = head").select("head", F.col("component").alias("own"))
-    members = crowds.join(heads, "head").withColumn("stranger", F.col("component") != F.col("own"))
-    own = F.when(F.count("*") > TILE, F.ceil(F.count_if(~F.col("stranger")) / TILE)).otherwise(0)
-    sizes = members.groupBy("head").agg(F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"), own.cast("int").alias("ta"))
-    members = members.join(sizes.where("ts > 0"), "head").withColumn("h", F.xxhash64("doc_id"))
+    step = float(np.log(rule.den / rule.num))
+    heads = crowds.where("c = head").select("head", F.col("component").alias("own"))
+    members = crowds.join(heads, "head").join(classes.select("c", "n", "bits"), "c")
+    members = members.withColumn("stranger", F.col("component") != F.col("own"))
+    # a band may also hold what rounding puts into the next one
+    low, high = (F.floor(F.log(F.col("n") * F.lit(x)) / step).cast("int") for x in (1 - 1e-9, 1 + 1e-9))
+    members = members.withColumn("band", F.explode(F.array_distinct(F.array(low, high, low - 1))))
+    sizes = members.groupBy("head", "band").agg(
+        F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"),
+        F.when(F.count("*") > TILE, F.ceil(F.count_if(~F.col("stranger")) / TILE)).otherwise(0).cast("int").alias("ta"),
+    )
+    members = members.join(sizes.where("ts > 0"), ["head", "band"]).withColumn("h", F.xxhash64("c"))
     members = members.withColumn("tile", F.expr("cast(case when stranger then pmod(h, ts) when ta > 0 then ts + pmod(h, ta) else 0 end as int)"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, if(stranger, ts + ta, ts) - 1)")))
-    tiles = members.select("head", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "tile")
-    tiles = scratch.write(tiles, "tiles")
-    ids = with_bit(tiles.select("doc_id").distinct())
-    sets = whole_sets(docs, ids, words).dropDuplicates(["doc_id"])  # dealt by doc_id, as the join below needs them
+    tiles = members.select("head", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "c", "component", "tile", "n", "bits")
     num, den = rule.num, rule.den
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        group, keys, sides, sets = None, [], [], []
-
-        def links():
-            key, side, size = np.array(keys), np.array(sides), np.array([len(s) for s in sets])
-            _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            doc, often = np.repeat(np.arange(len(sets)), size), times > 1
-            column = (np.cumsum(often) - 1)[token]
-            doc, column = doc[often[token]], column[often[token]]
-            left = np.flatnonzero(side == group[1])
-            right = left if group[1] == group[2] else np.flatnonzero(side == group[2])
-            both = np.zeros((len(left), len(right)), np.float32)
-            order = np.argsort(column, kind="stable")
-            doc, column = doc[order], column[order]
-            for start in range(0, int(often.sum()), 4096):
-                a, b = np.searchsorted(column, [start, start + 4096])
-                part = np.zeros((len(sets), 4096), np.float32)
-                part[doc[a:b], column[a:b] - start] = 1
-                both += part[left] @ part[right].T
-            fits = both * den >= num * (size[left][:, None] + size[right][None, :] - both)
-            a, b = (key[x[k]] for x, k in zip((left, right), np.nonzero(fits)))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            keep = low < high
-            return pa.RecordBatch.from_arrays([pa.array(low[keep], pa.int64()), pa.array(high[keep], pa.int64())], ["a", "b"])
+        group, rows = None, []
+
+        def pairs():
+            key, component, side, n, bits = zip(*rows, strict=True)
+            key, component, side, n = (np.array(x, dtype=np.int64) for x in (key, component, side, n))
+            size = min(map(len, bits))
+            words = np.concatenate([_folded([x], size) for x in bits])
+            left = np.flatnonzero(side == group[2])
+            right = left if group[2] == group[3] else np.flatnonzero(side == group[3])
+            apart = np.zeros((len(left), len(right)), dtype=np.int64)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[left, w][:, None] ^ words[right, w][None, :])
+            sums = n[left][:, None] + n[right][None, :]
+            both = np.minimum((sums - apart) // 2, np.minimum(n[left][:, None], n[right][None, :]))
+            x, y = np.nonzero((both * den >= num * (sums - both)) & (component[left][:, None] != component[right][None, :]))
+            a, b = key[left[x]], key[right[y]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("head", "i", "j", "doc_id", "tile")]
-            for (head, i, j, doc, tile), grams in zip(zip(*columns, strict=True), _rows_of(batch.column("grams")), strict=True):
-                if group != (head, i, j):
-                    if len(keys) > 1:
-                        yield links()
-                    group, keys, sides, sets = (head, i, j), [], [], []
-                keys.append(doc)
-                sides.append(tile)
-                sets.append(grams.copy())
-        if len(keys) > 1:
-            yield links()
-
-    dealt = tiles.join(sets, "doc_id").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j")
-    found = scratch.write(dealt.mapInArrow(compare, "a long, b long").distinct(), "crowd-links")
-    scratch.drop(tiles)
-    return found
+            columns = [batch.column(c).to_pylist() for c in ("head", "band", "i", "j", "c", "component", "tile", "n", "bits")]
+            for head, band, i, j, *row in zip(*columns, strict=True):
+                if group != (head, band, i, j):
+                    if len(rows) > 1:
+                        yield pairs()
+                    group, rows = (head, band, i, j), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield pairs()
+
+    dealt = tiles.repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def light_boundary(sizes: dict[int, int], rule: Rule, members: float) -> int:
@@ -340,14 +398,14 @@ def light_boundary(sizes: dict[int, int], rule: Rule, members: float) -> int:
 
 
 def light_lists(sets: DataFrame, bound: int, rule: Rule) -> DataFrame:
-    """(key, doc_id, n, pos): a key for each subset of a linking size of the sets up to ``bound``."""
+    """(key, c, n, pos): a key for each subset of a linking size of the sets up to ``bound``."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             out: list[list] = [[], [], []]
-            docs = batch.column("doc_id").to_pylist()
+            docs = batch.column("c").to_pylist()
             for doc, grams in zip(docs, _rows_of(batch.column("low")), strict=True):
                 mixed, n = _mix(grams.view(np.uint64)), len(grams)
                 everything = int(mixed.sum(dtype=np.uint64))
@@ -359,10 +417,10 @@ def light_lists(sets: DataFrame, bound: int, rule: Rule) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array([0] * len(out[0]), pa.int32())],
-                ["key", "doc_id", "n", "pos"],
+                ["key", "c", "n", "pos"],
             )
 
-    return sets.where(F.col("n").between(1, bound)).mapInArrow(scan, "key long, doc_id long, n int, pos int")
+    return sets.where(F.col("n").between(1, bound)).mapInArrow(scan, "key long, c long, n int, pos int")
 
 
 def frequent_shingles(sets: DataFrame, rule: Rule, scratch: Scratch) -> tuple[np.ndarray, float]:
@@ -381,7 +439,7 @@ def frequent_shingles(sets: DataFrame, rule: Rule, scratch: Scratch) -> tuple[np
 
 
 def heavy_lists(docs: DataFrame, sets: DataFrame, least: int, frequent: np.ndarray, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
-    """(key, doc_id, n, pos): the prefix of each set of ``least`` shingles or more, in one order for all sets.
+    """(key, c, n, pos): the prefix of each set of ``least`` shingles or more, in one order for all sets.
 
     The order is by hash, frequent shingles last. Where the kept hashes hold too few others, the set is made again.
     """
@@ -394,12 +452,12 @@ def heavy_lists(docs: DataFrame, sets: DataFrame, least: int, frequent: np.ndarr
             often = shared.value
             for batch in batches:
                 keys, docs_, sizes, places = [], [], [], []
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = batch.column("c").to_numpy(zero_copy_only=False)
                 n = [0] * len(ids) if whole else batch.column("n").to_pylist()
                 for k, grams in enumerate(_rows_of(batch.column(column))):
                     size = len(grams) if whole else n[k]
                     p = rule.prefix(size)
-                    last = np.isin(grams, often, assume_unique=True) if len(often) else np.zeros(len(grams), bool)
+                    last = often[np.minimum(np.searchsorted(often, grams), len(often) - 1)] == grams if len(often) else np.zeros(len(grams), bool)
                     first = grams[~last][:p]
                     if len(first) < p:
                         if len(grams) < size:
@@ -416,15 +474,15 @@ def heavy_lists(docs: DataFrame, sets: DataFrame, least: int, frequent: np.ndarr
                 if keys:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(x), kind) for x, kind in zip((keys, docs_, sizes, places), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                        ["key", "doc_id", "n", "pos"],
+                        ["key", "c", "n", "pos"],
                     )
 
         return scan
 
-    schema = "key long, doc_id long, n int, pos int"
+    schema = "key long, c long, n int, pos int"
     made = scratch.write(sets.where(F.col("n") >= least).mapInArrow(lists("low", False), schema), "prefixes")
-    short = scratch.write(with_bit(made.where("pos = -1").select("doc_id")), "short")
-    again = whole_sets(docs, short, words).dropDuplicates(["doc_id"]).mapInArrow(lists("grams", True), schema)
+    short = scratch.write(sets.select("c", "doc_id", "f1", "f2").join(made.where("pos = -1").select("c"), "c", "left_semi"), "short")
+    again = whole_sets(docs, short, words).mapInArrow(lists("grams", True), schema)
     return made.where("pos >= 0").unionAll(again)
 
 
@@ -442,46 +500,55 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, similarity: tuple[
     scratch = Scratch(docs.sparkSession, "jaccard")
     table = scratch.write(shingle_table(docs, rule, words), "shingles")
     own = ["n", "f1", "f2"]
-    known = table.where("n > 0 and doc_id is not null").select("doc_id", *own)
-    classes = known.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = scratch.write(classes, "classes")
-    reps = table.join(classes.select(F.col("rep").alias("doc_id"), *own), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id", *own])
-    reps = scratch.write(reps, "representatives")
-
-    frequent, members = frequent_shingles(reps, rule, scratch)
-    sizes = {r[0]: r[1] for r in reps.where(F.col("n") <= KEPT_WHOLE).groupBy("n").count().collect()}
+    known = table.where("n > 0 and doc_id is not null")
+    # one row for each different set; c numbers them, as rows that share a doc_id may have different sets
+    first = F.min_by(F.struct("low", "bits"), "doc_id").alias("x")
+    classes = known.groupBy(*own).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), first)
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("c"), "doc_id", *own, "members", "x.*"), "classes")
+
+    frequent, members = frequent_shingles(classes, rule, scratch)
+    sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= KEPT_WHOLE).groupBy("n").count().collect()}
     bound = light_boundary(sizes, rule, members)
     least = max(1, _ceil(rule.num * (bound + 1), rule.den))
-    lists = heavy_lists(docs, reps, least, frequent, rule, words, scratch).unionAll(light_lists(reps, bound, rule))
-
-    need = f"ceil({rule.num} * (x.n + y.n) / {rule.num + rule.den})"
-    fits = f"x.n - x.pos >= {need} and y.n - y.pos >= {need}"
-    member = F.struct("pos", "n", "doc_id")
-    whole = Window.partitionBy("key")
-    shared = lists.withColumn("y", F.min(member).over(whole)).withColumn("last", F.max("doc_id").over(whole))
-    shared = shared.withColumn("lowest", F.min("doc_id").over(whole)).where("lowest < last").drop("last", "lowest")
-    shared = scratch.write(shared, "lists")
-    star = shared.select(F.struct("pos", "n", "doc_id").alias("x"), "y").where(f"x.doc_id <> y.doc_id and {fits}")
-    star = scratch.write(star.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "star")
-    links = verify(docs, star, rule, words, scratch)
+    lists = heavy_lists(docs, classes, least, frequent, rule, words, scratch).unionAll(light_lists(classes, bound, rule))
+    lists = scratch.write(lists, "lists")
+
+    heads = lists.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("last")).where("head < last").drop("last")
+    shared = scratch.write(lists.join(heads, "key"), "shared")
+    scratch.drop(lists)
+    scratch.release()
+    star = scratch.write(shared.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct(), "star")
+    star = scratch.write(may_link(star, classes, rule), "star-pairs")
+    links = resolve(docs, star, classes, rule, words, scratch)
     found = scratch.write(connected_components(links, scratch), "components")
 
-    sides = shared.select("key", "doc_id", "n", "pos", F.col("y.doc_id").alias("head")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    sides = sides.withColumn("component", F.coalesce("component", "doc_id"))
-    sides = sides.withColumn("c1", F.min("component").over(whole)).withColumn("c2", F.max("component").over(whole))
-    sides = sides.withColumn("members", F.count("*").over(whole))
-    sides = scratch.write(sides.where("c1 < c2").drop("c1", "c2"), "apart")
-    small, large = sides.where(F.col("members") <= SHORT_LIST), sides.where(F.col("members") > SHORT_LIST)
+    sides = shared.join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    sides = scratch.write(sides, "sides")
+    scratch.drop(shared)
+    apart = sides.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("times"))
+    sides = sides.join(apart.where("c1 < c2").select("key", "times"), "key")
+    sides = scratch.write(sides, "apart")
+    scratch.release()
+    small, large = sides.where(F.col("times") <= SHORT_LIST), sides.where(F.col("times") > SHORT_LIST)
+    need = f"ceil({rule.num} * (x.n + y.n) / {rule.num + rule.den})"
     x, y = small.alias("x"), small.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.component <> y.component and {fits}"))
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    crowds = scratch.write(large.select("head", "doc_id", "component").distinct(), "crowds")
-    scratch.drop(shared, sides)
-    more = verify(docs, rest, rule, words, scratch).unionAll(compare_crowds(docs, crowds, rule, words, scratch))
-    same = known.join(classes.where("members > 1"), own).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    found = connected_components(links.unionAll(more).unionAll(same), scratch)
+    pairs = x.join(
+        y, F.expr(f"x.key = y.key and x.c < y.c and x.component <> y.component and x.n - x.pos >= {need} and y.n - y.pos >= {need}")
+    )
+    pairs = scratch.write(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "pairs")
+    crowds = scratch.write(large.select("head", "c", "component").distinct(), "crowds")
+    more = may_link(pairs, classes, rule).unionAll(crowd_pairs(crowds, classes, rule)).distinct()
+    more = scratch.write(more, "more-pairs")
+    scratch.drop(pairs, crowds)
+    links = links.unionAll(resolve(docs, more, classes, rule, words, scratch))
+
+    reps = lambda x: classes.select(F.col("c").alias(x), F.col("doc_id").alias(f"doc_{x}"))
+    links = links.join(reps("a"), "a").join(reps("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    same = known.select("doc_id", *own).join(classes.where("members > 1").select(F.col("doc_id").alias("rep"), *own), own)
+    same = same.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = connected_components(links.unionAll(same), scratch)
+    scratch.drop(classes, sides)
+    scratch.release()
     return (
         table.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
         .join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -490,11 +557,25 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, similarity: tuple[
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id is the component. Repeated rows of it stay once.
+    """``docs`` with one document of each component: the one whose doc_id is the component.
 
-    Rows with a null doc_id stay.
+    Of repeated rows (the same doc_id and text) one stays; rows that share a doc_id but not a text stay, as do rows
+    with a null doc_id and, each for itself, empty and null texts. An empty table stays empty. Other columns pass
+    through, whatever their names.
     """
     found = jaccard_components(docs, words, similarity)
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.write(found, "found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = without(docs, gone)
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi")
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]).select(*map(quoted, docs.columns)))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the doc_ids in ``gone``, which are broadcast if they are up to BROADCAST_IDS."""
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
