@@ -4,7 +4,7 @@ import pytest
 
 from wareloom.functions import urls, values
 from wareloom.operators import ledger
-from wareloom.plans import registry
+from wareloom.plans import pages, registry  # noqa: F401  (adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()

@@ -10,6 +10,8 @@ TRACKING = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "msclkid",
     "mc_cid", "mc_eid", "igshid", "_ga", "_gl", "ref", "referrer", "source", "spm", "srsltid",
 ]
+#: Parameters that a picture's link doesn't need.
+IMAGE_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "_ga"]
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 
@@ -72,6 +74,14 @@ def canonical(url: Column) -> Column:
     )
 
 
+def without_params(url: Column, names: list[str]) -> Column:
+    """``url`` without the parameters called ``names`` (in any case), the others in their order."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    kept = _pairs(query, lambda n: ~n.isin(*[x.lower() for x in names]), True)
+    start, fragment = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
+    return F.when(query == "", url).otherwise(F.concat(start, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)), fragment))
+
+
 def row_key(canonical_url: Column) -> Column:
     """A readable key: host and path as a slug of up to 60 characters, and 8 digits of the link's SHA-1."""
     slug = F.trim(F.regexp_replace(F.lower(F.concat(host(canonical_url), F.regexp_extract(canonical_url, r"://[^/?#]*([^?#]*)", 1))), "[^a-z0-9]+", "-"), F.lit("-"))

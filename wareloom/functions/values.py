@@ -27,6 +27,11 @@ CURRENCY_PREFIXES = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is worked out once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def measured(text: Column, factors: dict[str, float]) -> Column:
     """A whole number of the base unit, rounded half to even; null for no number, an unknown unit or nothing left.
     A comma is a decimal point here."""
@@ -66,6 +71,16 @@ def currency(text: Column) -> Column:
     return out.when(F.contains(text, F.lit("$")), "USD")
 
 
+def ambiguous_currency(text: Column) -> Column:
+    """Whether only a plain dollar sign tells the currency, which several countries use."""
+    known = F.lit(False)
+    for symbol in CURRENCY_SYMBOLS:
+        known = known | F.contains(text, F.lit(symbol))
+    for prefix in CURRENCY_PREFIXES:
+        known = known | F.contains(F.lower(text), F.lit(prefix))
+    return F.contains(text, F.lit("$")) & ~known
+
+
 def price_inr(value: Column, code: Column, rate: Column, strategy: str, markup: float = 0.0) -> Column:
     """The listed price under a strategy: blank, copy (INR only), convert or markup (by a rate), half to even."""
     if strategy == "blank":
@@ -87,11 +102,6 @@ def csv_cell(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike('[",\r\n]'), quoted).otherwise(text), F.lit(""))
 
 
-def shouty(text: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (letters >= 8) & (F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) > letters * 0.6)
-
-
 def has_keyword(text: Column, keyword: str, plural: bool = True) -> Column:
     ending = "(?:e?s)?" if plural else ""
     return text.rlike(rf"(?iU)(?<!\w){re.escape(keyword)}{ending}(?!\w)")
@@ -104,18 +114,3 @@ def human_bytes(n: Column) -> Column:
         .when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024))
         .otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
     )
-
-
-def tidy_title(title: Column) -> Column:
-    """The product's name out of a stuffed title: of three or more parts the first, or two if that is a bare brand."""
-    out = title
-    for separator in (" — ", " – ", " - ", " | "):
-        parts = F.filter(F.transform(F.split(title, re.escape(separator)), F.trim), lambda s: s != "")
-        words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-        two = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
-        out = (
-            F.when((F.size(parts) >= 3) & (words(F.get(parts, F.lit(0))) >= 3), F.get(parts, F.lit(0)))
-            .when((F.size(parts) >= 3) & (words(two) >= 3), two)
-            .otherwise(out)
-        )
-    return out
