@@ -43,22 +43,24 @@ def measured(text: Column, factors: dict[str, float]) -> Column:
 
 
 def amount(text: Column) -> Column:
-    """A price: the last separator is the decimal one; a lone comma only before two digits, a lone point not before three."""
-    raw = F.regexp_replace(F.regexp_extract(text, r"(\d[\d.,\s]*)", 1), r"\s", "")
-    raw = F.regexp_replace(raw, r"[.,]+$", "")
-    comma, point = F.length(raw) - F.locate(",", F.reverse(raw)), F.length(raw) - F.locate(".", F.reverse(raw))
-    has_comma, has_point = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
-    drop = lambda x, c: F.replace(x, F.lit(c), F.lit(""))
-    plain = (
-        F.when(has_comma & has_point & (comma > point), F.replace(drop(raw, "."), F.lit(","), F.lit(".")))
-        .when(has_comma & has_point, drop(raw, ","))
-        .when(has_comma & raw.rlike(r"^\d+,\d{2}$"), F.replace(raw, F.lit(","), F.lit(".")))
-        .when(has_comma, drop(raw, ","))
-        .when(has_point & raw.rlike(r"^\d+(\.\d{3})+$"), drop(raw, "."))
-        .otherwise(raw)
-    )
-    value = plain.try_cast("double")
-    return F.when(value > 0, value)
+    """The first price in a text: of points and commas the last kind is the decimal one; commas alone are so before two
+    digits, points alone unless three digits follow the last. Null for none, or what is left can't be read, or nothing."""
+
+    def number(raw: Column) -> Column:
+        commas, points = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
+        drop = lambda c: F.replace(raw, F.lit(c), F.lit(""))
+        last_is_comma = raw.rlike(r",[^.,]*$")
+        return (
+            F.when(commas & points & last_is_comma, F.replace(drop("."), F.lit(","), F.lit(".")))
+            .when(commas & points, drop(","))
+            .when(commas & raw.rlike(r",\d{2}$"), F.replace(raw, F.lit(","), F.lit(".")))
+            .when(commas, drop(","))
+            .when(points & raw.rlike(r"\.\d{3}$"), drop("."))
+            .otherwise(raw)
+        )
+
+    raw = F.regexp_replace(F.regexp_extract(text, r"(?U)(\d[\d.,\s]*\d|\d)", 1), r"(?U)\s", "")
+    return let(let(raw, number).try_cast("double"), lambda v: F.when(v > 0, v))
 
 
 def currency(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Scores of a header against an alias, and the least that counts.
 EQUAL, WORD, EDGE, PART, ALIKE, LEAST = 1.0, 0.92, 0.88, 0.8, 0.86, 0.8
 #: Grams of a unit, in the order in which a weight's text is searched for them.
-UNITS = [("kg|kilo", 1000.0), ("lb|pound", 453.59237), ("oz|ounce", 28.349523125), ("g", 1.0)]
+UNITS = [("kg|kilo", 1000.0), ("lb|pound", 453.592), ("oz|ounce", 28.3495), ("g", 1.0)]
 
 
 def plain(header: str) -> str:
@@ -19,14 +19,15 @@ def plain(header: str) -> str:
 
 
 def score(header: str, alias: str) -> float:
+    """How well a header fits an alias: equal, one of its words, at an edge with a blank, somewhere in it, or alike."""
     h, a = plain(header), plain(alias)
     if not h or not a:
         return 0.0
     if h == a:
         return EQUAL
-    if f" {a} " in f" {h} ":
+    if a in h.split():
         return WORD
-    if h.startswith(a) or h.endswith(a):
+    if h.startswith(f"{a} ") or h.endswith(f" {a}"):
         return EDGE
     if a in h:
         return PART
