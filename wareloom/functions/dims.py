@@ -1,29 +1,29 @@
 """Vocabularies. Fixed values."""
 
-CATEGORIES = {
-    "handwoven-textiles": "saree, sari, handloom, khadi, dupatta, stole, shawl, ikat, kalamkari, block print, weave, woven, pashmina, fabric, textile",
-    "apparel": "kurta, kurti, shirt, dress, blouse, trouser, jacket, apparel, clothing, wear",
-    "jewellery": "jewellery, jewelry, silver, gold, kundan, meenakari, temple jewellery",
-    "leather-bags": "bag, leather, tote, satchel, clutch, wallet, purse, backpack, sling",
-    "more-crafts": "",
+CATEGORIES: dict[str, list[str]] = {
+    "handwoven-textiles": ["saree", "sari", "handloom", "khadi", "dupatta", "stole", "shawl", "ikat", "kalamkari", "block print", "weave", "woven", "pashmina", "fabric", "textile"],
+    "apparel": ["kurta", "kurti", "shirt", "dress", "blouse", "trouser", "jacket", "apparel", "clothing", "wear"],
+    "jewellery": ["jewellery", "jewelry", "silver", "gold", "kundan", "meenakari", "temple jewellery"],
+    "leather-bags": ["bag", "leather", "tote", "satchel", "clutch", "wallet", "purse", "backpack", "sling"],
+    "more-crafts": [],
 }
 SHELVES = {
-    "handwoven-textiles/sarees": "saree, sari, kanjivaram, banarasi, chanderi, tussar, dola silk",
-    "handwoven-textiles/dupattas-stoles": "dupatta, stole, shawl, odhni, chunni",
-    "handwoven-textiles/home-textiles": "cushion, bedsheet, bedcover, quilt, razai, throw, table runner, napkin, curtain, durrie, rug",
-    "handwoven-textiles/fabric-by-the-metre": "fabric, yardage, running metre, per metre, by the metre, cloth",
-    "apparel/mens-fashion": "men, mens, kurta pyjama, nehru jacket, sherwani, dhoti",
-    "apparel/womens-fashion": "women, womens, kurti, kurta, saree blouse, lehenga, salwar, anarkali",
-    "apparel/kids": "kids, child, children, baby, infant, toddler, boys, girls",
-    "jewellery/necklaces": "necklace, choker, haar, mala, chain",
-    "jewellery/earrings": "earring, jhumka, jhumki, stud, hoop, chandbali, danglers",
-    "jewellery/rings": "ring, band, signet",
-    "jewellery/jewellery-sets": "jewellery set, jewelry set, bridal set, necklace set, parure",
-    "jewellery/loose-gemstones": "gemstone, loose stone, carat, cabochon, rough stone, uncut",
-    "jewellery/pendants": "pendant, locket, charm",
-    "leather-bags/handbags": "handbag, tote, satchel, clutch, sling, shoulder bag, backpack, potli",
-    "leather-bags/wallets-small-goods": "wallet, cardholder, card holder, coin purse, pouch, passport cover, key ring",
-    "leather-bags/belts-accessories": "belt, strap, buckle, braces, suspender",
+    "handwoven-textiles/sarees": ["saree", "sari", "kanjivaram", "banarasi", "chanderi", "tussar", "dola silk"],
+    "handwoven-textiles/dupattas-stoles": ["dupatta", "stole", "shawl", "odhni", "chunni"],
+    "handwoven-textiles/home-textiles": ["cushion", "bedsheet", "bedcover", "quilt", "razai", "throw", "table runner", "napkin", "curtain", "durrie", "rug"],
+    "handwoven-textiles/fabric-by-the-metre": ["fabric", "yardage", "running metre", "per metre", "by the metre", "cloth"],
+    "apparel/mens-fashion": ["men", "mens", "kurta pyjama", "nehru jacket", "sherwani", "dhoti"],
+    "apparel/womens-fashion": ["women", "womens", "kurti", "kurta", "saree blouse", "lehenga", "salwar", "anarkali"],
+    "apparel/kids": ["kids", "child", "children", "baby", "infant", "toddler", "boys", "girls"],
+    "jewellery/necklaces": ["necklace", "choker", "haar", "mala", "chain"],
+    "jewellery/earrings": ["earring", "jhumka", "jhumki", "stud", "hoop", "chandbali", "danglers"],
+    "jewellery/rings": ["ring", "band", "signet"],
+    "jewellery/jewellery-sets": ["jewellery set", "jewelry set", "bridal set", "necklace set", "parure"],
+    "jewellery/loose-gemstones": ["gemstone", "loose stone", "carat", "cabochon", "rough stone", "uncut"],
+    "jewellery/pendants": ["pendant", "locket", "charm"],
+    "leather-bags/handbags": ["handbag", "tote", "satchel", "clutch", "sling", "shoulder bag", "backpack", "potli"],
+    "leather-bags/wallets-small-goods": ["wallet", "cardholder", "card holder", "coin purse", "pouch", "passport cover", "key ring"],
+    "leather-bags/belts-accessories": ["belt", "strap", "buckle", "braces", "suspender"],
 }
 FALLBACK_CATEGORY = "more-crafts"
 HS_BY_MATERIAL = {
@@ -37,10 +37,10 @@ HS_BY_SHELF = {
 }
 HS_BY_CATEGORY = {"apparel": "6206", "jewellery": "7113", "leather-bags": "4202"}
 POLICY = {
-    "antiquities": "antique, antiquity, vintage, over 100 years, 100 years old, colonial era, colonial-era, pre-independence, heirloom, excavated, archaeological",
-    "wildlife": "ivory, tusk, bone, shell, tortoise, turtle, peacock feather, peacock, fur, exotic leather, python, crocodile, alligator, snakeskin, shahtoosh, coral, elephant hair",
-    "weapons": "knife, knives, blade, dagger, sword, katar, kirpan, firearm, ammunition, bullet, gun, machete, axe",
-    "gi_claim": "gi tag, gi-tag, g.i. tag, geographical indication, gi certified, gi registered, certified, authentic, genuine, registry",
+    "antiquities": ["antique", "antiquity", "vintage", "over 100 years", "100 years old", "colonial era", "colonial-era", "pre-independence", "heirloom", "excavated", "archaeological"],
+    "wildlife": ["ivory", "tusk", "bone", "shell", "tortoise", "turtle", "peacock feather", "peacock", "fur", "exotic leather", "python", "crocodile", "alligator", "snakeskin", "shahtoosh", "coral", "elephant hair"],
+    "weapons": ["knife", "knives", "blade", "dagger", "sword", "katar", "kirpan", "firearm", "ammunition", "bullet", "gun", "machete", "axe"],
+    "gi_claim": ["gi tag", "gi-tag", "g.i. tag", "geographical indication", "gi certified", "gi registered", "certified", "authentic", "genuine", "registry"],
 }
 #: reason: (class, retryable)
 REASONS = {
@@ -52,7 +52,3 @@ REASONS = {
     "host_upload_failed": ("failed", True), "hosting_blocked_third_party": ("refused", False),
     "browser_unavailable": ("failed", False),
 }
-
-
-def terms(words: str) -> list[str]:
-    return [w for w in words.split(", ") if w]

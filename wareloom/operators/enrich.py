@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom.functions import dims
-from wareloom.functions.values import has_keyword
+from wareloom.functions.values import has_keyword, let
+
+
+def _forms(text: Column) -> Column:
+    """The words of a text in lower case, and what they are without a plural's end."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", ""))))
 
 
-def score(words: str, title: Column, description: Column, trail: Column) -> Column:
+def score(words: list[str], texts: list[tuple[Column, Column, int]]) -> Column:
+    """Sum of the weights of the texts that each of ``words`` stands in; a text is given with its ``_forms`` and its weight.
+
+    A word is found among the forms; a term of several words, or with other signs in it, by a pattern.
+    """
+    single = [w for w in words if re.fullmatch(r"[a-z0-9]+", w)]
     total = F.lit(0)
-    for kw in dims.terms(words):
-        for text, weight in ((title, 3), (description, 1), (trail, 5)):
-            total = total + F.when(has_keyword(F.coalesce(text, F.lit("")), kw), weight).otherwise(0)
+    for text, forms, weight in texts:
+        if single:
+            total = total + weight * F.size(F.array_intersect(forms, F.array(*map(F.lit, single))))
+        for term in words:
+            if term not in single:
+                total = total + F.when(has_keyword(F.coalesce(text, F.lit("")), term), weight).otherwise(0)
     return total
 
 
 def _winner(scores: list[tuple[str, Column]]) -> Column:
     """The slug with the highest score of 3 or more; null if it isn't the only one."""
     table = F.array(*[F.struct(s.alias("score"), F.lit(slug).alias("slug")) for slug, s in scores])
-    top = F.array_max(F.transform(table, lambda x: x["score"]))
-    best = F.filter(table, lambda x: x["score"] == top)
-    return F.when((top >= 3) & (F.size(best) == 1), F.get(best, F.lit(0))["slug"])
+
+    def only(best: Column) -> Column:
+        return F.when((F.size(best) == 1) & (F.get(best, F.lit(0))["score"] >= 3), F.get(best, F.lit(0))["slug"])
+
+    top = lambda t: let(F.array_max(F.transform(t, lambda x: x["score"])), lambda most: F.filter(t, lambda x: x["score"] == most))
+    return let(let(table, top), only)
 
 
 def classify(df: DataFrame, title: str, description: Column, trail: Column) -> DataFrame:
     """``df`` with category_slug, subcategory_slug and custom_category (six words of the title on the fallback)."""
     t = F.col(title)
-    found = _winner([(slug, score(w, t, description, trail)) for slug, w in dims.CATEGORIES.items()])
-    out = df.withColumn("_found", found)
+    parts = {"_t": (t, 3), "_d": (description, 1), "_r": (trail, 5)}
+    out = df.select("*", *[_forms(text).alias(f"{name}_forms") for name, (text, _) in parts.items()], *[text.alias(name) for name, (text, _) in parts.items()])
+    texts = [(F.col(name), F.col(f"{name}_forms"), weight) for name, (_, weight) in parts.items()]
+    out = out.withColumn("_found", _winner([(slug, score(w, texts)) for slug, w in dims.CATEGORIES.items()]))
     shelf = F.lit(None).cast("string")
     for slug in dims.CATEGORIES:
-        own = [(k.split("/")[1], score(w, t, description, trail)) for k, w in dims.SHELVES.items() if k.startswith(f"{slug}/")]
+        own = [(k.split("/")[1], score(w, texts)) for k, w in dims.SHELVES.items() if k.startswith(f"{slug}/")]
         if own:
             shelf = F.when(F.col("_found") == slug, _winner(own)).otherwise(shelf)
     return out.select(
@@ -63,6 +84,6 @@ def policy_hits(title: Column, description: Column) -> Column:
             has_keyword(F.coalesce(description, F.lit("")), term, False), F.struct(F.lit(c).alias("category"), F.lit(term).alias("term"), F.lit("description").alias("field"))
         )
         for c, words in dims.POLICY.items()
-        for term in dims.terms(words)
+        for term in words
     ]
     return F.array_compact(F.array(*hits))

@@ -12,10 +12,12 @@ from wareloom.functions import dims, urls
 def plan(links: DataFrame) -> DataFrame:
     """``links`` (line, raw) with canonical, status (ok, duplicate, invalid) and first_line of the same product."""
     named = links.withColumn("canonical", F.when(urls.scheme("raw").isin("http", "https") & (urls.host("raw") != ""), urls.canonical(F.col("raw"))))
-    first = named.where("canonical is not null").groupBy("canonical").agg(F.min("line").alias("first_line"))
-    joined = named.join(first, "canonical", "left")
-    status = F.when(F.col("canonical").isNull(), "invalid").when(F.col("line") > F.col("first_line"), "duplicate").otherwise("ok")
-    return joined.select("line", "raw", "canonical", status.alias("status"), "first_line")
+    # lines that are no link have no product to be joined on, so they stay out of the join
+    known = named.where("canonical is not null")
+    joined = known.join(known.groupBy("canonical").agg(F.min("line").alias("first_line")), "canonical")
+    status = F.when(F.col("line") > F.col("first_line"), "duplicate").otherwise("ok")
+    bad = named.where("canonical is null").select("line", "raw", "canonical", F.lit("invalid").alias("status"), F.lit(None).cast(links.schema["line"].dataType).alias("first_line"))
+    return joined.select("line", "raw", "canonical", status.alias("status"), "first_line").unionAll(bad)
 
 
 def estimate(plan_: DataFrame, delay: float = 2.0, concurrency: int = 5) -> DataFrame:
@@ -56,21 +58,21 @@ def master_merge(master: DataFrame, new: DataFrame, policy: str) -> DataFrame:
     skip keeps what is there, replace puts the latest row of a product in its place, append adds every row. An empty
     canonical never matches.
     """
-    keyed = F.nullif(F.col("canonical"), F.lit(""))
-    known = master.where(keyed.isNotNull()).select("canonical").distinct()
-    last = Window.partitionBy("canonical")
     if policy == "append":
         kept, added = master, new
-    elif policy == "skip":
-        first = new.withColumn("r", F.row_number().over(last.orderBy("seq"))).where((F.col("r") == 1) | keyed.isNull()).drop("r")
-        kept, added = master, first.join(known, "canonical", "left_anti")
     else:
-        latest = new.withColumn("r", F.row_number().over(last.orderBy(F.desc("seq")))).where((F.col("r") == 1) | keyed.isNull()).drop("r")
-        fresh = latest.where(keyed.isNotNull()).select("canonical", F.col("title").alias("_t"), F.col("price").alias("_p"), F.lit(True).alias("_new"))
-        kept = master.join(fresh, "canonical", "left").select(
-            "position", "canonical", F.when(F.col("_new"), F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(F.col("_new"), F.col("_p")).otherwise(F.col("price")).alias("price")
-        )
-        added = latest.join(known, "canonical", "left_anti")
+        # rows without a canonical are never grouped: there may be any number of them
+        keyed, bare = new.where("canonical <> ''"), new.where("coalesce(canonical, '') = ''")
+        pick = F.min_by if policy == "skip" else F.max_by
+        one = keyed.groupBy("canonical").agg(pick(F.struct("seq", "title", "price"), "seq").alias("x")).select("x.seq", "canonical", "x.title", "x.price")
+        known = master.where("canonical <> ''").select("canonical").distinct()
+        kept, added = master, one.join(known, "canonical", "left_anti").select(*new.columns).unionAll(bare)
+        if policy == "replace":
+            fresh_ = one.select("canonical", F.col("title").alias("_t"), F.col("price").alias("_p"), F.lit(True).alias("_new"))
+            placed = master.where("canonical <> ''").join(fresh_, "canonical", "left")
+            kept = placed.select(
+                "position", "canonical", F.when(F.col("_new"), F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(F.col("_new"), F.col("_p")).otherwise(F.col("price")).alias("price")
+            ).unionAll(master.where("coalesce(canonical, '') = ''").select("position", "canonical", "title", "price"))
     # a running number after the sheet's last one, by the input's own order
     offset = master.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("next"))
     added = added.crossJoin(F.broadcast(offset)).select((F.col("next") + F.col("seq")).alias("position"), "canonical", "title", "price")

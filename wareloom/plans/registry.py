@@ -185,10 +185,12 @@ def _winner_sql(scores: list[tuple[str, str]]) -> str:
 
 
 def _score_sql(words: str) -> str:
-    return "(0" + "".join(f" + 3 * {_match('name', kw)}::int" for kw in dims.terms(words)) + ")"
+    return "(0" + "".join(f" + {n} * {_match(text, kw)}::int" for kw in words for text, n in (("name", 3), ("told", 1), ("trail", 5))) + ")"
 
 
-_NAMED = "(select p_partkey, p_name || case p_partkey % 4 when 0 then ' silver necklace' when 1 then ' handloom saree' when 2 then ' bag' else '' end as name from part)"
+_NAMED = """(select p_partkey, p_name || case p_partkey % 4 when 0 then ' silver necklace' when 1 then ' handloom saree' when 2 then ' bag' else '' end as name,
+ case when p_partkey % 3 = 0 then 'Kurtas, a shawl and necklaces' when p_partkey % 7 = 1 then 'for men in gold' else '' end as told,
+ case when p_partkey % 5 = 0 then 'Home > Sarees' when p_partkey % 11 = 2 then 'Bags, Jewellery sets' else '' end as trail from part)"""
 _CATEGORY = f"""with s as (select p_partkey, name, {', '.join(f'{_score_sql(w)} as "c{k}"' for k, w in enumerate(dims.CATEGORIES.values()))},
  {', '.join(f'{_score_sql(w)} as "s{k}"' for k, w in enumerate(dims.SHELVES.values()))} from {_NAMED}),
  f as (select *, {_winner_sql([(c, f'"c{k}"') for k, c in enumerate(dims.CATEGORIES)])} as found from s),
@@ -200,40 +202,43 @@ _CATEGORY = f"""with s as (select p_partkey, name, {', '.join(f'{_score_sql(w)}
 def _named_parts(spark, sf_dir):
     k = F.col("p_partkey") % 4
     more = F.when(k == 0, " silver necklace").when(k == 1, " handloom saree").when(k == 2, " bag").otherwise("")
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"))
+    told = F.expr("case when p_partkey % 3 = 0 then 'Kurtas, a shawl and necklaces' when p_partkey % 7 = 1 then 'for men in gold' end")
+    trail = F.expr("case when p_partkey % 5 = 0 then 'Home > Sarees' when p_partkey % 11 = 2 then 'Bags, Jewellery sets' end")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), told.alias("told"), trail.alias("trail"))
 
 
 @query(f"{_CATEGORY} select p_partkey, category_slug, subcategory_slug, custom_category from g")
 def category_score(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return enrich.classify(_named_parts(spark, sf_dir), "name", none, none).drop("name")
+    return enrich.classify(_named_parts(spark, sf_dir), "name", F.col("told"), F.col("trail")).drop("name", "told", "trail")
 
 
 @query(f"""{_CATEGORY} select p_partkey, case {' '.join(f"when category_slug = '{c}' and {_match('name', kw, False)} then '{code}'" for c, w in dims.HS_BY_MATERIAL.items() for kw, code in w.items())}
  {' '.join(f"when category_slug || '/' || subcategory_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_SHELF.items())}
  {' '.join(f"when category_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_CATEGORY.items())} end as hs_code from g""")
 def hs_suggest(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    found = enrich.classify(_named_parts(spark, sf_dir), "name", none, none)
+    found = enrich.classify(_named_parts(spark, sf_dir), "name", F.col("told"), F.col("trail"))
     return found.select("p_partkey", enrich.hs_code(F.col("category_slug"), F.col("subcategory_slug"), F.col("name")).alias("hs_code"))
 
 
-_TERMS = [(c, t) for c, w in dims.POLICY.items() for t in dims.terms(w)]
-_STOCK = "(select p_partkey, p_name || case p_partkey % 5 when 0 then ' antique bone knife' when 1 then ' Certified coral' when 2 then ' boned' else '' end as name from part)"
-_HITS = f"""with h as (select p_partkey, category, term from {_STOCK} cross join {_values(_TERMS, 'category, term')}
- where regexp_matches(name, '(?i)(^|[^\\w])' || replace(term, '.', '[.]') || '([^\\w]|$)'))"""
+_TERMS = [(c, t) for c, w in dims.POLICY.items() for t in w]
+_STOCK = """(select p_partkey, p_name || case p_partkey % 5 when 0 then ' antique bone knife' when 1 then ' Certified coral' when 2 then ' boned' else '' end as name,
+ case when p_partkey % 3 = 0 then 'A vintage piece, GI-tag and knife' else '' end as told from part)"""
+_HIT = "regexp_matches({}, '(?i)(^|[^\\w])' || replace(term, '.', '[.]') || '([^\\w]|$)')"
+_HITS = f"""with h as (select p_partkey, category, term, case when {_HIT.format('name')} then 'title' else 'description' end as field from {_STOCK} cross join {_values(_TERMS, 'category, term')}
+ where {_HIT.format('name')} or {_HIT.format('told')})"""
 
 
 def _hits(spark, sf_dir):
     k = F.col("p_partkey") % 5
     more = F.when(k == 0, " antique bone knife").when(k == 1, " Certified coral").when(k == 2, " boned").otherwise("")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"))
-    return rows.select("p_partkey", F.explode(enrich.policy_hits(F.col("name"), F.lit(None).cast("string"))).alias("hit")).select("p_partkey", "hit.*")
+    told = F.expr("case when p_partkey % 3 = 0 then 'A vintage piece, GI-tag and knife' end")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), told.alias("told"))
+    return rows.select("p_partkey", F.explode(enrich.policy_hits(F.col("name"), F.col("told"))).alias("hit")).select("p_partkey", "hit.*")
 
 
-@query(f"{_HITS} select p_partkey, category, term from h")
+@query(f"{_HITS} select p_partkey, category, term, field from h")
 def policy_hits(spark, sf_dir):
-    return _hits(spark, sf_dir).select("p_partkey", "category", "term")
+    return _hits(spark, sf_dir).select("p_partkey", "category", "term", "field")
 
 
 @query(f"{_HITS} select category, count(*)::bigint as hits, string_agg(distinct term, ', ' order by term) as terms from h group by category")
@@ -282,9 +287,9 @@ def edits_overlay(spark, sf_dir):
 
 
 @query(f"""select row_number() over (order by o_orderkey) - 1 as position, o_orderkey, c_name from orders join customer on o_custkey = c_custkey
- where {_OUTCOME} in ('written', 'needs_human') and o_totalprice > 150000""")
+ where {_OUTCOME} in ('written', 'needs_human')""")
 def export_ordered(spark, sf_dir):
-    wanted = _outcomes(spark, sf_dir).where("outcome in ('written', 'needs_human') and o_totalprice > 150000")
+    wanted = _outcomes(spark, sf_dir).where("outcome in ('written', 'needs_human')")
     rows = wanted.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("o_orderkey", "c_name")
     return review.positions(rows, "o_orderkey")
 
@@ -306,14 +311,14 @@ def resume_todo(spark, sf_dir):
 
 
 _SHEET = "m as (select (p_partkey - 1)::bigint as position, p_name || '#' || (p_partkey // 3) as canonical, p_name as title, p_retailprice as price from part where p_partkey % 3 = 0)"
-_NEW = "n as (select p_partkey::bigint as seq, case when p_partkey % 11 = 0 then '' else p_name || '#' || (p_partkey // 3) end as canonical, p_type as title, p_size::double as price from part where p_partkey % 2 = 0)"
+_NEW = "n as (select p_partkey::bigint as seq, case when p_partkey % 11 = 0 then '' else p_name || '#' || (p_partkey // 3) end as canonical, p_type as title, p_size::double as price from part where p_partkey % 2 = 0 or p_partkey % 3 <> 0)"
 
 
 def _sheet(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     name = F.concat("p_name", F.lit("#"), F.expr("p_partkey div 3").cast("string"))
     master = part.where("p_partkey % 3 = 0").select((F.col("p_partkey") - 1).alias("position"), name.alias("canonical"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
-    new = part.where("p_partkey % 2 = 0").select(
+    new = part.where("p_partkey % 2 = 0 or p_partkey % 3 <> 0").select(
         F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(name).alias("canonical"), F.col("p_type").alias("title"), F.col("p_size").cast("double").alias("price")
     )
     return master, new
@@ -357,17 +362,20 @@ def refusal_streak(spark, sf_dir):
     return ledger.longest_refusals(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 
-@query("""with d as (select event_id from events where event_id % 997 <> 996), g as (select min(a.event_id + 1) as stop from d a where a.event_id + 1 not in (select event_id from d))
+@query("""with d as (select o_orderkey as event_id from orders where o_totalprice < (select max(o_totalprice) from orders)), g as (select min(a.event_id + 1) as stop from d a where a.event_id + 1 not in (select event_id from d))
  select event_id from d, g where event_id < stop and (select min(event_id) from d) = 0""")
 def contiguous_prefix(spark, sf_dir):
-    return ledger.contiguous_prefix(table(spark, sf_dir, "events").where("event_id % 997 <> 996").select("event_id"), "event_id")
+    orders = table(spark, sf_dir, "orders")
+    most = orders.agg(F.max("o_totalprice").alias("most"))
+    done = orders.crossJoin(F.broadcast(most)).where("o_totalprice < most").select(F.col("o_orderkey").alias("event_id"))
+    return ledger.contiguous_prefix(done, "event_id")
 
 
 @query("""with w as (select user_id, ts, event_id, event_type, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events)
  select user_id, event_type, value from w where r = 1""")
 def latest_wins(spark, sf_dir):
-    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select("user_id", "event_type", "value")
+    row = F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("row")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(row).select("user_id", "row.*")
 
 
 @query("select event_type, count(*)::bigint as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as k from events group by 1")
@@ -386,11 +394,18 @@ def rows_page(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(100).limit(25)
 
 
-@query(_expected([(r, k, str(again).lower()) for r, (k, again) in dims.REASONS.items()] + [("no_title", "failed", "false")], "reason, klass, again", "reason, klass, (again = 'true') as retryable"))
+_REASON_WORDS = [*dims.REASONS, "no_title", ""]
+_CLASS = " ".join(f"when '{r}' then '{k}'" for r, (k, _) in dims.REASONS.items())
+_AGAIN = ", ".join(f"'{r}'" for r, (_, again) in dims.REASONS.items() if again)
+
+
+@query(f"""with r as (select event_type, {_REASON_WORDS}[(event_id % {len(_REASON_WORDS)} + 1)::int] as reason from events)
+ select event_type, reason, case reason {_CLASS} else 'failed' end as klass, reason in ({_AGAIN}) as retryable, count(*)::bigint as n from r group by all""")
 def reason_classes(spark, sf_dir):
-    rows = spark.createDataFrame([(r,) for r in (*dims.REASONS, "no_title")], "reason string")
+    reason = F.get(F.array(*map(F.lit, _REASON_WORDS)), (F.col("event_id") % len(_REASON_WORDS)).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_type", reason.alias("reason"))
     again = F.col("reason").isin([r for r, (_, a) in dims.REASONS.items() if a])
-    return rows.select("reason", ledger.reason_class(F.col("reason")).alias("klass"), again.alias("retryable"))
+    return rows.groupBy("event_type", "reason", ledger.reason_class(F.col("reason")).alias("klass"), again.alias("retryable")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- review and images
@@ -404,8 +419,9 @@ _CELLS = """select c_custkey, case when c_custkey % 4 = 0 then null else c_name
  (case when title is null then '-' when confidence = 'high' then '3' when confidence = 'medium' then '2' when confidence = 'low' then '1' else '0' end)
  || (case when price is null then '-' else '3' end) as depths, title is null or price is null or confidence in ('low', 'medium') as needs_review from c""")
 def review_cells(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("_wareloom_customer")
-    return review.review(spark.sql(_CELLS.replace("from customer", "from _wareloom_customer")))
+    columns = _CELLS.removeprefix("select ").removesuffix(" from customer")
+    cells = table(spark, sf_dir, "customer").select(F.expr(f"struct({columns})").alias("x")).select("x.*")
+    return review.review(cells, "c_custkey", "title", "price", ["title", "price", "category"])
 
 
 _SHOTS = """select p_partkey as page, n as dom_index, 'https://cdn.example.com/img/p' || p_partkey || '-' || (n // 2) || case n % 2 when 0 then '_800x800' else '' end || '.jpg' as url,
