@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wareloom.operators.ledger import contiguous_prefix
+
 
 def write_outcomes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append all that is there to ``path``, a folder per batch; a batch that runs again replaces its own folder."""
@@ -26,6 +28,29 @@ def latest_outcomes(spark: SparkSession, path: str, schema: str, key: str, order
     return rows.groupBy(key).agg(F.max_by(cells, F.struct(*order)).alias("row")).select("row.*")
 
 
+def write_prefix(stream: DataFrame, index: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Put out rows of ``stream`` as soon as all before them are there: each batch is kept, and what now follows the last
+    row put out without a gap goes to ``path``/out, a folder per batch. Indexes start at 0."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/in/batch={number}")
+        every = spark.read.schema(batch.schema).parquet(f"{path}/in/batch=*").distinct()
+        ready = contiguous_prefix(every, index)
+        if number:
+            out = spark.read.schema(batch.schema).parquet(*[f"{path}/out/batch={k}" for k in range(number)])
+            ready = ready.join(out.select(index), index, "left_anti")
+        ready.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_once(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows of ``stream`` whose ``key`` hasn't come before, in this run or, by the checkpoint, an earlier one."""
+    once = stream.dropDuplicates([key])
+    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def refusals_by_host(stream: DataFrame) -> DataFrame:
     """``stream`` (host, ts, refused) -> (host, current, longest) each time a host has news.
 
