@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,44 @@ def with_own_names(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Ca
     return docs.toDF(*new), lambda out, *more: out.select(*[quoted(n).alias(c) for n, c in zip(new, docs.columns, strict=True)], *more)
 
 
+#: Rows of one Arrow batch at most: texts may be long, and a batch stands in a worker and twice in its executor.
+BATCH_ROWS = 1_000
+_HELD: dict[tuple, object] = {}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session send Python batches of BATCH_ROWS rows at most, unless it sends smaller ones already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def held(kind: tuple, make: Callable):
+    """What a Python worker keeps from task to task, ``make`` makes it the first time. It keeps one thing: what another kind
+    of task left goes, so what the stages of a pipeline remember doesn't add up."""
+    if kind not in _HELD:
+        _HELD.clear()
+        with contextlib.suppress(OSError, AttributeError):  # give back to the system what has been freed, where it can be
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
+def in_slices(batches: Iterable, column: str = "text", size: int = 1 << 20) -> Iterator:
+    """Arrow batches in slices of about ``size`` bytes of ``column``, one long row at least: what a task makes of a slice is
+    gone before the next, so a worker's memory follows the slice and not the batch."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet in the shared folder.
 
@@ -51,6 +91,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0

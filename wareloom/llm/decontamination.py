@@ -8,6 +8,7 @@ wavelet-tree ranks) and where (sampled suffix positions); overlapping occurrence
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wareloom.llm.common import Scratch, with_own_names
+from wareloom.llm.common import Scratch, held, in_slices, with_own_names
 from wareloom.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -103,20 +104,20 @@ def cut_words(text: str, spans: list[dict]) -> str:
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        phrases = Phrases(shared.value, window)
-        look, held, state = phrases.vocabulary.get, [], {"words": 0, "bytes": 0}
+        phrases = held(("phrases", key), lambda: Phrases(shared.value, window))
+        look, waiting, state = phrases.vocabulary.get, [], {"words": 0, "bytes": 0}
         none = pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
         def flush():
-            lengths = np.concatenate([x[2] for x in held])
-            found = _search(phrases, np.concatenate([x[1] for x in held]), lengths)
+            lengths = np.concatenate([x[2] for x in waiting])
+            found = _search(phrases, np.concatenate([x[1] for x in waiting]), lengths)
             at = 0
-            for batch, _, own in held:
+            for batch, _, own in waiting:
                 part = found[at : at + len(own)]
                 at += len(own)
                 masks = [f[0] if f else None for f in part]
@@ -138,10 +139,10 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, fir
                 for name, column in zip(("n_words", "n_hit", "item_ids", "hit_spans"), columns, strict=True):
                     batch = batch.append_column(name, column)
                 yield batch
-            held.clear()
+            waiting.clear()
             state.update(words=0, bytes=0)
 
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column("text").to_pylist()
             words = [words_of(t) for t in texts]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -150,12 +151,12 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, fir
             for w in words:
                 ids[at : at + len(w)] = np.fromiter(map(look, w, repeat(0)), np.int32, len(w))
                 at += len(w) + 1
-            held.append((batch, ids, lengths))
+            waiting.append((batch, ids, lengths))
             state["words"] += int((ids > 0).sum())
             state["bytes"] += batch.nbytes
             if state["words"] >= SHARD_WORDS or state["bytes"] >= SHARD_BYTES:
                 yield from flush()
-        if held:
+        if waiting:
             yield from flush()
 
     own = [f for f in docs.schema if first or f.name not in found_names()]
@@ -204,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             spans = batch.column("hit_spans").to_pylist()
             if any(spans):
                 texts = [cut_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]

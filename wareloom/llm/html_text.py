@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wareloom.llm.common import with_own_names
+from wareloom.llm.common import bound_batches, in_slices, with_own_names
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript iframe audio video canvas datalist title".split())
@@ -483,6 +483,7 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
 
     Null or empty html gives ''. Rows are independent; repeated rows give the same text, an empty table none.
     """
+    bound_batches(pages.sparkSession)
     base = pages.drop(text) if text != html else pages
     plain, back = with_own_names(base, ("_seen",))
     column = plain.columns[base.columns.index(html)]
@@ -490,7 +491,7 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches, column):
             yield batch.append_column("_seen", pa.array([visible_text(h) for h in batch.column(column).to_pylist()], pa.string()))
 
     out = plain.mapInArrow(scan, StructType([*plain.schema, StructField("_seen", StringType())]))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wareloom.llm.common import Scratch, connected_components, quoted
+from wareloom.llm.common import Scratch, connected_components, held, in_slices, quoted
 
 #: A link: intersection * 100 >= 90 * union.
 SIMILARITY = (90, 100)
@@ -37,8 +37,6 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 SHORT_LIST, TILE = 16, 256
 #: Partners of one document in one verification block, and bits of the filter on documents concerned.
 BLOCK, FILTER_BITS = 256, 1 << 24
-#: Sets of one batch on the way to verification.
-SETS_AT_ONCE = 256
 #: Document numbers that may be broadcast.
 BROADCAST_IDS = 1_000_000
 SLICE_BYTES = 1 << 19
@@ -177,8 +175,8 @@ def shingle_table(docs: DataFrame, rule: Rule, words: int) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = Shingler(words)
-        for batch in batches:
+        shingler = held(("shingler", words), lambda: Shingler(words))
+        for batch in in_slices(batches):
             n, f1, f2, low, bits = [], [], [], [], []
             for s in shingler.sets(batch.column("text").to_pylist()):
                 n.append(len(s))
@@ -220,14 +218,13 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler, bits = Shingler(words), shared.value
+        shingler, bits = held(("shingler", words), lambda: Shingler(words)), shared.value
         for batch in batches:
             keys = batch.column("doc_id")
             at = _bit(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             wanted = ((bits[at >> 3] >> (at & 7)) & 1).astype(bool) & keys.is_valid().to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array(wanted))
-            for k in range(0, part.num_rows, SETS_AT_ONCE):
-                own = part.slice(k, SETS_AT_ONCE)
+            for own in in_slices([part]):
                 sets = list(shingler.sets(own.column("text").to_pylist()))
                 prints = np.array([_fingerprints(s) for s in sets], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(

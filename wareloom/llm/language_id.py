@@ -16,12 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wareloom.llm.common import bound_batches, in_slices
+
 HIDDEN, EMBED, EPOCHS, BATCH, RATE, SEED = 8, 12, 4, 128, 0.01, 5
 #: Bytes that a window labels, and those it reads on either side for their state; rows of one run of the network.
 STEP, CONTEXT, ROWS = 704, 64, 1024
 #: Learned from, per language: about so many documents, and windows of so many bytes, from each document at most so many.
 SAMPLE_DOCS, SAMPLE_WINDOWS, LEARNED_BYTES, PER_DOC = 400, 1_500, 96, 16
-SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -183,7 +184,7 @@ def _learned_windows(known: DataFrame, shares: dict[str, float], per_doc: int, s
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[list] = [[], [], []]
             for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
                 raw = text.encode()
@@ -233,26 +234,20 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     without letters is UNDETERMINED with score 0; so is every text without a model. Ties go to the first label.
     Repeated rows get the same label; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
-            texts, names, scores, at = batch.column("text").to_pylist(), [], [], 0
-            while at < len(texts):
-                part, size = [], 0
-                while at + len(part) < len(texts) and size < SLICE_BYTES:
-                    text = texts[at + len(part)]
-                    part.append(text.encode() if model and text and _LETTER.search(text) else b"")
-                    size += len(part[-1])
-                at += len(part)
-                means = read(model, part) if model else None
-                for k, raw in enumerate(part):
-                    best = int(means[k].argmax()) if raw else 0
-                    names.append(model.labels[best] if raw else UNDETERMINED)
-                    scores.append(min(1.0, round(float(means[k][best]), 6)) if raw else 0.0)
+        for batch in in_slices(batches):
+            texts = [t.encode() if model and t and _LETTER.search(t) else b"" for t in batch.column("text").to_pylist()]
+            means, names, scores = read(model, texts) if model else None, [], []
+            for k, raw in enumerate(texts):
+                best = int(means[k].argmax()) if raw else 0
+                names.append(model.labels[best] if raw else UNDETERMINED)
+                scores.append(min(1.0, round(float(means[k][best]), 6)) if raw else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )

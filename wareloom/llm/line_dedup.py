@@ -22,6 +22,8 @@ from wareloom.llm.common import Scratch, quoted, with_own_names
 
 #: Lines of fewer words have no near copies; whether their exact copies go is up to the caller (``short_copies``).
 LEAST_WORDS = 5
+#: Document numbers that may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: White space, all of which parts words; a line end of two characters leaves its \r in the line.
 _SPACES = " \t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -29,9 +31,10 @@ _SPACES = " \t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 def _lines(docs: DataFrame, least_words: int, short_copies: bool) -> DataFrame:
     """doc_id, line_no, line (trimmed, words parted by blanks), w (its words), h1, h2 (of the line as it stands, trimmed)
     of the lines that take part."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    split = split.withColumn("raw", F.trim("raw")).where(F.col("raw").rlike(f"[^{_SPACES}]"))
-    split = split.withColumn("line", F.trim(F.regexp_replace("raw", f"[{_SPACES[1:]}]", " "))).withColumn("w", F.size(F.split("line", " ", -1)))
+    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).withColumn("raw", F.trim("raw"))
+    split = split.withColumn("line", F.trim(F.translate("raw", _SPACES, " " * len(_SPACES)))).where("line <> ''")
+    # as many words as there are blanks between them, and one
+    split = split.withColumn("w", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     split = split if short_copies else split.where(F.col("w") >= least_words)
     return split.select("doc_id", "line_no", "line", "w", F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(7), "raw").alias("h2"))
 
@@ -107,7 +110,11 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies
     alike = Window.partitionBy("half")
     line = F.struct(*own)
     near = halves.withColumn("x", F.min(line).over(alike)).withColumn("y", F.max(line).over(alike)).where("x <> y")
-    near = near.select(*own).distinct().join(first, own).select("at.*", *own)
+    near = scratch.write(near.select(*own).distinct().join(first, own).select("at.*", *own), "near-places")
+    # their words: of the documents that they stand in, if these are few enough to be told to all, else of all
+    ids = near.select(F.col("doc_id").alias("_id")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        lines = _lines(docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), least_words, short_copies)
     near = scratch.write(_same_place(lines.where(long), near, own).dropDuplicates(own), "near")
 
     # each variant's group: lines with one word replaced at a place, and the line that all of them extend

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from wareloom.llm.common import Scratch, with_own_names
+from wareloom.llm.common import Scratch, held, in_slices, with_own_names
 
 FEATURES, SAMPLE, EPOCHS, SEED = 1 << 10, 3_000, 8, 3
 #: Documents that score less are rejected.
@@ -28,6 +28,8 @@ THRESHOLD = 0.5
 LONGEST_WORD = 32
 #: Capitals are a share of as many letters at least: the capital that opens a text of one word isn't shouting.
 FEW_LETTERS = 20
+#: Words whose features a worker remembers.
+REMEMBERED = 100_000
 LABELLERS = ("symbols", "marked", "capitals", "shouting", "repeats", "common", "bars", "sentences")
 
 
@@ -82,7 +84,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             marks = ["".join("0+.-"[v] for v in votes(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(marks, pa.string())], ["h", "pattern"])
 
@@ -142,13 +144,17 @@ def word_feature(word: str) -> int:
     return 16 + zlib.crc32(shape.encode()) % (FEATURES - 16)
 
 
-class _Shapes(dict):
+class Shapes(dict):
+    """Features of words, remembered for up to REMEMBERED of them."""
+
     def __missing__(self, word: str) -> int:
         self[word] = number = word_feature(word)
         return number
 
-
-_NUMBERS = _Shapes()
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +162,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.array([0]), np.array([1.0])
-    if len(_NUMBERS) > 300_000:
-        _NUMBERS.clear()
-    counts = np.bincount(np.fromiter(map(_NUMBERS.__getitem__, words), np.int64, len(words)), minlength=FEATURES)
+    shapes = held(("shapes",), Shapes)
+    counts = np.bincount(shapes.of(words), minlength=FEATURES)
     ids = np.flatnonzero(counts)
     got = list(measures(words, text)[:8])
     got[5] -= min(1, 3 / len(words))  # few words are few different ones at best
@@ -194,7 +199,7 @@ def _feature_table(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [features(t) for t in batch.column("text").to_pylist()]
             cells = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in zip(zip(*rows), ("<i2", "<f4"))] if rows else []
             if rows:
@@ -253,7 +258,7 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             score = _scores(shared.value, batch.column("text").to_pylist())
             yield batch.append_column("quality", pa.array(score, pa.float64())).append_column(
                 "rejected", pa.array([s < threshold for s in score], pa.bool_())
@@ -272,7 +277,7 @@ def keep_good(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPL
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             score = _scores(shared.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array([s >= threshold for s in score], pa.bool_()))
 

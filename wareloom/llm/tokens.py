@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
+from wareloom.llm.common import held
+
 END_ID = 2
-#: Bytes of text of one call into the encoder; distinct words remembered by a worker (about 30 bytes each).
-SLICE_BYTES, REMEMBERED = 2 << 20, 1 << 20
+#: Bytes of text of one call into the encoder; distinct words remembered by a worker (about 30 bytes each) and words of one
+#: call into the library.
+SLICE_BYTES, REMEMBERED, LEARNED = 1 << 20, 3 << 18, 4096
 #: What the tokenizer takes for white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 _BASE = 0x9E3779B97F4A7C15
@@ -103,6 +105,7 @@ class WordEncoder:
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(names.values(), default=0) + 1, dtype=np.int64)
         self.bytes_of[list(names.values())] = [len(name) for name in names]  # one character stands for one byte
+        del names
         self.memory = WordMemory(remembered)
         self.powers = np.zeros(0, dtype=np.uint64)
 
@@ -135,7 +138,7 @@ class WordEncoder:
         plain = pc.and_(pc.not_equal(body, ""), pc.equal(pc.utf8_trim(body, SPACES), body))
         led = pc.if_else(line, words, pc.binary_join_element_wise(pa.scalar(" "), words, pa.scalar("")))
         led, plain = led.filter(plain), plain.to_numpy(zero_copy_only=False)
-        ids = self.whole(["".join(led.to_pylist())])[0]
+        ids = np.concatenate([self.whole(["".join(led.slice(k, LEARNED).to_pylist())])[0] for k in range(0, max(1, len(led)), LEARNED)])
         ends = np.cumsum(self.bytes_of[ids])
         cut = np.searchsorted(ends, np.cumsum(pc.binary_length(led).to_numpy(zero_copy_only=False)), side="right")
         size = np.full(len(words), -1, dtype=np.int64)
@@ -195,7 +198,6 @@ class WordEncoder:
             at = to
 
 
-@lru_cache(maxsize=1)
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker; tasks that follow one another find its words remembered."""
-    return WordEncoder(path)
+    return held(("encoder", path), lambda: WordEncoder(path))
