@@ -88,6 +88,72 @@ def test_packing_plan(sizes):
     assert sum(n for _, n in plan) >= packing.lower_bound(counts, 64)
 
 
+def fewest(sizes, capacity):
+    """The fewest bins for a few sizes, by trying all ways to fill them one size after the other."""
+    sizes = sorted(sizes, reverse=True)
+    best = [len(sizes)]
+
+    def put(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= sizes[k]:
+                left = list(bins)
+                left.remove(room)
+                put(k + 1, [*left, room - sizes[k]])
+        put(k + 1, [*bins, capacity - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=11))
+def test_packing_is_exact_without_a_limit(sizes):
+    counts = {s: sizes.count(s) for s in sizes}
+    assert sum(n for _, n in packing.plan_sequences(counts, 20, None)) == fewest(sizes, 20)
+
+
+@pytest.mark.parametrize("capacity", [100, 1000])
+def test_packing_finds_planted_plans(capacity):
+    for seed in range(8):
+        r, sizes = random.Random(seed), []
+        for _ in range(30):
+            left = capacity
+            while left:
+                sizes.append(min(left, r.randint(capacity // 20, capacity // 2)))
+                left -= sizes[-1]
+        assert sum(n for _, n in packing.plan_sequences({s: sizes.count(s) for s in sizes}, capacity)) == 30
+    assert sum(n for _, n in packing.plan_sequences({500: 1000, 300: 1000, 200: 1000, 131: 4000})) == 1500
+
+
+@given(st.integers(5, 40), st.lists(st.integers(1, 12), min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_fillings_are_all_undominated_ones(room, sizes):
+    from itertools import product
+
+    counts = {s: sizes.count(s) for s in sizes}
+    names = sorted(counts)
+    every = [f for f in product(*[range(counts[s] + 1) for s in names]) if sum(s * n for s, n in zip(names, f)) <= room]
+
+    def dominated(f):
+        left = room - sum(s * n for s, n in zip(names, f))
+        for x, n, have in zip(names, f, (counts[s] for s in names)):
+            if n < have:
+                for part in product(*[range(k + 1) for k in f]):
+                    gone = sum(s * k for s, k in zip(names, part))
+                    alone = sum(part) == 1 and gone == x
+                    if gone <= x <= gone + left and not alone:
+                        return True
+        return False
+
+    want = sorted(sorted(s for s, n in zip(names, f) for _ in range(n)) for f in every if not dominated(f))
+    assert sorted(sorted(f) for f in packing.fillings(room, counts, room, packing.Steps(None))) == want
+
+
 def test_packing(spark):
     rows = corpus()
     placed = packing.pack_documents(frame(spark, rows), capacity=128)
@@ -143,6 +209,32 @@ def test_embeddings(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(500, 505))
 
 
+@pytest.mark.parametrize("d", [1, 2, 3, 5, 7, 8, 12, 16, 24, 32, 64, 384])
+def test_pairs_at_the_cosine_share_a_cap(d):
+    r = np.random.default_rng(d)
+    a, b = r.standard_normal((2, 300, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if d > 1:
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    else:
+        b = a
+    code = embeddings.ProductCode(d)
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]) >= 0.96
+
+
+def test_embeddings_of_many_dimensions(spark):
+    r = np.random.default_rng(3)
+    rows = [(100 * d + k, v.tolist()) for d in (3, 8, 16, 4102) for k, v in enumerate(np.repeat(r.standard_normal((5, d)), 2, axis=0) * np.array([[1.0], [1.1]] * 5))]
+    rows += [(1, None), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == len(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found if r.vec_id and r.vec_id > 1}
+    assert all(got[k][1] <= k - k % 2 and got[k][0] >= 1 for k in got)
+    assert all(got[100 * d + k] == (1, 100 * d + k - k % 2) for d in (16, 4102) for k in range(10))
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_line_dedup(spark):
     a, b, c = "one two three four five six", "one two three four FIVE six", "one two four five six"
     rows = [(1, f"{a}\nshort line"), (2, f"{a}\n{b}\nshort line"), (3, f"  {c}  \nquite another line of some words"), (4, None), (5, ""), (None, "alone in a row of words")]

@@ -20,12 +20,19 @@ from wareloom.llm.common import Scratch, connected_components
 COSINE = 0.9
 #: Code vectors per block, blocks, and the height of a cap in standard deviations of a random direction's product.
 CODE, BLOCKS, HEIGHT, SEED = 256, 2, 2.9, 17
+#: In few dimensions random directions lie further from any vector: fewer dimensions than the first take the second
+#: height; fewer than FEW a smaller code and caps of half the way to the pole.
+LOWER, FEW, FEW_CODE = ((12, 2.1), (16, 2.3), (32, 2.5)), 8, 32
 #: Members of one tile; a cap with more is split into pairs of tiles, each a task's work of bounded size.
 TILE = 512
 
 
 class ProductCode:
-    def __init__(self, dimensions: int, code: int = CODE, blocks: int = BLOCKS, height: float = HEIGHT, seed: int = SEED):
+    def __init__(self, dimensions: int, code: int | None = None, blocks: int = BLOCKS, height: float | None = None, seed: int = SEED):
+        few = dimensions < FEW
+        code = code or (FEW_CODE if few else CODE)
+        if height is None:
+            height = np.sqrt(dimensions) / 2 if few else next((h for d, h in LOWER if dimensions < d), HEIGHT)
         random = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(random.standard_normal((dimensions, dimensions)))[0]
         self.cuts = np.linspace(0, dimensions, blocks + 1).astype(int)
@@ -34,7 +41,7 @@ class ProductCode:
             c = random.standard_normal((code, b - a))
             # each block's code has the same share of a filter's unit length
             self.codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) * np.sqrt((b - a) / dimensions))
-        self.code, self.height = code, height / np.sqrt(dimensions)
+        self.code, self.height, self.filters = code, height / np.sqrt(dimensions), code**blocks
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the numbers of all filters whose product with it is at least the height."""
@@ -65,8 +72,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, code: ProductCod
     vectors and vectors with null, infinite or NaN components link with nothing; so do vectors of different
     dimensions. Equal vectors are one class, searched once. n_links counts other rows; component_id is the smallest
     vec_id reachable; kept marks its row. Rows with a null vec_id link with nothing, are in no component and aren't
-    kept; rows that share a vec_id count each as a row. Random pairs of 64 dimensions at a cosine of exactly 0.9 share
-    a filter in 99 of 100 cases with the defaults (measured on 3,000 pairs), nearer ones more surely.
+    kept; rows that share a vec_id count each as a row. Random pairs at a cosine of exactly 0.9 share a filter in 98 of
+    100 cases or more with the defaults, in any number of dimensions (measured on 150 to 600 pairs each), nearer ones
+    more surely.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
     ok = F.expr(
@@ -99,7 +107,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, code: ProductCod
                 unit = block / np.linalg.norm(block, axis=1, keepdims=True)
                 for k, caps in zip(at, own.decode(unit), strict=True):
                     out[0].append(np.full(len(caps), keys[k]))
-                    out[1].append(caps * 4099 + d % 4099)
+                    out[1].append(caps + d * own.filters)
                     out[2] += [vectors[k]] * len(caps)
             if out[2]:
                 sizes = [len(u) for u in out[2]]

@@ -57,6 +57,8 @@ ENDS = {
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "body"})
 #: A value may stand in quotes behind an equals sign; other quotes are characters like any.
+#: A value may stand in quotes behind an equals sign; other quotes are characters like any.
+#: A value may stand in quotes behind an equals sign; other quotes are characters like any.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)",
     re.DOTALL,
@@ -64,8 +66,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.IGNORECASE)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-#: Comments and at-rules, with the rules inside them.
-_NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", re.DOTALL)
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 _NUMBER = re.compile(r"-?[0-9]{1,6}", re.ASCII)
 _BLANK = re.compile(r"[ \t\r\n\f]+")
@@ -121,7 +121,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
             stop = end.start() if end else len(html)
             here.children.append(unescape(html[at:stop]) if raw in ("textarea", "title") else html[at:stop])
             if raw == "style":
-                rules += _RULE.findall(_NO_RULE.sub(" ", html[at:stop]))
+                rules += _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", html[at:stop], flags=re.DOTALL))
             at, raw = end.end() if end else len(html), ""
             open_.cut(len(open_.nodes) - 1)
             continue
@@ -374,29 +374,37 @@ class _Writer:
 
         page.block(2)
         self.later(end)
+        todo = [(node, seen)]
         steps: list = []
-        todo, loose = [(c, "table", seen) for c in reversed(node.children)], False
         while todo:
-            c, parent, seen = todo.pop()
-            if isinstance(c, str):
-                if seen and c.strip():
-                    steps.append((c, table.cell() if parent == "tr" else page, (), pre, seen, ""))
-                continue
-            said = self.styles.of(c)
-            if not visible(c, said):
-                continue
-            if parent == "tr" or c.tag in ("td", "th"):
-                if parent != "tr" and not loose:
-                    table.row()
-                loose = parent != "tr"
-                steps.append((c, table.cell(c), (), pre, seen, ""))
-            elif c.tag in ("tr", "tbody", "thead", "tfoot"):
-                loose = False
-                if c.tag == "tr":
-                    table.row()
-                todo += [(x, c.tag, shown(said, seen)) for x in reversed(c.children)]
-            else:
-                steps.append((c, page, (), pre, seen, ""))
+            n, seen = todo.pop()
+            below = []
+            for c in n.children:
+                if isinstance(c, str):
+                    if seen and c.strip():
+                        if n.tag == "tr":
+                            steps.append((c, table.cell(), (), pre, seen, ""))
+                        else:
+                            steps.append((c, page, (), pre, seen, ""))
+                    continue
+                said = self.styles.of(c)
+                if not visible(c, said):
+                    continue
+                if c.tag in ("tr", "tbody", "thead", "tfoot"):
+                    below.append((c, shown(said, seen)))
+                elif c.tag in ("td", "th") or n.tag == "tr":
+                    if n.tag != "tr" and not (table.rows and table.rows[-1] and steps and steps[-1][1] is table.rows[-1][-1][0]):
+                        table.row()
+                    steps.append((c, table.cell(c), (), pre, seen, ""))
+                else:
+                    steps.append((c, page, (), pre, seen, ""))
+            # rows are numbered in the order of the tree: what stands below comes before what follows
+            if below:
+                table_rows = below
+                for c, own in reversed(table_rows):
+                    todo.append((c, own))
+            if todo and todo[-1][0].tag == "tr":
+                table.row()
         self.work += reversed(steps)
 
     def write(self, node, page: _Page, seen: bool = True) -> None:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from wareloom.llm.common import bound_batches, in_slices
 
 HIDDEN, EMBED, EPOCHS, BATCH, RATE, SEED = 8, 12, 4, 128, 0.01, 5
+#: Steps of training at least, in more epochs where there is little to learn from; what the rate falls to.
+LEAST_STEPS, FALL = 300, 0.15
 #: Bytes that a window labels, and those it reads on either side for their state; rows of one run of the network.
 STEP, CONTEXT, ROWS = 704, 64, 1024
 #: Learned from, per language: about so many documents, and windows of so many bytes, from each document at most so many.
@@ -128,7 +130,8 @@ class ByteGRU:
         return g
 
     def fit(self, bytes_: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteGRU:
-        """Adam over shuffled batches."""
+        """Adam over shuffled batches; the rate falls evenly from one epoch to the next."""
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(target))))
         random = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.w.items()}, {k: np.zeros_like(w) for k, w in self.w.items()}, 0
         for epoch in range(epochs):
@@ -141,7 +144,7 @@ class ByteGRU:
                 for k, g in self.gradients(part, target[rows]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    rate = RATE * (0.6**epoch)
+                    rate = RATE * FALL ** (epoch / epochs)
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
