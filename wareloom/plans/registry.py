@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql.window import Window
 
 from wareloom.functions import dims, texts, urls, values
 from wareloom.operators import enrich, gates, images, ledger, review
+from wareloom.scratch import fresh_path
 from wareloom.sources import exports, links
 from wareloom.streaming import outcomes
 
@@ -507,8 +506,7 @@ def export_records(spark, sf_dir):
 @query("""with w as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events)
  select user_id, event_id, event_type from w where r = 1""")
 def stream_latest_outcomes(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    base = f"{root.rstrip('/')}/outcomes-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "outcomes")
     source = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     # a pattern, as the stream's reader takes a plain path for a folder
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wareloom.functions import texts, urls
 from wareloom.operators import checks, plugins, records, reports
 from wareloom.plans.registry import _OUTCOME, _outcomes, query, table
+from wareloom.scratch import fresh_path
 from wareloom.sources import readers
 from wareloom.streaming import outcomes as streams
 
@@ -189,8 +187,7 @@ def plugin_cells(spark, sf_dir):
 
 @query("""select p_partkey::varchar as key, 'https://a.example/' || p_partkey as link, case when p_partkey % 2 = 0 then 'https://b.example/' || p_partkey end as second, p_name as name from part""")
 def delimited_upload(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/upload-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "upload")
     part = table(spark, sf_dir, "part")
     cells = "p_partkey as key", "p_name as name", "if(p_partkey % 2 = 0, concat('https://b.example/', p_partkey), 'none') as other", "concat(' https://a.example/', p_partkey) as page"
     part.selectExpr(*cells).write.csv(path, sep=";", header=True)
@@ -200,8 +197,7 @@ def delimited_upload(spark, sf_dir):
 @query("""with d as (select o_orderkey as k from orders where o_totalprice < (select max(o_totalprice) from orders)), g as (select min(a.k + 1) as stop from d a where a.k + 1 not in (select k from d))
  select k as input_index from d, g where k < stop and (select min(k) from d) = 0""")
 def stream_prefix(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    base = f"{root.rstrip('/')}/prefix-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "prefix")
     orders = table(spark, sf_dir, "orders")
     most = orders.agg(F.max("o_totalprice")).first()[0]
     stream = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")
@@ -212,8 +208,7 @@ def stream_prefix(spark, sf_dir):
 
 @query("""select user_id::varchar as canonical, count(*) >= 1 as done from events group by 1""")
 def stream_resume(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    base = f"{root.rstrip('/')}/resume-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "resume")
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").cast("string").alias("canonical"))
     streams.write_once(stream, "canonical", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
