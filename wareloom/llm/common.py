@@ -6,28 +6,18 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
+from wareloom.scratch import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        root = _OWN_ROOT.setdefault("root", f"file://{tempfile.mkdtemp(prefix='wareloom-')}")
-    return root.rstrip("/")
-
-
 def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
@@ -93,7 +83,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
-        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = fresh_path(spark, name)
         self.made = 0
 
     def path(self, name: str) -> str:
