@@ -100,13 +100,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies
     lines = _lines(docs, least_words, short_copies)
     halves = F.when(F.col("w") >= least_words, _halves())
     every = scratch.write(lines.select("doc_id", "line_no", *own, halves.alias("halves")), "lines")
-    first = every.groupBy(*own).agg(F.min(place).alias("at"), F.count("*").alias("times"))
+    first = every.groupBy(*own).agg(F.min(place).alias("at"), F.count("*").alias("times"), F.first("halves").alias("halves"))
     first = scratch.write(first, "distinct")
 
     # lines that share a half with another line
     long = F.col("w") >= least_words
-    halves = _same_place(every.where(long), first.where(long).select("at.*", *own), own, "left_semi")
-    halves = halves.select(*own, F.explode("halves").alias("half"))
+    halves = first.where(long).select(*own, F.explode("halves").alias("half"))
     alike = Window.partitionBy("half")
     line = F.struct(*own)
     near = halves.withColumn("x", F.min(line).over(alike)).withColumn("y", F.max(line).over(alike)).where("x <> y")
@@ -122,6 +121,8 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short_copies
     parts = parts.withColumn("at", F.struct("doc_id", "line_no", "h1", "h2", "w"))
     # by size too: the whole line has as many words as the others have left
     parts = parts.withColumn("left", F.when(F.col("place") == 0, F.col("w")).otherwise(F.col("w") - 1))
+    # one exchange and one order for both kinds of group
+    parts = parts.repartition("key", "left")
     replaced = Window.partitionBy("key", "left", "place")
     extended = Window.partitionBy("key", "left")
     parts = parts.withColumn("first", F.min("at").over(replaced))
