@@ -47,13 +47,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def _give_back() -> None:
+    """Let the system have the memory that a worker has freed, as far as its allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(kind: tuple, make: Callable):
     """What a Python worker keeps from task to task, ``make`` makes it the first time. It keeps one thing: what another kind
     of task left goes, so what the stages of a pipeline remember doesn't add up."""
     if kind not in _HELD:
         _HELD.clear()
-        with contextlib.suppress(OSError, AttributeError):  # give back to the system what has been freed, where it can be
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
         _HELD[kind] = make()
     return _HELD[kind]
 
@@ -62,6 +70,7 @@ def in_slices(batches: Iterable, column: str = "text", size: int = 1 << 20) -> I
     """Arrow batches in slices of about ``size`` bytes of ``column``, one long row at least: what a task makes of a slice is
     gone before the next, so a worker's memory follows the slice and not the batch."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -71,6 +80,7 @@ def in_slices(batches: Iterable, column: str = "text", size: int = 1 << 20) -> I
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 class Scratch:

@@ -39,7 +39,7 @@ SHORT_LIST, TILE = 16, 256
 BLOCK, FILTER_BITS = 256, 1 << 24
 #: Document numbers that may be broadcast.
 BROADCAST_IDS = 1_000_000
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SPACE = np.zeros(256, dtype=bool)

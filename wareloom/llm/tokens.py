@@ -187,6 +187,7 @@ class WordEncoder:
 
     def slices(self, texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last, ids, counts) of ``encode`` over stretches of about SLICE_BYTES of an Arrow array of strings."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -196,6 +197,7 @@ class WordEncoder:
             to = min(len(texts), max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES))))
             yield at, to, *self.encode(texts.slice(at, to - at))
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def worker_encoder(path: str) -> WordEncoder:
