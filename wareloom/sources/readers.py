@@ -18,8 +18,8 @@ DELIMITERS, SNIFFED_LINES, SNIFFED_ROWS = (",", "\t", ";", "|"), 20, 200
 LINK = r"(?i)^\s*(?:https?://|www\.)\S+$"
 #: Where a saved page says where it came from, in order.
 _ORIGINS = (
-    r"<base[^>]+href=[\"']([^\"']+)", r"<link[^>]+rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']+)", r"<meta[^>]+property=[\"']og:url[\"'][^>]*content=[\"']([^\"']+)",
-    r"<meta[^>]+name=[\"']twitter:url[\"'][^>]*content=[\"']([^\"']+)", r"saved from url=\(\d+\)(\S+)",
+    r"<base[^>]+href=[\"']?([^\"'\s>]+)", r"<link[^>]+rel=[\"']?canonical\b[^>]*href=[\"']?([^\"'\s>]+)", r"<meta[^>]+property=[\"']?og:url\b[^>]*content=[\"']?([^\"'\s>]+)",
+    r"<meta[^>]+name=[\"']?twitter:url\b[^>]*content=[\"']?([^\"'\s>]+)", r"saved from url=\(\d+\)(\S+)",
 )
 
 
