@@ -255,6 +255,14 @@ def _general(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", number), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def defaults(rfq: Column, least: Column, bulk: Column) -> list[Column]:
+    """rfq_enabled, rfq_min_qty and bulk_only as the seller's policy has them: yes or blank, a number only where asked for."""
+    cell = lambda value, name: F.struct(
+        value.alias("value"), F.when(value.isNotNull(), "high").otherwise("none").alias("confidence"), F.lit("policy").alias("source"), F.lit(None).alias("note")
+    ).cast(CELL.format(kind_of(name))).alias(name)
+    return [cell(F.when(rfq, "yes"), "rfq_enabled"), cell(F.when(rfq, least.cast("int")), "rfq_min_qty"), cell(F.when(bulk, "yes"), "bulk_only")]
+
+
 def edit_fault(field: Column, raw: Column, category: Column) -> Column:
     """Why an edit of ``field`` to ``raw`` can't be made, null if it can; ``category`` is the record's, as it will stand.
 

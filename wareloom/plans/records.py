@@ -219,3 +219,23 @@ def link_texts(spark, sf_dir):
         texts.data_uri(F.expr("concat('data:text/plain;base64,', base64(encode(concat(p_type, p_size), 'utf-8')))")).cast("string").alias("data"),
         texts.json_in(F.expr("concat('Here:\n```json\n{\"a\": ', p_size, '}\n```')")).alias("reply"),
     )
+
+
+@query("""select page_id, case page_id % 4 when 0 then 'https://amazon.in/dp/B0' || lpad(page_id::varchar, 8, '0') when 1 then 'https://flipkart.com/a/p/itm' || page_id || '?pid=X' || page_id
+ when 2 then 'https://etsy.com/listing/' || page_id else 'https://shop.example:8443/A/' || page_id || '?b=1,2' end as canonical from pages""")
+def url_rules(spark, sf_dir):
+    link = F.expr(
+        "case page_id % 4 when 0 then concat('https://www.Amazon.in/some-thing/dp/b0', lpad(page_id, 8, '0'), '/ref=sr_1?tag=x#top') when 1 then concat('http', 's://www.flipkart.com/a/p/itm', page_id, '?lid=1&pid=X', page_id, '&q=2')"
+        " when 2 then concat('https://www.etsy.com/in-en/listing/', page_id, '/slug?click=1') else concat('https://me@www.shop.example:8443/A/', page_id, '?utm_source=n&b=1,2&ref=z') end"
+    )
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(link).alias("canonical"))
+
+
+@query("""with r as (select p_partkey, case when p_partkey % 3 = 0 then null else p_name end as title, p_partkey % 2 = 0 as bare from part)
+ select p_partkey, title is null as unnamed, case when bare then '' else 'yes' end as rfq, case when bare then null else 5 end as least from r""")
+def policy_defaults(spark, sf_dir):
+    made = records.complete(table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr("if(p_partkey % 3 = 0, null, p_name)").alias("name"), F.expr("p_partkey % 2 = 0").alias("bare"),
+    ))
+    filled = made.select("p_partkey", "name", "bare", *[c for c in records.defaults(rfq=~F.col("bare"), least=F.lit(5), bulk=F.lit(False))])
+    return filled.select("p_partkey", F.col("name").isNull().alias("unnamed"), F.coalesce(F.col("rfq_enabled")["value"], F.lit("")).alias("rfq"), F.col("rfq_min_qty")["value"].alias("least"))
