@@ -36,7 +36,7 @@ def with_own_names(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Ca
 
 
 #: Rows of one Arrow batch at most: texts may be long, and a batch stands in a worker and twice in its executor.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 _HELD: dict[tuple, object] = {}
 
 

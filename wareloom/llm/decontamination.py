@@ -22,7 +22,7 @@ from wareloom.llm.fm_index import FMIndex
 
 WINDOW = 10
 #: A shard is indexed when it has so many words in runs, or holds so many bytes.
-SHARD_WORDS, SHARD_BYTES = 1 << 20, 32 << 20
+SHARD_WORDS, SHARD_BYTES = 1 << 17, 8 << 20
 #: Benchmark text that is broadcast at once; a larger benchmark takes several passes over the corpus.
 BLOCK_BYTES = 8 << 20
 FOUND = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<first:int,last:int>>"

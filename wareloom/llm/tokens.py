@@ -12,7 +12,7 @@ from wareloom.llm.common import held
 END_ID = 2
 #: Bytes of text of one call into the encoder; distinct words remembered by a worker (about 30 bytes each) and words of one
 #: call into the library.
-SLICE_BYTES, REMEMBERED, LEARNED = 1 << 20, 3 << 18, 4096
+SLICE_BYTES, REMEMBERED, LEARNED = 1 << 19, 3 << 18, 4096
 #: What the tokenizer takes for white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 _BASE = 0x9E3779B97F4A7C15
