@@ -17,12 +17,17 @@ from wareloom.llm import (
     line_dedup,
     packing,
     quality,
+    runs,
+    sharding,
     token_store,
+    whitening,
 )
 from wareloom.llm.common import Scratch, table
 
 #: What the extra conversation of op1 says, twice.
 PROBE = r"\### Assistant: </turn> ok"
+#: Shards of op12.
+SHARDS = 16
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +92,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "shards").path("shards")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sharding.write_shards(docs, path, SHARDS)
+    stored = sharding.read_shards(spark, path, docs.schema)
+    grown = sharding.grown_shard(F.col("doc_id"), F.col("shard"), SHARDS, {SHARDS: 1.0})
+    return stored.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        "shard", "slot", grown.alias("grown_shard"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), change=runs.folded)
+    return runs.digests(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +128,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_id_output,
         op9_language_id,
         op10_benchmark_decontamination,
+        op11_embedding_whitening,
+        op12_sharding,
+        op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {}
+#: A shard's score for a key, in SQL: what ``sharding.best_shard`` says.
+_SCORE = f"ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || k), 1, 13) as bigint) + 0.5) / {2.0**sharding.BITS})"
+SQL: dict[str, str] = {
+    "op12_sharding": f"""
+with halves as (
+  -- what four shifts of CRC-32 make of each half byte
+  select list(x order by i) as t from (
+    select i, list_reduce(range(0, 4), lambda acc, k: case when acc & 1 = 1 then xor(acc >> 1, 3988292384) else acc >> 1 end, i) as x
+    from range(16) r(i))),
+docs as (
+  select doc_id, text, octet_length(encode(coalesce(text, ''))) as n,
+    list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: cast(instr('0123456789ABCDEF', c) as bigint) - 1) as h
+  from documents),
+sized as (
+  select doc_id, cast(n + 1 as bigint) as size, text is null as absent,
+    case when n = 0 then 0 else xor(4294967295, list_reduce(range(0, 2 * n),
+      lambda acc, k: xor(acc >> 4, t[(xor(acc, h[(case when k % 2 = 0 then k + 2 else k end)]) & 15) + 1]), 4294967295)) end as text_crc32
+  from docs, halves),
+placed as (
+  select doc_id, size, absent, text_crc32,
+    cast((select arg_max(k, ({_SCORE}, -k)) from range({SHARDS}) r(k)) as integer) as shard,
+    cast((select arg_max(k, ({_SCORE}, -k)) from range({SHARDS + 1}) r(k)) as integer) as grown_shard
+  from sized)
+select doc_id, size, cast(text_crc32 as bigint) as text_crc32, 'key' as law, shard,
+  row_number() over (partition by shard order by doc_id nulls first, not absent, text_crc32, size) - 1 as slot, grown_shard
+from placed""",
+}
