@@ -76,6 +76,17 @@ def test_style_sheets():
     assert visible_text(page) == "yes\n\nseenend"
 
 
+def test_nested_blocks_of_style_sheets():
+    seen = lambda sheet: visible_text(f"<style>{sheet}</style><i>a</i> <b>b</b>")
+    assert seen("@media print{i{display:none}}") == "a b"
+    assert seen("@media print{@media screen{i{display:none}} b{display:none}} b{display:none}") == "a"
+    assert seen("@media all{@media screen{i{display:none}} b{color:red}}") == "b"
+    assert seen("@layer base{i{display:none}}@keyframes x{from{display:none}b{display:none}}") == "b"
+    assert seen("i{color:red; &:hover{display:none} display:none} b{content:'}'}") == "b"
+    assert seen("@media screen{i{display:none}") == "b" and seen("i{display:none") == "b" and seen("}}i{display:none}") == "b"
+    assert visible_text("<p aria-hidden=true>read</p>") == "read"
+
+
 def test_quotes():
     assert visible_text("<p title=\"open>text</p> after") == "text\n\nafter"
     assert visible_text("<p it's>don't</p><a href='x>y'>z</a>") == "don't\n\nz"
@@ -121,7 +132,7 @@ def _random_page(r):
                     out.append(r.choice(["", "</td>", "</td></tr>"]))
                 out.append("</table>")
             elif kind == "hide":
-                out.append(r.choice(["<div hidden>", "<div style='color:red;display : none'>", "<div class=off>", "<div aria-hidden=true>"]))
+                out.append(r.choice(["<div hidden>", "<div style='color:red;display : none'>", "<div class=off>", "<div class=late>"]))
                 block(depth + 1, False)
                 out.append("</div>")
             elif kind == "script":
@@ -137,7 +148,13 @@ def _random_page(r):
                 word(seen)
                 out.append("</h2>")
 
-    out.append("<html><head><title>t</title><style>.off{display:none}</style></head><body>")
+    sheet = [".off{display:none}", "@media screen{.late{color:red;display:none}}"]
+    for _ in range(r.randint(0, 4)):
+        inner = r.choice(["p,div,b{display:none}", "h2{visibility:hidden}", "@supports (display:grid){li{display:none}}", "td{}"])
+        head = r.choice(["@media print", "@media (max-width: 600px)", "@supports (x: '}')", "@media screen and (min-width:1px)", "@page"])
+        sheet.insert(r.randint(0, len(sheet)), f"{head}{{{inner} /* }} */ {inner}}}")
+    sheet.insert(0, r.choice(["", "@import url('a;{b.css');", "@charset \"utf-8\";", "u{content:'}'}", "@font-face{src:url(a)}"]))
+    out.append(f"<html><head><title>t</title><style>{r.choice(['', ' ']).join(sheet)}</style></head><body>")
     block(0, True)
     return "".join(out), words
 

@@ -57,15 +57,16 @@ ENDS = {
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "body"})
 #: A value may stand in quotes behind an equals sign; other quotes are characters like any.
-#: A value may stand in quotes behind an equals sign; other quotes are characters like any.
-#: A value may stand in quotes behind an equals sign; other quotes are characters like any.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: What matters in a style sheet's text: quoted text, the end of a statement, braces.
+_SHEET = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[;{}]", re.DOTALL)
+#: At-rules whose rules hold on any screen that shows the whole page.
+_ALWAYS = re.compile(r"@media\s*(?:(?:only\s+)?screen|all)?\s*|@layer\b[^,]*", re.IGNORECASE)
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 _NUMBER = re.compile(r"-?[0-9]{1,6}", re.ASCII)
 _BLANK = re.compile(r"[ \t\r\n\f]+")
@@ -109,6 +110,33 @@ class _Open:
         return True
 
 
+def sheet_rules(sheet: str) -> list[tuple[str, str]]:
+    """The (selector, declarations) of a style sheet, in order. The body of an at-rule counts if it has no condition but
+    a screen (@media, @media screen, @media all, @layer); all others (print, widths, @supports, @keyframes ...) are
+    skipped whole, as are rules nested in a rule. What isn't closed at the end is closed there."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
+    rules, open_, begin = [], [], 0  # open blocks: the selector of a rule, "" of an at-rule that counts, None of what is skipped
+    for m in [*_SHEET.finditer(sheet), None]:
+        sign, at, end = (m[0], m.start(), m.end()) if m else ("", len(sheet), len(sheet))
+        if sign == "{":
+            head = sheet[begin:at].strip()
+            if any(x is None or x for x in open_):
+                # inside a rule or what is skipped; a rule's own declarations stay readable on both sides
+                open_.append(None)
+            else:
+                open_.append("" if _ALWAYS.fullmatch(head) else None if head.startswith("@") else head or None)
+        elif sign == "}" or not m:
+            if open_ and open_[-1]:
+                rules.append((open_[-1], sheet[begin:at]))
+            open_ = open_[:-1]
+        elif sign == ";" and open_ and open_[-1]:
+            rules.append((open_[-1], sheet[begin:at]))
+        elif sign != ";":
+            continue
+        begin = end
+    return rules
+
+
 def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
     """The tree of a page, and the (selector, declarations) of its style sheets; never fails, whatever the markup."""
     root, rules = Node("#root", {}), []
@@ -121,7 +149,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
             stop = end.start() if end else len(html)
             here.children.append(unescape(html[at:stop]) if raw in ("textarea", "title") else html[at:stop])
             if raw == "style":
-                rules += _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", html[at:stop], flags=re.DOTALL))
+                rules += sheet_rules(html[at:stop])
             at, raw = end.end() if end else len(html), ""
             open_.cut(len(open_.nodes) - 1)
             continue
@@ -181,8 +209,8 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
 class Styles:
     """What a page's rules say of display and visibility, by tag, class and number; the last of the strongest counts.
 
-    Selectors that look at more than the node itself (combinators, states, attributes) and rules inside @media are left
-    out: whether they hold can't be told here.
+    Selectors that look at more than the node itself (combinators, states, attributes) and rules under a condition
+    (``sheet_rules``) are left out: whether they hold can't be told here.
     """
 
     def __init__(self, rules: list[tuple[str, str]]):
@@ -216,7 +244,6 @@ def visible(node: Node, said: dict[str, str]) -> bool:
     return not (
         node.tag in HIDDEN
         or ("hidden" in a and "display" not in said)
-        or a.get("aria-hidden", "").lower() == "true"
         or (node.tag == "dialog" and "open" not in a)
         or said.get("display") == "none"
     )
