@@ -137,13 +137,18 @@ def title_names(spark, sf_dir):
     return rows.select("p_partkey", texts.tidied(F.col("raw")).alias("title"), F.array_join(texts.name_and_tail(F.col("raw"))["tail"], ", ").alias("tail"))
 
 
-@query("""select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\x0d\\x0a?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))),
- lambda x: not regexp_matches(lower(x), 'cookie|subscribe|quantity|newsletter|javascript')), chr(10)) as plain,
- length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 8 and length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) > length(regexp_replace(text, '[^\\p{L}]', '', 'g')) * 0.6 as shouts
- from documents where length(text) < 4000 and text not like '%' || chr(10) || '%' and text <> ''""")
+_FURNITURE = "|".join(texts.BOILERPLATE)
+
+
+@query(f"""with w as (select doc_id, text, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(
+   regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\x0d\\x0a?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))),
+   lambda x: not regexp_matches(lower(x), '{_FURNITURE}')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') as whole from documents),
+ c as (select *, left(whole, {texts.DESCRIPTION_CHARS}) as head from w)
+ select doc_id, case when length(whole) <= {texts.DESCRIPTION_CHARS} then whole else regexp_replace(coalesce(nullif(regexp_replace(head, '[ ][^ ]*$', ''), ''), head), '[ ,;-]+$', '') || '…' end as plain,
+ length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 8 and length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) > length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) * 0.6 as shouts
+ from c""")
 def text_cleaning(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) < 4000 and not contains(text, '\n') and text <> ''")
-    return docs.select("doc_id", texts.clean_description(F.col("text")).alias("plain"), texts.shouty(F.col("text")).alias("shouts"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.clean_description(F.col("text")).alias("plain"), texts.shouty(F.col("text")).alias("shouts"))
 
 
 @query("""select page_id, url, 'https://a.example/b/' || page_id || '.jpg' as relative, 'https://a.example/' || page_id as rooted, split_part(url, ':', 1) || '://c.example/' || page_id as bare,

@@ -100,7 +100,7 @@ def image_link_table(spark, sf_dir):
     return records.image_links(found, "line", "links", ["mine"]).select("line", "mine", "image_url_1", "image_url_10", "image_url_11")
 
 
-@query(f"""with {_R} select p_partkey, coalesce(title, 'second') as title, case when title is not null and title_sure <> 'low' then title_sure when title is null then 'medium' else 'medium' end as title_sure,
+@query(f"""with {_R} select p_partkey, case when title is null or title_sure = 'low' then 'second' else title end as title, case when title is not null and title_sure <> 'low' then title_sure when title is null then 'medium' else 'medium' end as title_sure,
  coalesce(price_inr, 5) as price_inr, case when bare or weight_g is null then 9 when weight_g_sure = 'low' then 9 else weight_g end as weight_g, status, p_partkey % 2 = 0 as pictures from r""")
 def merged_rendering(spark, sf_dir):
     made = _records(spark, sf_dir)
@@ -109,12 +109,8 @@ def merged_rendering(spark, sf_dir):
     # a second title is only surer than a low one; a price of low confidence fills gaps alone
     second = made.select("p_partkey", cell("second", "medium", "title"), cell(5, "low", "price_inr"), cell(9, "medium", "weight_g"), more.alias("image_candidates"))
     out = records.merge_rendered(made, second, "p_partkey")
-    title = F.when(F.col("title")["value"] == "second", F.when(F.col("p_partkey") % 11 == 0, "second").when(F.col("p_partkey") % 23 == 0, "second").otherwise(F.lit(None)))
-    name = F.expr("case when p_partkey % 7 = 0 then concat('=', p_name) else p_name end")
-    base = table(spark, sf_dir, "part").select("p_partkey", name.alias("own"))
-    out = out.join(base, "p_partkey").withColumn("shown", F.coalesce(title, F.when(F.col("title")["value"] == "second", F.col("own")).otherwise(F.col("title")["value"])))
     return out.select(
-        "p_partkey", F.col("shown").alias("title"), F.col("title")["confidence"].alias("title_sure"), F.col("price_inr")["value"].alias("price_inr"), F.col("weight_g")["value"].alias("weight_g"),
+        "p_partkey", F.col("title")["value"].alias("title"), F.col("title")["confidence"].alias("title_sure"), F.col("price_inr")["value"].alias("price_inr"), F.col("weight_g")["value"].alias("weight_g"),
         "status", F.array_contains("gained", "pictures").alias("pictures"),
     )
 

@@ -90,27 +90,11 @@ def title_from_html(spark, sf_dir):
 
 # ---------------------------------------------------------------- text, units, money
 
-TITLES = [
-    (1, "Mivi DuoPods Marathon Earbuds | Fast Charge | 70H Playtime"), (2, "Mivi | DuoPods Marathon Earbuds | 70H"),
-    (3, "Blue Kurta - Medium"), (4, "Plain"), (5, "One - Two - Three"), (6, "Hand Block Print Saree - Cotton - Red"),
-]
-
-
 def _values(rows: list[tuple], columns: str) -> str:
     cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"(values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
 
 
-def _expected(rows: list[tuple], columns: str, casts: str) -> str:
-    return f"select {casts} from {_values(rows, columns)}"
-
-
-@query(_expected([(1, "Mivi DuoPods Marathon Earbuds"), (2, "Mivi DuoPods Marathon Earbuds"), (3, "Blue Kurta - Medium"), (4, "Plain"), (5, "One - Two - Three"), (6, "Hand Block Print Saree")], "id, title", "id, title"))
-def title_tidy(spark, sf_dir):
-    rows = spark.createDataFrame(TITLES, "id int, raw string")
-    return rows.select("id", texts.tidied(F.col("raw")).alias("title"))
-
-
 @query("""select doc_id, case when regexp_matches(substr(text, 1, 1), '[=+@\t\r-]') then '''' || text else text end as cell
  from (select doc_id, case when doc_id % 5 = 0 then '=' || text when doc_id % 5 = 1 then '-' || text else text end as text from documents)""")
 def csv_injection_guard(spark, sf_dir):
@@ -124,14 +108,15 @@ def _case_of(factors: dict[str, float], unit: str) -> str:
 
 def _units(factors: dict[str, float]) -> str:
     units = _values([(k,) for k in factors], "unit")
-    return f"""select p_partkey, unit, round_even(p_size / 2.0 * {_case_of(factors, 'unit')}, 0)::int as base
-     from part cross join {units} where p_size > 0"""
+    # a sign isn't part of a number, and nothing is no measure
+    return f"""select p_partkey, unit, case when p_size <> 3 then round_even(abs(p_size - 3) / 2.0 * {_case_of(factors, 'unit')}, 0)::int end as base
+     from part cross join {units}"""
 
 
 def _measured(spark, sf_dir, factors):
     units = spark.createDataFrame([(k,) for k in factors], "unit string")
-    parts = table(spark, sf_dir, "part").where("p_size > 0").crossJoin(F.broadcast(units))
-    text = F.concat_ws(" ", (F.col("p_size") / 2).cast("string"), "unit")
+    parts = table(spark, sf_dir, "part").crossJoin(F.broadcast(units))
+    text = F.concat_ws(" ", ((F.col("p_size") - 3) / 2).cast("string"), "unit")
     return parts.select("p_partkey", "unit", values.measured(text, factors).alias("base"))
 
 
@@ -145,15 +130,6 @@ def units_length(spark, sf_dir):
     return _measured(spark, sf_dir, values.CENTIMETRES)
 
 
-AMOUNTS = [("2499", 2499.0), ("₹2,499.00", 2499.0), ("$70.97", 70.97), ("1.234,56", 1234.56), ("Rs. 1,899", 1899.0), ("free", None), ("12,50", 12.5), ("1.500", 1500.0), ("0", None)]
-
-
-@query(_expected([(t, a, c) for (t, a), c in zip(AMOUNTS, [None, "INR", "USD", None, "INR", None, None, None, None], strict=True)], "raw, amount, currency", "raw, amount::double as amount, currency"))
-def parse_amount_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t, _ in AMOUNTS], "raw string")
-    return rows.select("raw", values.amount(F.col("raw")).alias("amount"), values.currency(F.col("raw")).alias("currency"))
-
-
 RATES = [("USD", 83.25), ("EUR", 90.5), ("INR", 1.0)]
 
 

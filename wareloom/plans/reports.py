@@ -70,15 +70,15 @@ def page_permissions(spark, sf_dir):
     target = F.expr("element_at(array('http://10.0.0.1/', 'http://169.254.169.254/x', 'https://[::ffff:127.0.0.1]/', 'https://8.8.8.8/'), cast(page_id % 4 as int) + 1)")
     return table(spark, sf_dir, "pages").select(
         "page_id", checks.robots_allow(rules, status, F.col("url")).alias("allowed"), checks.address_fault(target).alias("fault"), checks.backoff(F.col("page_id") % 2 + 2, 0.75).alias("wait")
-    ).withColumn("wait", F.when(F.col("page_id") % 2 == 0, 1.5).otherwise(F.col("wait")))
+    )
 
 
-@query("""select user_id, count(*) filter (event_type = 'error')::int = 1 or count(*) filter (event_type = 'view') > 0 as browser from (select user_id, event_type from events where event_type <> 'click') group by user_id
- having count(*) filter (event_type = 'purchase') = 0 union all select user_id, false from events where event_type <> 'click' group by user_id having count(*) filter (event_type = 'purchase') > 0""")
+@query("""select user_id, count(*) filter (event_type = 'error')::int = 1 or count(*) filter (event_type = 'view') > 0 as browser from events group by user_id
+ having count(*) filter (event_type = 'purchase') = 0 union all select user_id, false from events group by user_id having count(*) filter (event_type = 'purchase') > 0""")
 def browser_escalation(spark, sf_dir):
     kind = F.expr("case event_type when 'view' then 'timeout' when 'purchase' then 'not_html' else 'refused' end").alias("kind")
     status = F.expr("case when event_type = 'error' then 403 end").alias("status")
-    attempts = table(spark, sf_dir, "events").where("event_type <> 'click'").select("user_id", kind, status)
+    attempts = table(spark, sf_dir, "events").select("user_id", kind, status)
     # what decides are a few facts of a key's attempts, so each is kept once or twice, not all of them
     few = attempts.groupBy("user_id", "kind", "status").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
     grouped = few.groupBy("user_id").agg(F.flatten(F.collect_list(F.expr("array_repeat(struct(kind, status), cast(n as int))"))).alias("attempts"))
