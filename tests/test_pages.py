@@ -1,4 +1,6 @@
 import json
+import random
+import time
 import unicodedata
 
 import pytest
@@ -177,3 +179,41 @@ def test_mappings_are_kept_by_header(spark, tmp_path):
     readers.save_mapping(spark, path, ["Name", "Price (INR)"], {"title": "Name"})
     readers.save_mapping(spark, path, ["Name", "Price (INR)"], {"title": "Name", "price": "Price (INR)"})
     assert readers.load_mapping(spark, path, ["price  inr", "NAME"]) == {"title": "Name", "price": "Price (INR)"}
+
+
+def test_pages_of_any_characters_are_read(spark):
+    r = random.Random(3)
+    pieces = ["<table>", "<tr>", "<td>", "</td>", "</table>", "<dl>", "<dt>a:", "<dd>b", "<p>k: v", "</p>", "<li itemprop=name>", "<div itemscope itemtype='x/Product'>", "</div>",
+              '<script type="application/ld+json">', "</script>", '{"@type":"Product","name":"\\ud800","sku":' + "9" * 5000 + "}", "[" * 3000, "&#xD800;", "\x00", " ", "<", "<!--", "]]>", "<select name=size>",
+              "<option>", "<noscript>", "<base href=''>", "<img srcset='a 1w,,b'>", "style='background-image:url('", "<a style=\"background-image : url( 'x.png' )\">", "é", "\U0001f600"]
+    rows = [(k, "".join(r.choices(pieces, k=r.randint(0, 30))), f"https://a.example/{k}") for k in range(300)]
+    rows.append((300, '<script type="application/ld+json">{"@type":"Product","name":"\\ud800x","sku":' + "9" * 5000 + "}</script>", None))
+    got = {x.page_id: x for x in page_evidence.read_pages(spark.createDataFrame(rows, "page_id long, html string, url string")).collect()}
+    assert len(got) == 301 and got[300].product == {"name": "?x", "sku": "9" * 5000}
+
+
+def test_reading_takes_time_in_proportion_to_the_page():
+    def seconds(page):
+        began, read = time.process_time(), page_evidence.Evidence(page, None)
+        out = {name: getattr(read, name)() for name in ("pairs", "sizes", "blocks", "trail", "images", "body")}
+        return time.process_time() - began, out
+
+    for page in ("<table><tr><td>a<td>" * 4000, "<div>" * 4000 + "k: v", "<dl><dt>a<dd>" * 4000, "<b>" * 20000 + "</i>" * 20000, "<select name=size>" * 4000 + "<option>m" * 4000):
+        took, _ = seconds(page)
+        assert took < 2, (page[:40], took)
+    # controls below any number of elements
+    assert seconds("<select name=size>" + "<b>" * 100 + "<option>XL")[1]["sizes"] == [["XL"]]
+
+
+def test_facts_of_nested_markup():
+    facts = lambda html: {f["label"]: f["value"] for f in page_evidence.Evidence(html, None).pairs()}
+    assert facts("<table><tr><th>Weight:<td>2 kg<td>more<tr><td>alone<tr><th>weight<td>other</table>") == {"weight": "2 kg"}
+    assert facts("<table><tr><td>Box<td><table><tr><td>Size<td>4</table></table>") == {"box": "Size 4", "size": "4"}
+    assert facts("<dl><dt>A<dd>1<dd>2<dt>B<dd>3</dl>") == {"a": "1", "b": "2"}
+    assert facts("<p>Net weight (g): 20<br>x: 1<br>no colon<br>Full width： 3") == {"net weight (g)": "20", "full width": "3"}
+    assert facts(f"<p>Colour: {'x' * 300}</p>") == {}
+
+
+def test_only_wanted_columns_are_read(spark):
+    rows = spark.createDataFrame([(1, "<h1>a</h1>", "u")], "page_id long, html string, url string")
+    assert page_evidence.read_pages(rows, columns=["h1", "base"]).first().asDict() == {"page_id": 1, "url": "u", "h1": "a", "base": "u"}

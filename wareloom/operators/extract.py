@@ -26,6 +26,14 @@ COUNT = r"(?i)(\d{1,6})\s*(?:in stock|available|left|pieces?|units?)"
 #: Which rule's picture comes first among equals.
 RULES = ("structured", "og", "twitter", "srcset", "src", "lazy", "background")
 
+#: Columns of a page's evidence that each of this module's functions reads.
+NEEDS = {
+    "title": ("product", "product_source", "meta", "h1", "page_title"), "description": ("product", "product_source", "meta", "blocks"),
+    "weight": ("measures", "product_source", "pairs"), "axes": ("measures", "product_source", "pairs"), "price": ("offers", "meta", "prices"),
+    "sizes": ("variants", "product_source", "sizes"), "availability": ("offers", "stock_text"), "stock": ("offers", "product_source", "pairs", "body"),
+    "trail": ("trail", "product_source"), "candidates": ("base", "images"),
+}
+
 _CELL = "struct<value:{},confidence:string,source:string,note:string>"
 
 

@@ -31,10 +31,10 @@ _BODY = f"""concat('<body>', if(p_partkey % 7 = 0, concat('<h1>', p_name, ' <i>h
  '<img srcset="/s/files/', p_partkey, '_400x400.jpg 400w, /s/files/', p_partkey, '_900x.jpg 900w" src="../img/', replace(p_name, ' ', '-'), '.jpg" data-src="/icons/no.png"><div style="background-image: url(#x)"></div></body></html>')"""
 
 
-def _evidence(spark, sf_dir):
+def _evidence(spark, sf_dir, *cells):
     url = F.expr("concat('https://shop.example/products/', replace(p_name, ' ', '-'), '/', p_partkey)")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.expr(f"concat({_HEAD}, {_JSON}, {_BODY})").alias("html"))
-    return page_evidence.read_pages(part)
+    return page_evidence.read_pages(part, columns=[c for cell in cells for c in extract.NEEDS[cell]])
 
 
 _SQL_CENTS = "cast(round(p_retailprice * 100) as bigint)"
@@ -50,14 +50,14 @@ _SQL_TITLE = "array_to_string(list_transform(string_split(lower(p_name) || ' of
  case when p_partkey % 4 = 0 then 'json-ld' when p_partkey % 3 = 0 then 'og' when p_partkey % 7 = 0 then 'h1' else 'title_tag' end as source from part""")
 def product_title(spark, sf_dir):
     cell = extract.title()
-    return _evidence(spark, sf_dir).select("page_id", cell["value"].alias("title"), cell["confidence"].alias("confidence"), cell["source"].alias("source"))
+    return _evidence(spark, sf_dir, "title").select("page_id", cell["value"].alias("title"), cell["confidence"].alias("confidence"), cell["source"].alias("source"))
 
 
 @query(f"""select p_partkey as page_id, case when p_partkey % 6 = 0 then {_SQL_TOLD} when p_partkey % 5 = 0 then {_SQL_TOLD} || ', always' else {_SQL_TOLD} || chr(10) || 'and more' end as description,
  case when p_partkey % 6 = 0 then 'high' when p_partkey % 5 = 0 then 'medium' else 'low' end as confidence from part""")
 def product_description(spark, sf_dir):
     cell = extract.description()
-    return _evidence(spark, sf_dir).select("page_id", cell["value"].alias("description"), cell["confidence"].alias("confidence"))
+    return _evidence(spark, sf_dir, "description").select("page_id", cell["value"].alias("description"), cell["confidence"].alias("confidence"))
 
 
 @query("""with p as (select p_partkey as page_id, p_size, p_partkey % 3 as t, p_partkey % 4 as f, p_partkey % 8 = 0 as own from part)
@@ -69,14 +69,14 @@ def product_description(spark, sf_dir):
 def product_measures(spark, sf_dir):
     weight = extract.weight()
     sides = [c["value"].alias(n) for c, n in zip(extract.axes(), ("length_cm", "width_cm", "height_cm"), strict=True)]
-    return _evidence(spark, sf_dir).select("page_id", weight["value"].alias("weight_g"), weight["confidence"].alias("confidence"), *sides)
+    return _evidence(spark, sf_dir, "weight", "axes").select("page_id", weight["value"].alias("weight_g"), weight["confidence"].alias("confidence"), *sides)
 
 
 @query(f"""select p_partkey as page_id, {_SQL_PRICE}::double as amount, case when p_partkey % 10 = 0 then 'INR' when p_partkey % 5 = 0 then 'USD'
  when p_partkey % 4 = 0 then 'USD' when p_partkey % 4 = 1 then 'EUR' when p_partkey % 4 = 2 then 'INR' end as currency, p_partkey % 5 <> 0 and p_partkey % 4 = 0 as ambiguous from part""")
 def product_price(spark, sf_dir):
     price = extract.price()
-    return _evidence(spark, sf_dir).select("page_id", *[price[c].alias(c) for c in ("amount", "currency", "ambiguous")])
+    return _evidence(spark, sf_dir, "price").select("page_id", *[price[c].alias(c) for c in ("amount", "currency", "ambiguous")])
 
 
 @query("""with p as (select *, case when p_partkey % 10 = 0 then ['instock', 'soldout', 'preorder'][p_size % 3 + 1] else ['instock', 'soldout', 'preorder', ''][p_size % 4 + 1] end as state from part)
@@ -85,14 +85,14 @@ def product_price(spark, sf_dir):
  case when p_partkey % 10 = 0 then p_size when p_partkey % 9 = 0 then p_size end as stock_qty from p""")
 def product_variants(spark, sf_dir):
     state = extract.availability()
-    return _evidence(spark, sf_dir).select(
+    return _evidence(spark, sf_dir, "sizes", "availability", "stock").select(
         "page_id", extract.sizes()["value"].alias("sizes"), state["value"].alias("availability"), state["note"].alias("note"), extract.stock()["value"].alias("stock_qty")
     )
 
 
 @query("""select p_partkey as page_id, case when p_partkey % 2 = 0 then p_type || ' > ' || p_brand else '' end as trail, case when p_partkey % 2 = 0 then 'json-ld' end as source from part""")
 def product_trail(spark, sf_dir):
-    return _evidence(spark, sf_dir).select("page_id", F.array_join("trail", " > ").alias("trail"), F.col("product_source").alias("source"))
+    return _evidence(spark, sf_dir, "trail").select("page_id", F.array_join("trail", " > ").alias("trail"), F.col("product_source").alias("source"))
 
 
 _SHOP = "'https://shop.example'"
@@ -106,7 +106,7 @@ _LINKS = f"""with l as (
 
 @query(f"{_LINKS} select page_id, rule, url, row_number() over (partition by page_id order by place) as nth from l")
 def photo_candidates(spark, sf_dir):
-    found = extract.candidates(_evidence(spark, sf_dir))
+    found = extract.candidates(_evidence(spark, sf_dir, "candidates"))
     # the n-th picture of a page, by how many of its pictures stand before
     places = found.groupBy("page_id").agg(F.array_sort(F.collect_list("dom_index")).alias("places"))
     nth = F.array_position("places", F.col("dom_index")).cast("long")
@@ -117,7 +117,7 @@ def photo_candidates(spark, sf_dir):
  select page_id, case when photo like '%/s/files/%' then 0 when place = 4 then 1 else 2 + place end as photo_rank, 0 as rank, photo as url, photo like '%/s/files/%' as upsized from (select distinct page_id, photo, min(place) as place from g group by all)
  union all select page_id, 0, 1, url, false from g where place = 3""")
 def photo_order(spark, sf_dir):
-    return extract.ordered(extract.candidates(_evidence(spark, sf_dir)))
+    return extract.ordered(extract.candidates(_evidence(spark, sf_dir, "candidates")))
 
 
 # ---------------------------------------------------------------- text
