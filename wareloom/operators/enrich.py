@@ -1,89 +1,76 @@
-"""Classification, tariff codes and policy screening; the vocabularies become expressions, so nothing is joined."""
+"""Classification, tariff codes and policy screening by the terms of a vocabulary's table."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom.functions import dims
-from wareloom.functions.values import has_keyword, let
-
+from wareloom.functions.values import let
+from wareloom.operators.vocabulary import find_terms
 
-def _forms(text: Column) -> Column:
-    """The words of a text in lower case, and what they are without a plural's end."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
-    return F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", ""))))
+#: What a term of a category weighs by where it stands, and the score of a winner at least.
+WEIGHTS, LEAST_SCORE = {"title": 3, "description": 1, "trail": 5}, 3
+#: Fixed value: words of a title that name a category of its own.
+CUSTOM_WORDS = 6
 
 
-def score(words: list[str], texts: list[tuple[Column, Column, int]]) -> Column:
-    """Sum of the weights of the texts that each of ``words`` stands in; a text is given with its ``_forms`` and its weight.
+def look_up(df: DataFrame, terms: DataFrame, title: Column, description: Column, trail: Column | None = None) -> DataFrame:
+    """``df`` with found: which ``terms`` its texts have (``vocabulary.find_terms``); the others here read it."""
+    fields = {"title": title, "description": description} | ({} if trail is None else {"trail": trail})
+    return find_terms(df, fields, terms)
 
-    A word is found among the forms; a term of several words, or with other signs in it, by a pattern.
-    """
-    single = [w for w in words if re.fullmatch(r"[a-z0-9]+", w)]
-    total = F.lit(0)
-    for text, forms, weight in texts:
-        if single:
-            total = total + weight * F.size(F.array_intersect(forms, F.array(*map(F.lit, single))))
-        for term in words:
-            if term not in single:
-                total = total + F.when(has_keyword(F.coalesce(text, F.lit("")), term), weight).otherwise(0)
-    return total
 
+def _winner(terms: Column) -> Column:
+    """Of found terms the slug with the highest score of LEAST_SCORE or more; null if it isn't the only one."""
+    weight = lambda x: F.coalesce(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv])[x["field"]], F.lit(0))
 
-def _winner(scores: list[tuple[str, Column]]) -> Column:
-    """The slug with the highest score of 3 or more; null if it isn't the only one."""
-    table = F.array(*[F.struct(s.alias("score"), F.lit(slug).alias("slug")) for slug, s in scores])
+    def scores(own: Column) -> Column:
+        total = lambda s: F.aggregate(F.filter(own, lambda x: x["slug"] == s), F.lit(0), lambda sum_, x: sum_ + weight(x))
+        return F.transform(F.array_distinct(F.transform(own, lambda x: x["slug"])), lambda s: F.struct(total(s).alias("score"), s.alias("slug")))
 
     def only(best: Column) -> Column:
-        return F.when((F.size(best) == 1) & (F.get(best, F.lit(0))["score"] >= 3), F.get(best, F.lit(0))["slug"])
+        return F.when((F.size(best) == 1) & (F.get(best, F.lit(0))["score"] >= LEAST_SCORE), F.get(best, F.lit(0))["slug"])
 
     top = lambda t: let(F.array_max(F.transform(t, lambda x: x["score"])), lambda most: F.filter(t, lambda x: x["score"] == most))
-    return let(let(table, top), only)
-
-
-def classify(df: DataFrame, title: str, description: Column, trail: Column) -> DataFrame:
-    """``df`` with category_slug, subcategory_slug and custom_category (six words of the title on the fallback)."""
-    t = F.col(title)
-    parts = {"_t": (t, 3), "_d": (description, 1), "_r": (trail, 5)}
-    out = df.select("*", *[_forms(text).alias(f"{name}_forms") for name, (text, _) in parts.items()], *[text.alias(name) for name, (text, _) in parts.items()])
-    texts = [(F.col(name), F.col(f"{name}_forms"), weight) for name, (_, weight) in parts.items()]
-    out = out.withColumn("_found", _winner([(slug, score(w, texts)) for slug, w in dims.CATEGORIES.items()]))
-    shelf = F.lit(None).cast("string")
-    for slug in dims.CATEGORIES:
-        own = [(k.split("/")[1], score(w, texts)) for k, w in dims.SHELVES.items() if k.startswith(f"{slug}/")]
-        if own:
-            shelf = F.when(F.col("_found") == slug, _winner(own)).otherwise(shelf)
+    return let(let(let(terms, scores), top), only)
+
+
+def classify(looked_up: DataFrame, title: str) -> DataFrame:
+    """``looked_up`` with category_slug, subcategory_slug and custom_category (the title's first words on the fallback).
+    Shelves are looked at within the category that won."""
+    own = F.filter("found", lambda x: x["list"] == "category")
+    out = looked_up.withColumn("_won", _winner(own))
+    shelves = F.filter("found", lambda x: (x["list"] == "shelf") & F.startswith(x["slug"], F.concat(F.col("_won"), F.lit("/"))))
+    out = out.withColumn("_shelf", F.when(F.col("_won").isNotNull(), _winner(shelves)))
     return out.select(
-        *df.columns,
-        F.coalesce("_found", F.lit(dims.FALLBACK_CATEGORY)).alias("category_slug"),
-        shelf.alias("subcategory_slug"),
-        F.when(F.col("_found").isNull(), F.array_join(F.slice(F.split(t, r"\s+"), 1, 6), " ")).alias("custom_category"),
+        *looked_up.columns,
+        F.coalesce("_won", F.lit(dims.FALLBACK_CATEGORY)).alias("category_slug"),
+        F.regexp_replace("_shelf", "^[^/]*/", "").alias("subcategory_slug"),
+        F.when(F.col("_won").isNull(), F.array_join(F.slice(F.split(F.col(title), r"\s+"), 1, CUSTOM_WORDS), " ")).alias("custom_category"),
     )
 
 
-def hs_code(category: Column, shelf: Column, text: Column) -> Column:
-    """Material keyword of the category, else the shelf, else the category, else null."""
-    out = F.when(F.lit(False), F.lit(""))
-    for slug, words in dims.HS_BY_MATERIAL.items():
-        for kw, code in words.items():
-            out = out.when((category == slug) & has_keyword(text, kw, plural=False), code)
-    for key, code in dims.HS_BY_SHELF.items():
-        out = out.when(F.concat_ws("/", category, shelf) == key, code)
-    for slug, code in dims.HS_BY_CATEGORY.items():
-        out = out.when(category == slug, code)
-    return out
-
-
-def policy_hits(title: Column, description: Column) -> Column:
-    """array<struct<category, term, field>>: one hit per term, the title first."""
-    hits = [
-        F.when(has_keyword(F.coalesce(title, F.lit("")), term, False), F.struct(F.lit(c).alias("category"), F.lit(term).alias("term"), F.lit("title").alias("field"))).when(
-            has_keyword(F.coalesce(description, F.lit("")), term, False), F.struct(F.lit(c).alias("category"), F.lit(term).alias("term"), F.lit("description").alias("field"))
-        )
-        for c, words in dims.POLICY.items()
-        for term in words
-    ]
-    return F.array_compact(F.array(*hits))
+def with_hs_code(classified: DataFrame, codes: DataFrame) -> DataFrame:
+    """``classified`` with hs_code: of the first material of its category in the title, else of its shelf, else of its
+    category (``codes``: slug, code), else null."""
+    named = F.filter("found", lambda x: (x["list"] == "material") & (x["field"] == "title") & (x["slug"] == F.col("category_slug")))
+    first = F.array_min(F.transform(named, lambda x: F.struct(x["rank"].alias("rank"), x["code"].alias("code"))))["code"]
+    # each slug has one code; Spark broadcasts the table if it is small enough
+    one = codes.groupBy("slug").agg(F.min("code").alias("code"))
+    of = lambda name: one.select(F.col("slug").alias(f"_{name}"), F.col("code").alias(f"_{name}_code"))
+    out = classified.withColumn("_at", F.concat_ws("/", "category_slug", "subcategory_slug"))
+    out = out.join(of("shelf"), F.col("_at") == F.col("_shelf"), "left").join(of("category"), F.col("category_slug") == F.col("_category"), "left")
+    return out.select(*classified.columns, F.coalesce(first, "_shelf_code", "_category_code").alias("hs_code"))
+
+
+def policy_hits(found: Column) -> Column:
+    """array<struct<category, term, field>>: one hit per term of a policy, the title first."""
+    own = F.filter(found, lambda x: (x["list"] == "policy") & x["field"].isin("title", "description"))
+
+    def first(all_: Column) -> Column:
+        titled = lambda x: F.exists(all_, lambda y: (y["slug"] == x["slug"]) & (y["term"] == x["term"]) & (y["field"] == "title"))
+        kept = F.filter(all_, lambda x: (x["field"] == "title") | ~titled(x))
+        return F.transform(kept, lambda x: F.struct(x["slug"].alias("category"), x["term"].alias("term"), x["field"].alias("field")))
+
+    return let(own, first)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wareloom.functions import dims, texts, urls, values
-from wareloom.operators import enrich, gates, images, ledger, review
+from wareloom.operators import enrich, gates, images, ledger, review, vocabulary
 from wareloom.scratch import fresh_path
 from wareloom.sources import exports, links
 from wareloom.streaming import outcomes
@@ -182,17 +182,21 @@ def _named_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), told.alias("told"), trail.alias("trail"))
 
 
+def _classified(spark, sf_dir):
+    found = enrich.look_up(_named_parts(spark, sf_dir), vocabulary.default_terms(spark), F.col("name"), F.col("told"), F.col("trail"))
+    return enrich.classify(found, "name")
+
+
 @query(f"{_CATEGORY} select p_partkey, category_slug, subcategory_slug, custom_category from g")
 def category_score(spark, sf_dir):
-    return enrich.classify(_named_parts(spark, sf_dir), "name", F.col("told"), F.col("trail")).drop("name", "told", "trail")
+    return _classified(spark, sf_dir).select("p_partkey", "category_slug", "subcategory_slug", "custom_category")
 
 
 @query(f"""{_CATEGORY} select p_partkey, case {' '.join(f"when category_slug = '{c}' and {_match('name', kw, False)} then '{code}'" for c, w in dims.HS_BY_MATERIAL.items() for kw, code in w.items())}
  {' '.join(f"when category_slug || '/' || subcategory_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_SHELF.items())}
  {' '.join(f"when category_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_CATEGORY.items())} end as hs_code from g""")
 def hs_suggest(spark, sf_dir):
-    found = enrich.classify(_named_parts(spark, sf_dir), "name", F.col("told"), F.col("trail"))
-    return found.select("p_partkey", enrich.hs_code(F.col("category_slug"), F.col("subcategory_slug"), F.col("name")).alias("hs_code"))
+    return enrich.with_hs_code(_classified(spark, sf_dir), vocabulary.default_codes(spark)).select("p_partkey", "hs_code")
 
 
 _TERMS = [(c, t) for c, w in dims.POLICY.items() for t in w]
@@ -208,7 +212,8 @@ def _hits(spark, sf_dir):
     more = F.when(k == 0, " antique bone knife").when(k == 1, " Certified coral").when(k == 2, " boned").otherwise("")
     told = F.expr("case when p_partkey % 3 = 0 then 'A vintage piece, GI-tag and knife' end")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), told.alias("told"))
-    return rows.select("p_partkey", F.explode(enrich.policy_hits(F.col("name"), F.col("told"))).alias("hit")).select("p_partkey", "hit.*")
+    found = enrich.look_up(rows, vocabulary.default_terms(spark), F.col("name"), F.col("told"))
+    return found.select("p_partkey", F.explode(enrich.policy_hits(F.col("found"))).alias("hit")).select("p_partkey", "hit.*")
 
 
 @query(f"{_HITS} select p_partkey, category, term, field from h")
