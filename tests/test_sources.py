@@ -1,5 +1,4 @@
 from wareloom.sources import exports, links
-from wareloom.streaming import outcomes
 
 
 def test_links_keep_order_and_repeats(spark):
@@ -19,19 +18,3 @@ def test_export_cells(spark):
     cells = [("1.5 kg", 1500), ("1,200 g", 1200), ("2 pounds", 907), ("7", 7), ("heavy", None), (None, None)]
     frame = spark.createDataFrame([(t,) for t, _ in cells], "t string")
     assert [r[0] for r in frame.select(exports.grams(frame.t)).collect()] == [x for _, x in cells]
-
-
-def test_refusals_outlive_batches(spark, tmp_path):
-    schema = "host string, ts long, refused boolean"
-    batches = [[("a", 1, True), ("a", 2, True), ("b", 1, False), (None, 1, True)], [("a", 3, True), ("b", 2, True)]]
-    got = {}
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        query = (
-            outcomes.refusals_by_host(stream).writeStream.outputMode("update").trigger(availableNow=True)
-            .foreachBatch(lambda b, _: got.update({r.host: (r.current, r.longest) for r in b.collect()}))
-            .option("checkpointLocation", f"{tmp_path}/checkpoint").start()
-        )
-        query.awaitTermination()
-    assert got == {"a": (3, 3), "b": (1, 1)}
