@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wareloom.operators import asof
 from wareloom.plans.registry import query, table
 from wareloom.scratch import fresh_path
 from wareloom.streaming import keyed
@@ -74,3 +75,35 @@ def stream_retries(spark, sf_dir):
     )
     start = lambda stream, base: keyed.write_updates(keyed.let_through(stream), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(keyed.TRIES).parquet(f"{_in_parts(spark, rows, 'ts', start)}/out/batch=*")
+
+
+# ---------------------------------------------------------------- caches valid at a time
+
+_CACHES = {"find": (7, ("view",)), "rung": (30, ("purchase",)), "page": (0.5, ("click", "signup"))}
+
+
+def _looked_up(spark: SparkSession, sf_dir: str, days: float, kinds: tuple[str, ...]) -> DataFrame:
+    """Errors, each with what a cache of ``kinds`` of events, valid for ``days``, had for its user at the time."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    entries = events.where(F.col("event_type").isin(*kinds)).select("host", "ts", F.col("event_id").alias("entry_id"), "value")
+    return asof.asof(events.where("event_type = 'error'").select("event_id", "host", "ts"), entries, ["host"], "ts", days * 86_400, order=["entry_id"])
+
+
+@query(" union all ".join(f"""select '{name}' as cache, r.event_id, e.event_id as entry_id, e.value from (select * from events where event_type = 'error') r
+ asof left join (select * from events where event_type in ({', '.join(f"'{k}'" for k in kinds)})) e on r.user_id = e.user_id and r.ts >= e.ts where e.event_id is null or r.ts - e.ts <= interval {round(days * 24)} hours
+ union all select '{name}', r.event_id, null, null from (select * from events where event_type = 'error') r
+ asof join (select * from events where event_type in ({', '.join(f"'{k}'" for k in kinds)})) e on r.user_id = e.user_id and r.ts >= e.ts where r.ts - e.ts > interval {round(days * 24)} hours""" for name, (days, kinds) in _CACHES.items()))
+def cache_lookups(spark, sf_dir):
+    found = [_looked_up(spark, sf_dir, days, kinds).select(F.lit(name).alias("cache"), "event_id", "entry.entry_id", "entry.value") for name, (days, kinds) in _CACHES.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""with e as (select c_custkey as k, c_nationkey % 5 as sha, c_acctbal as price, c_custkey % 4 as seq, timestamp '2024-01-01' + interval (c_custkey % 30) hours as at from customer),
+ r as (select s_suppkey as id, s_nationkey % 5 as sha, timestamp '2024-01-01' + interval (s_suppkey % 50) hours as at from supplier),
+ m as (select r.id, arg_max(e.k, (e.at, e.seq, e.k)) as entry from r join e on e.sha = r.sha and e.at <= r.at and r.at - e.at <= interval 12 hours group by r.id)
+ select r.id, m.entry from r left join m on m.id = r.id""")
+def cache_ties(spark, sf_dir):
+    at = lambda k: F.expr(f"timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast({k} as int))")
+    entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 5).alias("sha"), F.expr("c_custkey % 4 as seq"), at("c_custkey % 30").alias("at"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("sha"), at("s_suppkey % 50").alias("at"))
+    return asof.asof(rows, entries, ["sha"], "at", 12 * 3600, order=["seq", "k"]).select("id", F.col("entry.k").alias("entry"))
