@@ -194,6 +194,24 @@ def delimited_upload(spark, sf_dir):
     return readers.read_delimited(spark, path).select("key", "link", F.get("more_links", F.lit(0)).alias("second"), "name")
 
 
+@query("""select o_orderkey, o_orderkey || chr(10) || 'say "' || o_orderpriority || '", ' || chr(10) as note, o_orderstatus || '"' as mark from orders""")
+def quoted_export(spark, sf_dir):
+    path = fresh_path(spark, "export")
+    note = F.expr("concat(o_orderkey, '\n', 'say \"', o_orderpriority, '\", ', '\n')")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), F.expr("concat(o_orderstatus, '\"')").alias("mark"))
+    orders.write.csv(path, header=True, escape='"', ignoreTrailingWhiteSpace=False)
+    # small splits, so that records lie across them at every size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    size = max(10_000, sum(f["length"] for f in spark.read.format("binaryFile").load(path).select("length").collect()) // 24)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        rows = readers.read_export(spark, path).select(F.col("o_orderkey").cast("long"), "note", "mark")
+        rows.write.parquet(f"{path}-rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return spark.read.schema(rows.schema).parquet(f"{path}-rows")
+
+
 @query("""with d as (select o_orderkey as k from orders where o_totalprice < (select max(o_totalprice) from orders)), g as (select min(a.k + 1) as stop from d a where a.k + 1 not in (select k from d))
  select k as input_index from d, g where k < stop and (select min(k) from d) = 0""")
 def stream_prefix(spark, sf_dir):

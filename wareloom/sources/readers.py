@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareloom.sources.exports import plain
+from wareloom.sources.quoted import read_quoted
 
 #: What may part cells, the first of equals; lines that are looked at for it, rows that are looked at for links.
 DELIMITERS, SNIFFED_LINES, SNIFFED_ROWS = (",", "\t", ";", "|"), 20, 200
@@ -33,6 +34,14 @@ def delimiter_of(lines: list[str]) -> str:
     return max(DELIMITERS, key=lambda d: (counts[d], -DELIMITERS.index(d)))
 
 
+def _rows(spark: SparkSession, path: str, sep: str, header: bool) -> DataFrame:
+    """The text columns of delimited files, in as many tasks as their bytes make; the header comes from Spark's reader.
+    Files whose lines end in a lone carriage return are read by that one, a task a file."""
+    whole = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=True, escape='"')
+    lone = any("\r" in r[0][:-1] for r in spark.read.option("lineSep", "\n").text(path).limit(1).collect())
+    return whole if lone or not whole.columns else read_quoted(spark, path, whole.columns, sep, header)
+
+
 def read_delimited(spark: SparkSession, path: str, url_column: str | None = None) -> DataFrame:
     """A delimited file's columns as text, and link and more_links (array): each row's first link and the others in it.
 
@@ -44,7 +53,7 @@ def read_delimited(spark: SparkSession, path: str, url_column: str | None = None
     sep = delimiter_of(head)
     cells = [c.strip().strip('"') for c in head[0].split(sep)] if head else []
     named = bool(cells) and not any(re.match(LINK, c) for c in cells)
-    rows = spark.read.csv(path, sep=sep, header=named, inferSchema=False, multiLine=True, escape='"')
+    rows = _rows(spark, path, sep, named)
     rows = rows if named else rows.toDF(*[f"column_{k + 1}" for k in range(len(rows.columns))])
     texts = [F.col(f"`{c}`") for c in rows.columns]
     if url_column is None and texts:
@@ -58,7 +67,7 @@ def read_delimited(spark: SparkSession, path: str, url_column: str | None = None
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """A seller's export (CSV or TSV with a header, in UTF-8 with or without a mark) as text columns; blank rows are dropped."""
     sep = delimiter_of([r[0] for r in spark.read.text(path).limit(1).collect()])
-    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"')
+    rows = _rows(spark, path, sep, True)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     return rows.where(" or ".join(f"trim(`{c}`) <> ''" for c in rows.columns)) if rows.columns else rows
 
