@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wareloom.functions import texts, values
 from wareloom.operators import extract
 from wareloom.plans.registry import query, table
-from wareloom.sources import page_evidence
+from wareloom.sources import links, page_evidence
 
 _CENTS = "cast(round(p_retailprice * 100) as bigint)"
 _PRICE = f"concat(cast({_CENTS} div 100 as string), '.', lpad(cast({_CENTS} % 100 as string), 2, '0'))"
@@ -161,3 +161,22 @@ def page_links(spark, sf_dir):
         "page_id", "url", link(a, "../", key, ".jpg").alias("relative"), link(a, "/x/../", key).alias("rooted"), link(F.col("url"), "//c.example/", key).alias("bare"),
         link(F.col("url"), "data:image/png;base64,", key).alias("none"), F.array_join(F.array_sort(texts.slug_tokens(F.col("url"))), " ").alias("words"), values.human_bytes(F.col("page_id")).alias("size"),
     )
+
+
+# ---------------------------------------------------------------- pastes
+
+#: A paste per page: markup, two links that touch, a bare domain, a file's name, prose, and a line that has no link.
+_PASTE = """concat('see [shop.example/x](', url, '), thanks.\n', url, ',https://b.example/(', page_id, ').\t<a href="https://c.example/', page_id, '">here</a>; readme.md\n',
+ 'www.d', page_id, '.example/p?a=1,2 and half/way | plain words\n', if(page_id % 2 = 0, 'just, words;;--', 'htps:/typo.example\u200b'), '\n(e.example), Ｆ.example')"""
+
+
+@query("""with u as (select page_id, url, page_id::varchar as k from pages)
+ select page_id, 1 as line_no, 0 as pos, 'link' as kind, url as text from u union all select page_id, 1, 0, 'unparsed', 'thanks.' from u union all select page_id, 2, 0, 'link', url from u
+ union all select page_id, 2, 1, 'link', 'https://b.example/(' || k || ')' from u union all select page_id, 2, 2, 'link', 'https://c.example/' || k from u
+ union all select page_id, 2, 0, 'unparsed', 'readme.md' from u union all select page_id, 3, 0, 'domain', 'https://www.d' || k || '.example/p?a=1,2' from u
+ union all select page_id, 3, 0, 'unparsed', 'and half/way' from u union all select page_id, 4, n, 'unparsed', w from u, (values (0, 'just'), (1, 'words')) v(n, w) where page_id % 2 = 0
+ union all select page_id, 4, 0, 'unparsed', 'htps:/typo.example' from u where page_id % 2 = 1
+ union all select page_id, 5, 0, 'domain', 'https://e.example' from u union all select page_id, 5, 1, 'domain', 'https://F.example' from u""")
+def pasted_links(spark, sf_dir):
+    pastes = table(spark, sf_dir, "pages").select("page_id", F.expr(_PASTE).alias("paste"))
+    return links.scan_texts(pastes, "page_id", "paste")
