@@ -74,3 +74,31 @@ def policy_hits(found: Column) -> Column:
         return F.transform(kept, lambda x: F.struct(x["slug"].alias("category"), x["term"].alias("term"), x["field"].alias("field")))
 
     return let(own, first)
+
+
+def with_stated(derived: DataFrame, category: Column, code: Column | None = None) -> DataFrame:
+    """``derived`` (category_slug, subcategory_slug, custom_category, hs_code and more) with what a seller stated on top,
+    and said: array of notes.
+
+    A stated value stands above a derived one, if the taxonomy knows it; a derived value that hangs on another, a shelf on
+    its category, stands only where both agree on the one it hangs on. So a stated category keeps the derived shelf only
+    if the derived category is the same, and has no category of its own; an unknown one gives way, and the note says
+    what was stated. A stated code always stands. Empty text states nothing.
+    """
+    stated = F.nullif(F.trim(category), F.lit(""))
+    known = F.coalesce(stated.isin(*dims.CATEGORIES), F.lit(False))
+    agree = known & (F.col("category_slug") == stated)
+    own_code = F.nullif(F.trim(code), F.lit("")) if code is not None else F.lit(None).cast("string")
+    said = F.array_compact(F.array(
+        F.when(known & ~agree & F.col("category_slug").isNotNull(), F.concat(F.lit("kept the stated category "), stated, F.lit(", derived "), F.col("category_slug"))),
+        F.when(stated.isNotNull() & ~known, F.concat(F.lit("stated category "), stated, F.lit(" is unknown, filed under "), F.coalesce("category_slug", F.lit("nothing")))),
+    ))
+    made = {
+        "category_slug": F.when(known, stated).otherwise(F.col("category_slug")),
+        "subcategory_slug": F.when(~known | agree, F.col("subcategory_slug")),
+        "custom_category": F.when(~known, F.col("custom_category")),
+        "hs_code": F.coalesce(own_code, "hs_code"),
+        "said": said,
+    }
+    kept = [c for c in derived.columns if c not in made]
+    return derived.select(*kept, *[v.alias(n) for n, v in made.items()])

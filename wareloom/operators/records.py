@@ -238,6 +238,30 @@ def retract_gaps(notes: Column, gap_notes: Column, filled: Column) -> tuple[Colu
     return F.filter(notes, lambda n: ~F.array_contains(done, n)), left
 
 
+def rendered_again(static: DataFrame, rendered: DataFrame, missing: Column, key: str = "row_key") -> DataFrame:
+    """``static`` after a second reading of its pages, for which it was told what was ``missing``, and gained.
+
+    ``static`` has, besides its record, notes_before (how many notes stood before its first reading), status_before, and
+    gap_notes (map of cell to note). Where the second reading is there, what the first said of the page it read is taken
+    back (its notes and its status), the readings are merged (``merge_rendered``), gaps that are filled now are no longer
+    told, and a note says what came of it. Where it isn't, all stands as it was, and a note says that it was tried.
+    """
+    found = rendered.select(F.col(key).alias("_again_key")).distinct()
+    base = complete(static.withColumn("_missing", missing)).join(found, F.col(key) == F.col("_again_key"), "left").withColumn("_again", F.col("_again_key").isNotNull()).drop("_again_key")
+    back = base.withColumns({
+        "notes": F.when(F.col("_again"), F.slice("notes", F.lit(1), F.col("notes_before"))).otherwise(F.col("notes")),
+        "status": F.when(F.col("_again"), F.col("status_before")).otherwise(F.col("status")),
+    })
+    merged = merge_rendered(back, rendered, key)
+    filled = F.array_compact(F.array(*[F.when(present(c), c) for c in CELLS]))
+    notes, gaps = retract_gaps(F.col("notes"), F.col("gap_notes"), filled)
+    merged = merged.withColumns({"_notes": F.when(F.col("_again"), notes).otherwise(F.col("notes")), "_gaps": F.when(F.col("_again"), gaps).otherwise(F.col("gap_notes"))})
+    told = F.when(F.size("gained") > 0, F.concat(F.lit("recovered "), F.array_join("gained", ", "))).otherwise("found nothing more")
+    told = F.when(F.col("_again"), told).otherwise("failed, the first reading stands")
+    note = F.concat(F.lit("no "), F.col("_missing"), F.lit("; rendering "), told)
+    return merged.withColumns({"notes": F.array_append("_notes", note), "gap_notes": F.col("_gaps")}).drop("_missing", "_again", "_notes", "_gaps")
+
+
 def seller_note(operator_note: Column, price: Column, code: Column) -> Column:
     """What a buyer's question would need: the operator's words, the page, weight, size, options and the price seen there."""
     sides = [F.col(c)["value"] for c in ("length_cm", "width_cm", "height_cm")]

@@ -173,7 +173,7 @@ _PASTE = """concat('see [shop.example/x](', url, '), thanks.\n', url, ',https://
 @query("""with u as (select page_id, url, page_id::varchar as k from pages)
  select page_id, 1 as line_no, 0 as pos, 'link' as kind, url as text from u union all select page_id, 1, 0, 'unparsed', 'thanks.' from u union all select page_id, 2, 0, 'link', url from u
  union all select page_id, 2, 1, 'link', 'https://b.example/(' || k || ')' from u union all select page_id, 2, 2, 'link', 'https://c.example/' || k from u
- union all select page_id, 2, 0, 'unparsed', 'readme.md' from u union all select page_id, 3, 0, 'domain', 'https://www.d' || k || '.example/p?a=1,2' from u
+ union all select page_id, 2, 0, 'unparsed', '<a' || repeat(' ', 3 + length('https://c.example/' || k)) || '>here</a>' from u union all select page_id, 2, 1, 'unparsed', 'readme.md' from u union all select page_id, 3, 0, 'domain', 'https://www.d' || k || '.example/p?a=1,2' from u
  union all select page_id, 3, 0, 'unparsed', 'and half/way' from u union all select page_id, 4, n, 'unparsed', w from u, (values (0, 'just'), (1, 'words')) v(n, w) where page_id % 2 = 0
  union all select page_id, 4, 0, 'unparsed', 'htps:/typo.example' from u where page_id % 2 = 1
  union all select page_id, 5, 0, 'domain', 'https://e.example' from u union all select page_id, 5, 1, 'domain', 'https://F.example' from u""")

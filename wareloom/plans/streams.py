@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wareloom.operators import asof
+from wareloom.functions import dims
+from wareloom.operators import asof, edits, records
 from wareloom.plans.registry import query, table
 from wareloom.scratch import fresh_path
 from wareloom.streaming import keyed
@@ -107,3 +108,49 @@ def cache_ties(spark, sf_dir):
     entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 5).alias("sha"), F.expr("c_custkey % 4 as seq"), at("c_custkey % 30").alias("at"))
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("sha"), at("s_suppkey % 50").alias("at"))
     return asof.asof(rows, entries, ["sha"], "at", 12 * 3600, order=["seq", "k"]).select("id", F.col("entry.k").alias("entry"))
+
+
+# ---------------------------------------------------------------- edits
+
+_LOG = """l as (select event_id, ts, user_id::varchar as row_key, ['title', 'sizes', 'price_inr'][(event_id % 3 + 1)::int] as field, event_type || event_id as value,
+ case when event_type = 'error' then 'undo' when event_type = 'signup' and event_id % 5 = 0 then 'clear' when event_type = 'click' and event_id % 2 = 0 then 'undo' else 'set' end as kind from events)"""
+
+
+def _log(spark, sf_dir):
+    kind = "case when event_type = 'error' then 'undo' when event_type = 'signup' and event_id % 5 = 0 then 'clear' when event_type = 'click' and event_id % 2 = 0 then 'undo' else 'set' end"
+    field = F.expr("element_at(array('title', 'sizes', 'price_inr'), cast(event_id % 3 as int) + 1)")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("row_key"), F.expr(kind).alias("kind"), field.alias("field"), F.concat("event_type", "event_id").alias("value")
+    )
+
+
+@query(" union all ".join(f"""select '{name}' as at, row_key, field, top.value as value, top.event_id as event_id from (select row_key, field,
+ list_reduce(list({{'kind': kind, 'value': value, 'event_id': event_id}} order by ts, event_id),
+  lambda stack, e: case when e.kind = 'set' then list_append(stack, e) when e.kind = 'clear' then stack[1:0] else stack[1:len(stack) - 1] end, list_filter(list({{'kind': kind, 'value': value, 'event_id': event_id}}), lambda x: false))[-1] as top
+ from (with {_LOG} select * from l) where {where} group by 1, 2) where top is not null""" for name, where in (("end", "true"), ("january", "ts <= timestamp '2024-01-15'"))))
+def edits_standing(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    found = {"end": edits.standing(log), "january": edits.standing(log, F.lit("2024-01-15").cast("timestamp"))}
+    out = [f.select(F.lit(name).alias("at"), "row_key", "field", "value", "event_id") for name, f in found.items()]
+    return out[0].unionByName(out[1])
+
+
+_ASKS = "select o_orderkey % 40 as request_id, (o_custkey + case when o_orderkey % 10 = 0 then 100000000 else 0 end)::varchar as row_key, {field} as field, {value} as value from orders"
+_FIELD = {"sql": "['category_slug', 'subcategory_slug', 'hs_code'][(o_orderkey % 3 + 1)::int]", "spark": "element_at(array('category_slug', 'subcategory_slug', 'hs_code'), cast(o_orderkey % 3 as int) + 1)"}
+_VALUE = "case o_orderkey % 9 when 0 then 'apparel' when 3 then 'jewellery' when 6 then 'nope' when 1 then 'rings' when 4 then 'kids' when 7 then '' when 2 then '6206' when 5 then ' 7113 ' else 'x' end"
+_OWN = "case c_nationkey % 3 when 0 then 'apparel' when 1 then 'jewellery' end"
+
+
+@query(f"""with a as (select request_id, row_key, field, max(value) as value from ({_ASKS.format(field=_FIELD['sql'], value=_VALUE)}) group by 1, 2, 3),
+ r as (select c_custkey::varchar as row_key, {_OWN} as own from customer),
+ c as (select request_id, row_key, value as chosen from a where field = 'category_slug'),
+ f as (select a.*, coalesce(c.chosen, r.own) as category, case when r.row_key is null then 'no_such_row' when trim(a.value) = '' then null
+   when field = 'category_slug' and value not in ({', '.join(f"'{c}'" for c in dims.CATEGORIES)}) then 'unknown_category'
+   when field = 'subcategory_slug' and coalesce(coalesce(c.chosen, r.own), '') || '/' || value not in ({', '.join(f"'{s}'" for s in dims.SHELVES)}) then 'unknown_subcategory'
+   when field = 'hs_code' and not regexp_matches(trim(value), '^[0-9]{{4,10}}$') then 'bad_hs_code' end as own_fault
+  from a left join r on r.row_key = a.row_key left join c on c.request_id = a.request_id and c.row_key = a.row_key)
+ select request_id, row_key, field, value, first_value(own_fault ignore nulls) over (partition by request_id, row_key order by list_position({list(records.CELLS)}, field) rows between unbounded preceding and unbounded following) as fault from f""")
+def bulk_edits(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_OWN).alias("category_slug"))
+    asks = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 40 as request_id", "cast(o_custkey + if(o_orderkey % 10 = 0, 100000000, 0) as string) as row_key", f"{_FIELD['spark']} as field", f"{_VALUE} as value")
+    return edits.judged(own, spark.createDataFrame([], edits.EVENTS), asks, "c_custkey")
