@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareloom.functions import texts, urls, values
-from wareloom.operators import records
+from wareloom.operators import enrich, findings, records
+from wareloom.plans import registry
 from wareloom.plans.registry import query, table
 from wareloom.sources import exports
 
@@ -235,3 +236,65 @@ def policy_defaults(spark, sf_dir):
     ))
     filled = made.select("p_partkey", "name", "bare", *[c for c in records.defaults(rfq=~F.col("bare"), least=F.lit(5), bulk=F.lit(False))])
     return filled.select("p_partkey", F.col("name").isNull().alias("unnamed"), F.coalesce(F.col("rfq_enabled")["value"], F.lit("")).alias("rfq"), F.col("rfq_min_qty")["value"].alias("least"))
+
+
+# ---------------------------------------------------------------- stated values, second readings, checks as data
+
+_STATED = "case p_partkey % 4 when 0 then 'jewellery' when 1 then ' apparel' when 2 then 'Shoes' else '' end"
+
+
+@query(f"""{registry.CATEGORY}, h as (select g.*, trim({_STATED}) as stated, case when p_partkey % 5 = 0 then '7113' end as code from g)
+ select p_partkey, case when stated in ('jewellery', 'apparel') then stated else category_slug end as category_slug,
+ case when stated not in ('jewellery', 'apparel') or stated = category_slug then subcategory_slug end as subcategory_slug, case when stated not in ('jewellery', 'apparel') then custom_category end as custom_category, code as hs_code,
+ case when stated in ('jewellery', 'apparel') and stated <> category_slug then 'kept the stated category ' || stated || ', derived ' || category_slug
+  when stated = 'Shoes' then 'stated category Shoes is unknown, filed under ' || category_slug else '' end as said from h""")
+def stated_categories(spark, sf_dir):
+    derived = registry.classified(spark, sf_dir).withColumn("hs_code", F.lit(None).cast("string"))
+    out = enrich.with_stated(derived, F.expr(_STATED), F.expr("case when p_partkey % 5 = 0 then '7113' end"))
+    return out.select("p_partkey", "category_slug", "subcategory_slug", "custom_category", "hs_code", F.array_join("said", "; ").alias("said"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 < 2 then 'ok' else 'needs_review' end as status, case when p_partkey % 3 = 0 then p_size end as weight_g,
+ case p_partkey % 3 when 0 then 'told | no sizes | no weight; rendering recovered weight_g' when 1 then 'told | no weight | no weight; rendering found nothing more'
+  else 'told | no weight | no sizes | no weight; rendering failed, the first reading stands' end as notes,
+ case p_partkey % 3 when 0 then 'sizes' else 'sizes,weight_g' end as gaps from part""")
+def second_readings(spark, sf_dir):
+    cell = lambda v, sure, n: F.struct(v.alias("value"), F.lit(sure).alias("confidence"), F.lit("y").alias("source"), F.lit(None).alias("note")).cast(records.CELL.format(records.kind_of(n))).alias(n)
+    part = table(spark, sf_dir, "part")
+    first = part.select(
+        "p_partkey", F.lit("needs_review").alias("status"), cell(F.col("p_name"), "high", "title"), F.array(*map(F.lit, ("told", "no weight", "no sizes"))).alias("notes"), F.lit(1).alias("notes_before"),
+        F.lit("ok").alias("status_before"), F.create_map(F.lit("weight_g"), F.lit("no weight"), F.lit("sizes"), F.lit("no sizes")).alias("gap_notes"),
+    )
+    weight = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size"))
+    notes = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("no sizes"))).otherwise(F.array(F.lit("no weight")))
+    again = part.where("p_partkey % 3 < 2").select("p_partkey", F.lit("ok").alias("status"), cell(weight, "high", "weight_g"), notes.alias("notes"))
+    out = records.rendered_again(first, again, F.lit("weight"), "p_partkey")
+    gaps = F.array_join(F.array_sort(F.map_keys("gap_notes")), ",")
+    return out.select("p_partkey", "status", F.col("weight_g.value").alias("weight_g"), F.array_join("notes", " | ").alias("notes"), gaps.alias("gaps"))
+
+
+#: (table, level, title, fault, most, needed, fix); the faults are read by both engines.
+_RULES = (
+    ("part", "fail", "parts have prices", "p_retailprice is null or p_retailprice <= 0", 0, 1, "set a price"),
+    ("part", "warn", "sizes are small", "p_size > 45", 10, 0, "check the sizes"),
+    ("part", "warn", "names are told apart", "p_name = p_type", 0, 10_000_000, "load more parts"),
+    ("customer", "warn", "no debts", "c_acctbal < 0", 5, 0, "ask for payment"),
+    ("customer", "fail", "segments are named", "c_mktsegment is null", 0, 1, "name the segment"),
+    ("stock", "fail", "stock is there", "true", 0, 1, "load the stock"),
+)
+
+
+def _finding_sql(rule: tuple) -> str:
+    name, level, title, fault, most, needed, fix = rule
+    if name not in ("part", "customer"):
+        return f"select 'fail' as level, '{title}' as title, 'no table {name}' as detail, '{fix}' as fix"
+    key = {"part": "p_partkey", "customer": "c_custkey"}[name]
+    return f"""select case when n < {needed} or bad > {most} then '{level}' else 'ok' end, '{title}', case when n < {needed} then n || ' rows, {needed} needed'
+ else bad || ' of ' || n || ' rows' || coalesce(', first ' || first, '') end, case when n < {needed} or bad > {most} then '{fix}' end
+ from (select count(*) as n, count(*) filter ({fault}) as bad, min({key}::varchar) filter ({fault}) as first from {name})"""
+
+
+@query(" union all ".join(map(_finding_sql, sorted(_RULES, key=lambda r: r[0] != "stock"))))
+def data_findings(spark, sf_dir):
+    tables = {n: table(spark, sf_dir, n) for n in ("part", "customer")}
+    return findings.evaluate(tables, spark.createDataFrame(_RULES, findings.CONSTRAINTS), {"part": "p_partkey", "customer": "c_custkey"})

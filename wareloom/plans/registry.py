@@ -166,7 +166,7 @@ def _score_sql(words: str) -> str:
 _NAMED = """(select p_partkey, p_name || case p_partkey % 4 when 0 then ' silver necklace' when 1 then ' handloom saree' when 2 then ' bag' else '' end as name,
  case when p_partkey % 3 = 0 then 'Kurtas, a shawl and necklaces' when p_partkey % 7 = 1 then 'for men in gold' else '' end as told,
  case when p_partkey % 5 = 0 then 'Home > Sarees' when p_partkey % 11 = 2 then 'Bags, Jewellery sets' else '' end as trail from part)"""
-_CATEGORY = f"""with s as (select p_partkey, name, {', '.join(f'{_score_sql(w)} as "c{k}"' for k, w in enumerate(dims.CATEGORIES.values()))},
+CATEGORY = f"""with s as (select p_partkey, name, {', '.join(f'{_score_sql(w)} as "c{k}"' for k, w in enumerate(dims.CATEGORIES.values()))},
  {', '.join(f'{_score_sql(w)} as "s{k}"' for k, w in enumerate(dims.SHELVES.values()))} from {_NAMED}),
  f as (select *, {_winner_sql([(c, f'"c{k}"') for k, c in enumerate(dims.CATEGORIES)])} as found from s),
  g as (select p_partkey, name, coalesce(found, 'more-crafts') as category_slug, case found
@@ -182,21 +182,21 @@ def _named_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", more).alias("name"), told.alias("told"), trail.alias("trail"))
 
 
-def _classified(spark, sf_dir):
+def classified(spark, sf_dir):
     found = enrich.look_up(_named_parts(spark, sf_dir), vocabulary.default_terms(spark), F.col("name"), F.col("told"), F.col("trail"))
     return enrich.classify(found, "name")
 
 
-@query(f"{_CATEGORY} select p_partkey, category_slug, subcategory_slug, custom_category from g")
+@query(f"{CATEGORY} select p_partkey, category_slug, subcategory_slug, custom_category from g")
 def category_score(spark, sf_dir):
-    return _classified(spark, sf_dir).select("p_partkey", "category_slug", "subcategory_slug", "custom_category")
+    return classified(spark, sf_dir).select("p_partkey", "category_slug", "subcategory_slug", "custom_category")
 
 
-@query(f"""{_CATEGORY} select p_partkey, case {' '.join(f"when category_slug = '{c}' and {_match('name', kw, False)} then '{code}'" for c, w in dims.HS_BY_MATERIAL.items() for kw, code in w.items())}
+@query(f"""{CATEGORY} select p_partkey, case {' '.join(f"when category_slug = '{c}' and {_match('name', kw, False)} then '{code}'" for c, w in dims.HS_BY_MATERIAL.items() for kw, code in w.items())}
  {' '.join(f"when category_slug || '/' || subcategory_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_SHELF.items())}
  {' '.join(f"when category_slug = '{k}' then '{v}'" for k, v in dims.HS_BY_CATEGORY.items())} end as hs_code from g""")
 def hs_suggest(spark, sf_dir):
-    return enrich.with_hs_code(_classified(spark, sf_dir), vocabulary.default_codes(spark)).select("p_partkey", "hs_code")
+    return enrich.with_hs_code(classified(spark, sf_dir), vocabulary.default_codes(spark)).select("p_partkey", "hs_code")
 
 
 _TERMS = [(c, t) for c, w in dims.POLICY.items() for t in w]
