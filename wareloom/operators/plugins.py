@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom.functions import texts, values
 from wareloom.operators.records import CELLS, LOCKED, kind_of
+from wareloom.sources.scripts import gallery_of
 
 _CELL = "struct<value:{},confidence:string,source:string,note:string>"
 
@@ -48,7 +50,7 @@ def apply(records: DataFrame, plugins: list[Plugin], url: str = "url", html: str
     more = F.array().cast("array<string>")
     for p in plugins:
         if p.pictures is not None:
-            more = F.when(F.col("plugin") == p.name, F.coalesce(p.pictures(F.col(html)), F.array().cast("array<string>"))).otherwise(more)
+            more = F.when(F.col("plugin") == p.name, F.coalesce(p.pictures(F.when(F.col("plugin") == p.name, F.col(html))), F.array().cast("array<string>"))).otherwise(more)
     return out.withColumns({**cells, "image_candidates": F.array_union(more, "image_candidates")})
 
 
@@ -72,12 +74,21 @@ SHOP_SYSTEM = Plugin(
 )
 
 
+#: Parts of links of a marketplace's own pictures, in lower case.
+FURNITURE = ("/captcha/", "transparent-pixel", "grey-pixel", "/sprites/", "sprite-", "-sprite", "/g/01/", "player-thumb", "play-icon")
+
+
+def ranked_gallery(pictures: Column) -> Column:
+    """Links of a gallery's pictures (``scripts.gallery_of``) that show products: of each its original, then itself, each
+    link once, in the pictures' order."""
+    media = lambda u: u.rlike(texts.MEDIA_HOSTS) & ~reduce(lambda a, b: a | b, [F.contains(F.lower(u), F.lit(w)) for w in FURNITURE])
+    links = F.transform(pictures, lambda p: F.regexp_replace(p["url"], "^//", "https://"))
+    both = F.transform(F.filter(links, media), lambda u: F.array(texts.without_size_modifier(u), u))
+    return F.array_distinct(F.flatten(both))
+
+
 def _gallery(html: Column) -> Column:
-    """Links of a marketplace page's gallery: large pictures of its colour data, then those of the main picture's sizes."""
-    data = F.regexp_extract_all(html, F.lit(r'"(?:hiRes|large)"\s*:\s*"(https?://[^"]+)"'), 1)
-    sizes = F.regexp_extract(html, r"data-a-dynamic-image=[\"'](\{.*?\})[\"']", 1)
-    dynamic = F.regexp_extract_all(F.replace(sizes, F.lit("&quot;"), F.lit('"')), F.lit(r'"(https?://[^"]+)"\s*:\s*\['), 1)
-    return F.array_distinct(F.transform(F.concat(data, dynamic), texts.without_size_modifier))
+    return ranked_gallery(gallery_of(html))
 
 
 def _buy_box_price(html: Column) -> Column:
@@ -86,7 +97,7 @@ def _buy_box_price(html: Column) -> Column:
 
 def _marketplace_stock(html: Column) -> Column:
     said = F.lower(F.regexp_extract(html, r'(?s)id="availability".*?<span[^>]*>\s*([^<]+?)\s*<', 1))
-    return F.when(F.contains(said, F.lit("in stock")), "in_stock")
+    return F.when(F.contains(said, F.lit("in stock")) | F.contains(said, F.lit("usually dispatched")), "in_stock")
 
 
 MARKETPLACE = Plugin(

@@ -8,7 +8,7 @@ from wareloom.functions import texts, urls
 from wareloom.operators import checks, plugins, records, reports
 from wareloom.plans.registry import _OUTCOME, _outcomes, query, table
 from wareloom.scratch import fresh_path
-from wareloom.sources import readers
+from wareloom.sources import readers, scripts
 from wareloom.streaming import outcomes as streams
 
 # ---------------------------------------------------------------- checks
@@ -167,15 +167,30 @@ def _shop_pages(spark, sf_dir):
     cents = "cast(round(p_retailprice * 100) as bigint)"
     html = F.expr(
         f"case p_partkey % 3 when 0 then concat('<script src=\"/cdn/shop/x.js\"></script><script>var meta = {{\"product\":{{\"variants\":[{{\"price\":', {cents} + 500, ',\"public_title\":\"m\"}},{{\"price\":', {cents}, ',\"public_title\":\"L\"}}]}}}};</script>')"
-        " when 1 then concat('<span id=\"productTitle\"> ', p_name, '  x </span><div id=\"availability\"><span> In stock. </span></div><div id=\"corePrice_d\"><span class=\"a-offscreen\">₹', p_size, '00.00</span></div><script>\"hiRes\":\"https://m.media-amazon.com/images/I/', p_partkey, '._SL1_.jpg\"</script>') else p_name end"
+        " when 1 then concat('<span id=\"productTitle\"> ', p_name, '  x </span><div id=\"availability\"><span> In stock. </span></div><div id=\"corePrice_d\"><span class=\"a-offscreen\">₹', p_size, '00.00</span></div><script>P.when(''A'').execute({ \\'colorImages\\': { \\'initial\\': [{\"hiRes\":\"https://m.media-amazon.com/images/I/', p_partkey, '._SL1_.jpg\",\"alt\":\"a ] b\"}]}, x: 1});</script>') else p_name end"
     )
     url = F.expr("concat(if(p_partkey % 3 = 1, 'https://www.amazon.in/dp/', 'https://shop.example/'), p_partkey)")
     made = table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), html.alias("html"), F.expr("array('own.jpg')").alias("image_candidates"))
     return plugins.apply(records.complete(made), [plugins.MARKETPLACE, plugins.SHOP_SYSTEM])
 
 
+_MEDIA = "https://m.media-amazon.com/images/I/"
+
+
+@query(f"""with u as (select p_partkey, '{_MEDIA}' || p_partkey as base from part)
+ select p_partkey, array_to_string([base || 'b.jpg', base || 'b._SX90_.jpg', base || 'a.jpg', base || 'a._SX50_.jpg', base || 'o.jpg', base || 'o._AC_SL1500_.jpg',
+  base || 'h.jpg', base || 'l.jpg', base || 'l._SX9_.jpg', base || 't.jpg', base || 't._SS40_.jpg'], ' ') as links from u""")
+def gallery_pictures(spark, sf_dir):
+    base = f"'{_MEDIA}', p_partkey"
+    html = f"""concat('<div id="imgTagWrapperId"><img id="landingImage" data-old-hires="', {base}, 'o._AC_SL1500_.jpg" src="/images/G/01/play-icon.png" data-a-dynamic-image="{{&quot;', {base}, 'a._SX50_.jpg&quot;:[50,', 40 + p_size,
+     '],&quot;', {base}, 'b._SX90_.jpg&quot;:[90,100],&quot;https://other.example/c.jpg&quot;:[900,900]}}"></div><script>var obj = {{title: "[", \\'colorImages\\' : {{ "initial": [{{"large":"x","hiRes":"', {base}, 'h.jpg","alt":"one ] [[ \\\\" }}"}},',
+     '{{"hiRes":null,"large":"', replace('{_MEDIA}', 'https:', ''), p_partkey, 'l._SX9_.jpg"}},{{"mainUrl":"https://m.media-amazon.com/images/G/01/sprite-x.jpg"}}, 7]}}, more: [1,2]}};</script><ul id="altImages"><li><img src="', {base}, 't._SS40_.jpg"></ul>')"""
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(html).alias("html"))
+    return pages.select("p_partkey", F.array_join(plugins.ranked_gallery(scripts.gallery_of(F.col("html"))), " ").alias("links"))
+
+
 @query("""select p_partkey, case p_partkey % 3 when 0 then 'shop-system' when 1 then 'marketplace' end as plugin, case when p_partkey % 3 = 1 then p_name || ' x' end as title, case when p_partkey % 3 = 0 then 'M,L' end as sizes,
- case when p_partkey % 3 = 1 then 'in_stock' end as availability, case when p_partkey % 3 = 1 and p_size > 0 then p_size * 100 end as price_inr, case when p_partkey % 3 = 1 then 'https://m.media-amazon.com/images/I/' || p_partkey || '.jpg | own.jpg' else 'own.jpg' end as pictures,
+ case when p_partkey % 3 = 1 then 'in_stock' end as availability, case when p_partkey % 3 = 1 and p_size > 0 then p_size * 100 end as price_inr, case when p_partkey % 3 = 1 then 'https://m.media-amazon.com/images/I/' || p_partkey || '.jpg | https://m.media-amazon.com/images/I/' || p_partkey || '._SL1_.jpg | own.jpg' else 'own.jpg' end as pictures,
  case when p_partkey % 3 = 0 then cast(round(p_retailprice * 100) as bigint) / 100.0 end::double as lowest, case when p_partkey % 3 = 0 then 2 end as prices from part""")
 def plugin_cells(spark, sf_dir):
     low = plugins.lowest_price(F.col("html"))
