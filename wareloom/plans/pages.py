@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareloom.functions import texts, values
-from wareloom.operators import extract
+from wareloom.operators import diagnosis, extract
 from wareloom.plans.registry import query, table
 from wareloom.sources import links, page_evidence
 
@@ -31,10 +31,13 @@ _BODY = f"""concat('<body>', if(p_partkey % 7 = 0, concat('<h1>', p_name, ' <i>h
  '<img srcset="/s/files/', p_partkey, '_400x400.jpg 400w, /s/files/', p_partkey, '_900x.jpg 900w" src="../img/', replace(p_name, ' ', '-'), '.jpg" data-src="/icons/no.png"><div style="background-image: url(#x)"></div></body></html>')"""
 
 
-def _evidence(spark, sf_dir, *cells):
+def _written(spark, sf_dir):
     url = F.expr("concat('https://shop.example/products/', replace(p_name, ' ', '-'), '/', p_partkey)")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.expr(f"concat({_HEAD}, {_JSON}, {_BODY})").alias("html"))
-    return page_evidence.read_pages(part, columns=[c for cell in cells for c in extract.NEEDS[cell]])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.expr(f"concat({_HEAD}, {_JSON}, {_BODY})").alias("html"))
+
+
+def _evidence(spark, sf_dir, *cells):
+    return page_evidence.read_pages(_written(spark, sf_dir), columns=[c for cell in cells for c in extract.NEEDS[cell]])
 
 
 _SQL_CENTS = "cast(round(p_retailprice * 100) as bigint)"
@@ -180,3 +183,39 @@ _PASTE = """concat('see [shop.example/x](', url, '), thanks.\n', url, ',https://
 def pasted_links(spark, sf_dir):
     pastes = table(spark, sf_dir, "pages").select("page_id", F.expr(_PASTE).alias("paste"))
     return links.scan_texts(pastes, "page_id", "paste")
+
+
+# ---------------------------------------------------------------- diagnosis
+
+#: Every picture of a page, and whether its link has a word of the page's path: the name's words, or a key of three digits.
+_TRACED = f"""t as (select page_id, place as dom, rule, url, place = 4 or length(page_id::varchar) >= 3 as own from ({_LINKS} select * from l)
+ union all select p_partkey, 5, 'lazy', null, false from part union all select p_partkey, 6, 'background', null, false from part),
+ d as (select page_id, rule, row_number() over (partition by page_id order by dom)::int - 1 as dom_index,
+ case rule when 'lazy' then 'furniture' when 'background' then 'no link' else case when own then null else 'another product''s' end end as dropped from t)"""
+
+
+@query(f"with {_TRACED} select page_id, dom_index, rule, dropped from d")
+def photo_provenance(spark, sf_dir):
+    return diagnosis.provenance(_evidence(spark, sf_dir, "candidates")).select("page_id", "dom_index", "rule", "dropped")
+
+
+@query(f"""{_LINKS} select page_id, rule, url from l where place = 4 or length(page_id::varchar) >= 3""")
+def products_own_photos(spark, sf_dir):
+    return diagnosis.products_own(extract.candidates(_evidence(spark, sf_dir, "candidates"))).select("page_id", "rule", "url")
+
+
+@query(f"""with {_TRACED}, p as (select p_partkey as page_id, p_partkey % 5 as k from part),
+ n as (select page_id, count(*) as found, count(*) filter (dropped is null) as kept, count(*) filter (rule = 'structured') as structured, count(*) filter (dropped = 'another product''s') as others from d group by 1)
+ select p.page_id, case when k = 0 then 'no' else 'yes' end as arrived, case k when 0 then 'not reached' when 1 then 'yes' else 'no' end as bot_check,
+ case when k in (0, 1) then 'not reached' when k = 2 then 'yes' else 'no' end as sign_in, case when k in (0, 1, 2) then 'not reached' else 'no' end as gone,
+ case k when 1 then 'bot_challenge' when 2 then 'sign_in_required' end as verdict, case when k = 0 then 'not reached' when k in (1, 2) then 'no' else 'yes' end as collected,
+ case when k > 2 then found end as found, case when k > 2 then kept end as kept, case when k > 2 then structured end as structured, case when k > 2 then others end as others from p join n using (page_id)""")
+def page_reports(spark, sf_dir):
+    html = F.expr("case page_id % 5 when 1 then 'Robot Check' when 2 then 'Please sign in: Members Only' when 0 then null else 'plain' end")
+    trace = diagnosis.provenance(_evidence(spark, sf_dir, "candidates"))
+    out = diagnosis.reports(_written(spark, sf_dir).select("page_id", "url", html.alias("html")), trace, F.lit(""), F.lit(False))
+    count = lambda name, column, value: F.get(F.filter(f"images.{column}", lambda x: x[name] == value), F.lit(0))["n"]
+    return out.select(
+        "page_id", *[F.col(f"shape.{c}") for c in ("arrived", "bot_check", "sign_in", "gone", "verdict")], "images.collected", "images.found", "images.kept",
+        count("rule", "by_rule", "structured").alias("structured"), count("reason", "by_drop", "another product's").alias("others"),
+    )
