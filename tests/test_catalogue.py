@@ -4,7 +4,7 @@ import pytest
 
 from wareloom.functions import urls, values
 from wareloom.operators import ledger
-from wareloom.plans import pages, records, registry, reports, streams  # noqa: F401  (add their queries)
+from wareloom.plans import companions, pages, records, registry, reports, streams  # noqa: F401  (add their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()

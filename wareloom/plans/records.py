@@ -30,7 +30,7 @@ _FILES = (
 )
 
 
-def _records(spark, sf_dir):
+def part_records(spark, sf_dir):
     cells = [
         F.expr(f"named_struct('value', if(p_partkey % 23 = 0, null, {value}), 'confidence', {sure}, 'source', 'x', 'note', cast(null as string))").cast(records.CELL.format(records.kind_of(name))).alias(name)
         for name, value, sure in _CELLS
@@ -44,7 +44,7 @@ def _records(spark, sf_dir):
     return records.complete(made)
 
 
-_R = f"""r as (select p_partkey, p_partkey % 23 = 0 as bare, {_STATUS} as status, {_PHOTO} as photo, p_size, {', '.join(f'case when p_partkey % 23 <> 0 then {v} end as {n}, {s} as {n}_sure' for n, v, s in _CELLS)} from part)"""
+RECORDS = f"""r as (select p_partkey, p_partkey % 23 = 0 as bare, {_STATUS} as status, {_PHOTO} as photo, p_size, {', '.join(f'case when p_partkey % 23 <> 0 then {v} end as {n}, {s} as {n}_sure' for n, v, s in _CELLS)} from part)"""
 _PRESENT = [n for n, _, _ in _CELLS]
 _PICTURES = "case when photo = '' then concat('https://cdn.example/p', p_partkey, '-1.jpg') else photo end"
 
@@ -60,37 +60,37 @@ def _quoted_sql(text: str) -> str:
     return f"case when regexp_matches({text}, '[\",\\r\\n]') then '\"' || replace({text}, '\"', '\"\"') || '\"' else {text} end"
 
 
-@query(f"with {_R} select p_partkey, {' || chr(44) || '.join(_quoted_sql(_cell_sql(c)) for c in records.COLUMNS)} as line from r where status <> 'failed'")
+@query(f"with {RECORDS} select p_partkey, {' || chr(44) || '.join(_quoted_sql(_cell_sql(c)) for c in records.COLUMNS)} as line from r where status <> 'failed'")
 def listing_lines(spark, sf_dir):
-    return records.listing_lines(_records(spark, sf_dir), "p_partkey")
+    return records.listing_lines(part_records(spark, sf_dir), "p_partkey")
 
 
-_MISSING = ", ".join(f"case when {c} is null then '{c}' end" if c in _PRESENT else f"'{c}'" for c in records.REQUIRED)
-_UNSURE = ", ".join(f"case when {c} is not null and {c}_sure in ('low', 'medium') then '{c}:' || {c}_sure end" for c in _PRESENT)
+MISSING = ", ".join(f"case when {c} is null then '{c}' end" if c in _PRESENT else f"'{c}'" for c in records.REQUIRED)
+UNSURE = ", ".join(f"case when {c} is not null and {c}_sure in ('low', 'medium') then '{c}:' || {c}_sure end" for c in _PRESENT)
 _DEPTHS = " || ".join(
     f"case when {c} is null then '0' else case {c}_sure when 'high' then '3' when 'medium' then '2' when 'low' then '1' else '0' end end" if c in _PRESENT else "'-'" if c == "gi_region" else "'3'" if c == "image_urls" else "'0'"
     for c in records.COLUMNS
 )
 
 
-@query(f"""with {_R} select p_partkey, status, case when p_partkey % 17 = 0 then 'f1 | f2' else '' end as flags, array_to_string(list_filter([{_MISSING}], lambda x: x is not null), ' | ') as missing,
- array_to_string(list_filter([{_UNSURE}], lambda x: x is not null), ' | ') as unsure, {_DEPTHS} as depths, case when p_partkey % 13 = 0 then 'look' else '' end as notes
+@query(f"""with {RECORDS} select p_partkey, status, case when p_partkey % 17 = 0 then 'f1 | f2' else '' end as flags, array_to_string(list_filter([{MISSING}], lambda x: x is not null), ' | ') as missing,
+ array_to_string(list_filter([{UNSURE}], lambda x: x is not null), ' | ') as unsure, {_DEPTHS} as depths, case when p_partkey % 13 = 0 then 'look' else '' end as notes
  from r where status <> 'failed' and not bare""")
 def review_rows(spark, sf_dir):
-    return records.review_rows(_records(spark, sf_dir), "p_partkey")
+    return records.review_rows(part_records(spark, sf_dir), "p_partkey")
 
 
-@query(f"""with {_R} select p_partkey, coalesce(cast(price_inr as varchar), '') as price_inr, photo as image_url, case when photo = '' then 'https://cdn.example/p' || p_partkey || '-1.jpg' else photo end as image_1,
+@query(f"""with {RECORDS} select p_partkey, coalesce(cast(price_inr as varchar), '') as price_inr, photo as image_url, case when photo = '' then 'https://cdn.example/p' || p_partkey || '-1.jpg' else photo end as image_1,
  'https://x.example/' || p_partkey || '.png' as image_2, '' as image_3, 2 as image_count, 'https://x.example/other.jpg' as rejected_image_urls, p_size as width from r""")
 def listings_with_images(spark, sf_dir):
-    wide = records.with_images(_records(spark, sf_dir), "p_partkey")
+    wide = records.with_images(part_records(spark, sf_dir), "p_partkey")
     return wide.select("p_partkey", "price_inr", "image_url", "image_1", "image_2", "image_3", "image_count", "rejected_image_urls", F.col("width").cast("int").alias("width"))
 
 
 @query("""select p_partkey, 1 as place, 'https://cdn.example/p' || p_partkey || '-1.jpg' as hosted_url, 'a/1.jpg' as local_path, p_size::bigint as bytes from part
  union all select p_partkey, 2, '', 'a/2.jpg', 9 from part""")
 def image_manifest(spark, sf_dir):
-    return records.manifest(_records(spark, sf_dir), "p_partkey").select("p_partkey", "place", "hosted_url", "local_path", "bytes")
+    return records.manifest(part_records(spark, sf_dir), "p_partkey").select("p_partkey", "place", "hosted_url", "local_path", "bytes")
 
 
 @query("""select p_partkey as line, '''-' || p_brand as mine, case when p_size % 12 >= 1 then 'https://a.example/' || p_partkey || '/1' else '' end as image_url_1,
@@ -101,10 +101,10 @@ def image_link_table(spark, sf_dir):
     return records.image_links(found, "line", "links", ["mine"]).select("line", "mine", "image_url_1", "image_url_10", "image_url_11")
 
 
-@query(f"""with {_R} select p_partkey, case when title is null or title_sure = 'low' then 'second' else title end as title, case when title is not null and title_sure <> 'low' then title_sure when title is null then 'medium' else 'medium' end as title_sure,
+@query(f"""with {RECORDS} select p_partkey, case when title is null or title_sure = 'low' then 'second' else title end as title, case when title is not null and title_sure <> 'low' then title_sure when title is null then 'medium' else 'medium' end as title_sure,
  coalesce(price_inr, 5) as price_inr, case when bare or weight_g is null then 9 when weight_g_sure = 'low' then 9 else weight_g end as weight_g, status, p_partkey % 2 = 0 as pictures from r""")
 def merged_rendering(spark, sf_dir):
-    made = _records(spark, sf_dir)
+    made = part_records(spark, sf_dir)
     cell = lambda v, sure, n: F.struct(F.lit(v).alias("value"), F.lit(sure).alias("confidence"), F.lit("y").alias("source"), F.lit(None).alias("note")).cast(records.CELL.format(records.kind_of(n))).alias(n)
     more = F.expr("if(p_partkey % 2 = 0, array('a', 'b', 'c'), array('a'))")
     # a second title is only surer than a low one; a price of low confidence fills gaps alone
@@ -116,20 +116,20 @@ def merged_rendering(spark, sf_dir):
     )
 
 
-@query(f"""with {_R}, f as (select *, title is null as failed, description is null as nothing from r),
+@query(f"""with {RECORDS}, f as (select *, title is null as failed, description is null as nothing from r),
  s as (select *, case when failed then 'failed' when status = 'ok' and (nothing or title_sure = 'low') then 'needs_review' else status end as after from f)
  select p_partkey, case when after = 'ok' and p_partkey % 2 = 1 then 'needs_review' else after end as status, p_partkey % 2 = 1 and not nothing as verbatim,
  (case when p_partkey % 13 = 0 then 1 else 0 end + failed::int + (p_partkey % 2 = 1)::int)::bigint as notes from s""")
 def gated_records(spark, sf_dir):
-    theirs = records.flagged(_records(spark, sf_dir)).withColumn("provenance", F.expr("if(p_partkey % 2 = 1, 'third_party', 'own')"))
+    theirs = records.flagged(part_records(spark, sf_dir)).withColumn("provenance", F.expr("if(p_partkey % 2 = 1, 'third_party', 'own')"))
     out = records.provenance_gate(theirs, raw_description=True)
     return out.select("p_partkey", "status", F.array_contains("flags", "description is verbatim").alias("verbatim"), F.size("notes").cast("long").alias("notes"))
 
 
-@query(f"""with {_R} select p_partkey, (case when p_partkey % 5 = 0 then 'ask me · ' else '' end) || 'Source: https://shop.example/' || p_partkey || case when weight_g is not null then ' · Weight: ' || weight_g || ' g' else '' end
+@query(f"""with {RECORDS} select p_partkey, (case when p_partkey % 5 = 0 then 'ask me · ' else '' end) || 'Source: https://shop.example/' || p_partkey || case when weight_g is not null then ' · Weight: ' || weight_g || ' g' else '' end
  || case when length_cm is not null then ' · Size: ' || length_cm || ' x 7 x 2 cm · Options: S,M' else '' end || ' · Listed on source at ' || (p_size * 10) || ' USD' as note from r""")
 def seller_notes(spark, sf_dir):
-    made = _records(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    made = part_records(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     note = records.seller_note(F.expr("if(p_partkey % 5 = 0, 'ask me', '')"), F.col("p_size") * 10.0, F.lit("USD"))
     return made.select("p_partkey", note.alias("note"))
 
