@@ -133,9 +133,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_periodic_runs,
     )
 }
+#: The SQL is for small tables: it compares all sets that share a shingle, and counts bytes one by one.
 #: A shard's score for a key, in SQL: what ``sharding.best_shard`` says.
 _SCORE = f"ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || k), 1, 13) as bigint) + 0.5) / {2.0**sharding.BITS})"
 SQL: dict[str, str] = {
+    "op1_chat_format": rf"""
+with t as (
+  select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id, turn order by role nulls first, text nulls first) as twin from (
+    select conv_id, turn, role, text from conversations
+    union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}')),
+r as (
+  select conv_id, coalesce(turn, -1) as turn, turn is not null as known, twin, coalesce(role, '') as role, text, role = 'assistant' as learned,
+    '### ' || case role when 'user' then 'User' when 'assistant' then 'Assistant' when 'system' then 'System' else '=' || regexp_replace(coalesce(role, ''), '([\\#<:])', '\\\1', 'g') end
+      || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || ' </turn>' || chr(10) as segment
+  from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by known, turn, twin)) as turns_sha256,
+  coalesce(sum(length(text)) filter (learned), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by known, turn, twin) filter (learned), '')) as loss_sha256,
+  sum(length(segment))::bigint as formatted_chars
+from r group by conv_id""",
+    "op6_ngram_jaccard_join": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) end) as s from d),
+-- texts with one set are one class
+c as (select min(doc_id) as rep, list(doc_id) as members, s, len(s) as n from (select doc_id, list_sort(s) as s from s) where len(s) > 0 group by s),
+x as (select rep, n, unnest(s) as shingle from c),
+p as (select a.rep as a, b.rep as b from x a join x b on a.shingle = b.shingle and a.rep < b.rep and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+reach(a, b) as (select rep, rep from c union select r.a, e.b from reach r join e on r.b = e.a),
+g as (select a, min(b) as component from reach group by a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(g.component, s.doc_id) as component_id
+from s left join (select unnest(members) as doc_id, rep from c) m on m.doc_id = s.doc_id left join g on g.a = m.rep""",
+    "op10_benchmark_decontamination": r"""
+with i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+v as (
+  select distinct item_id, least(len(w), 10) as size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: w[k : k + 9])) as piece from i where len(w) > 0),
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+o as (
+  select doc_id, size, k, w[k : k + size - 1] as piece from (
+    select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from d, (select distinct size from v) where len(w) >= size)),
+h as (select o.doc_id, o.k, o.size, v.item_id from o join v on v.size = o.size and v.piece = o.piece),
+n as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(k, k + size)) as k from h) group by doc_id),
+m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join m using (doc_id)""",
     "op12_sharding": f"""
 with halves as (
   -- what four shifts of CRC-32 make of each half byte
