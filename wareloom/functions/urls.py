@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,11 +84,32 @@ def without_params(url: Column, names: list[str]) -> Column:
     return F.when(query == "", url).otherwise(F.concat(start, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)), fragment))
 
 
+def _base_letters() -> tuple[str, str]:
+    """Small Latin letters with marks, and what each is without them."""
+    marked = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block if chr(c).islower()]
+    base = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in marked}
+    plain = {c: b for c, b in base.items() if len(b) == 1 and b.isascii()}
+    return "".join(plain), "".join(plain.values())
+
+
+#: Letters that are written as two, or have no mark to take away.
+_SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŧ": "t", "ŋ": "n", "ĳ": "ij"}
+
+
+def unmarked(text: Column) -> Column:
+    """Text in lower case with Latin letters as their base letters and no marks of their own; other scripts' letters stay."""
+    out = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), *_base_letters())
+    for letter, plain in _SPELLED.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
+
+
 def row_key(canonical_url: Column) -> Column:
-    """A readable key: host and path as a slug of up to 60 characters, and 8 digits of the link's SHA-1."""
-    slug = F.trim(F.regexp_replace(F.lower(F.concat(host(canonical_url), F.regexp_extract(canonical_url, r"://[^/?#]*([^?#]*)", 1))), "[^a-z0-9]+", "-"), F.lit("-"))
+    """A readable key: host and path as a slug of up to 60 characters, Latin letters without marks, and 8 digits of the
+    link's SHA-1; these alone if nothing readable is left."""
+    slug = F.trim(F.regexp_replace(unmarked(F.concat(host(canonical_url), F.regexp_extract(canonical_url, r"://[^/?#]*([^?#]*)", 1))), "[^a-z0-9]+", "-"), F.lit("-"))
     cut = F.when(F.length(slug) <= 60, slug).otherwise(F.regexp_replace(F.substring(slug, 1, 61), "-[^-]*$", ""))
-    return F.concat(F.substring(cut, 1, 60), F.lit("-"), F.substring(F.sha1(canonical_url), 1, 8))
+    return F.concat_ws("-", F.nullif(F.substring(cut, 1, 60), F.lit("")), F.substring(F.sha1(canonical_url), 1, 8))
 
 
 def photo_identity(url: Column) -> Column:
