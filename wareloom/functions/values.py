@@ -110,9 +110,12 @@ def has_keyword(text: Column, keyword: str, plural: bool = True) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """A size in bytes, KB or MB with one decimal; halves go to the even digit."""
+    # format_string alone would round halves up
+    tenths = lambda unit: F.bround(n / unit, 1)
     return (
         F.when(n.isNull(), "?")
         .when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024))
-        .otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+        .when(n < 1024 * 1024, F.format_string("%.1f KB", tenths(1024)))
+        .otherwise(F.format_string("%.1f MB", tenths(1024 * 1024)))
     )
