@@ -303,3 +303,23 @@ def test_quality(spark):
     got = {x.doc_id: x.rejected for x in quality.score_quality(frame(spark, rows)).collect()}
     assert {k for k, bad in got.items() if bad} == {k for k in range(200) if k % 5 == 0}
     assert quality.score_quality(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("d", [8, 64, 384])
+def test_a_vector_stands_in_few_caps(d):
+    a = np.random.default_rng(d).standard_normal((200, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.mean([len(x) for x in embeddings.ProductCode(d).decode(a)]) < 24
+
+
+def test_groups_of_near_vectors_in_tiles(spark, monkeypatch):
+    """Groups over several tiles, whose members link for the most part but not all, some of them more than once there."""
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    r = np.random.default_rng(6)
+    base = np.repeat(r.standard_normal((2, 32)), [250, 90], axis=0)
+    v = np.concatenate((base + 0.33 * r.standard_normal(base.shape), base[:1], base[:1], base[:1])).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    got = {x.vec_id: x.n_links for x in embeddings.near_duplicates(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    share = [got[k] / max(1, near[k].sum() - 1) for k in got]
+    assert max(share) <= 1 and np.mean(share) > 0.985 and 0.2 < near[:250, :250].mean() < 0.98
