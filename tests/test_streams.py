@@ -135,3 +135,32 @@ def test_batches_behind_a_gap_are_not_read_again(spark, tmp_path):
     assert spark.read.schema("i long").parquet(f"{tmp_path}/rows/out/batch=*").count() == 0
     spans = spark.read.parquet(f"{tmp_path}/rows/state/batch=2").where("batch >= 0").collect()
     assert sum(s.stop - s.start for s in spans) == 49 + 40 + 20
+
+
+def test_keys_that_share_a_value_of_state(spark, tmp_path):
+    """Many keys in two buckets, and the calls to the store go by buckets."""
+    r = random.Random(5)
+    names = [f"k{n}" for n in range(40)]
+    batches = [[(r.choice(names), 1000 * b + k, r.randrange(900), r.choices(["request", "failed", "done", "refused", "answered", "clear"], [8, 4, 1, 8, 3, 1])[0], r.choice(["A1", "B"])) for k in range(500)] for b in range(3)]
+    schema = "key string, id long, ts long, kind string, rung string"
+
+    def start(s):
+        keyed.write_updates(keyed.let_through(s.drop("rung"), buckets=2), f"{tmp_path}/tries", f"{tmp_path}/c").awaitTermination()
+        return keyed.write_updates(keyed.ask_hosts(s.withColumnRenamed("key", "host"), threshold=3, delay=0.0001, buckets=2), f"{tmp_path}/hosts", f"{tmp_path}/d")
+
+    run(spark, tmp_path, schema, batches, start)
+    tries = {(x.key, x.id, x.attempt) for x in spark.read.schema(keyed.TRIES).parquet(f"{tmp_path}/tries/batch=*").collect()}
+    hosts = {(x.host, x.id): (x.verdict, x.starts_at, x.streak, x.longest, x.rung) for x in spark.read.schema(keyed.HOSTS).parquet(f"{tmp_path}/hosts/batch=*").collect()}
+    want = set()
+    for key in names:
+        done, running, n, state = False, False, 0, {"streak": 0, "longest": 0, "rung": None, "free": 0}
+        for rows in batches:
+            own = sorted((ts, i, kind, rung) for k, i, ts, kind, rung in rows if k == key)
+            for _, i, kind, _ in own:
+                if kind == "request" and not done and not running:
+                    running, n = True, n + 1
+                    want.add((key, i, n))
+                running, done = running and kind != "failed", done or kind == "done"
+            for i, *says in walk([(i, ts, kind, rung) for ts, i, kind, rung in own if kind in ("refused", "answered", "clear")], 3, 100, state):
+                assert hosts.pop((key, i)) == tuple(says)
+    assert tries == want and not hosts
