@@ -29,9 +29,11 @@ def of_product(url: Column, page_url: Column) -> Column:
 def products_own(found: DataFrame, key: str = "page_id", url: str = "url", page_url: str = "page_url") -> DataFrame:
     """``found`` without pictures that aren't the product's own, on pages where any is; elsewhere all stay. Order and
     other columns are as they were; a picture without a page's link stays."""
-    marked = found.withColumn("_own", F.coalesce(of_product(F.col(url), F.col(page_url)), F.lit(True)))
-    named = found.where(F.col(page_url).isNotNull() & of_product(F.col(url), F.col(page_url))).select(F.col(key).alias("_page")).distinct()
-    return marked.join(named, F.col(key).eqNullSafe(F.col("_page")), "left").where("_own or _page is null").drop("_own", "_page")
+    own = of_product(F.col(url), F.col(page_url))
+    marked = found.withColumn("_own", own)
+    # a page's pictures are a page's worth; ``found`` is read once, as what it is made of costs far more than this
+    named = F.max(F.coalesce(F.col(page_url).isNotNull() & F.col("_own"), F.lit(False))).over(Window.partitionBy(key))
+    return marked.withColumn("_named", named).where("coalesce(_own, true) or not _named").drop("_own", "_named")
 
 
 def provenance(evidence: DataFrame, key: str = "page_id") -> DataFrame:
@@ -40,8 +42,8 @@ def provenance(evidence: DataFrame, key: str = "page_id") -> DataFrame:
     raw = evidence.select(key, F.col("url").alias("_page_url"), "base", F.posexplode("images").alias("dom_index", "x")).select(key, "_page_url", "base", "dom_index", "x.rule", F.col("x.url").alias("raw"))
     shots = raw.withColumn("url", urls.without_params(texts.absolute(F.col("base"), F.col("raw")), urls.IMAGE_TRACKING))
     early = F.when(F.col("url").isNull(), DROPS[0]).when(texts.rejected(F.col("url")), DROPS[1])
-    shots = shots.withColumn("_early", early)
-    # a page's pictures are a page's worth
+    # a page's pictures are a page's worth; dealt by page once, they are where both windows need them
+    shots = shots.withColumn("_early", early).repartition(key)
     same = Window.partitionBy(key, "url", F.col("_early").isNull()).orderBy("dom_index")
     shots = shots.withColumn("_early", F.coalesce("_early", F.when(F.row_number().over(same) > 1, DROPS[2])))
     alive = F.col("_early").isNull()

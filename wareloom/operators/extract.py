@@ -222,7 +222,8 @@ def candidates(evidence: DataFrame, key: str = "page_id") -> DataFrame:
     shots = shots.select(key, "page_url", "dom_index", link.alias("url"), "x.rule", "x.width").where("url is not null")
     shots = shots.where(~texts.rejected(F.col("url")))
     first = F.min_by(F.struct("dom_index", "rule", "width"), "dom_index").alias("x")
-    return shots.groupBy(key, "page_url", "url").agg(first).select(key, "page_url", "url", "x.*")
+    # dealt by page once, they are where this and what sorts a page's pictures need them
+    return shots.repartition(key).groupBy(key, "page_url", "url").agg(first).select(key, "page_url", "url", "x.*")
 
 
 def ordered(found: DataFrame, key: str = "page_id", least: int = 800, pool: int = 12) -> DataFrame:

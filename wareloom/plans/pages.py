@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wareloom.functions import texts, values
 from wareloom.operators import diagnosis, extract, intake
-from wareloom.plans.registry import query, table
+from wareloom.plans.registry import dealt, query, table
 from wareloom.sources import links, page_evidence
 
 _CENTS = "cast(round(p_retailprice * 100) as bigint)"
@@ -33,11 +33,11 @@ _BODY = f"""concat('<body>', if(p_partkey % 7 = 0, concat('<h1>', p_name, ' <i>h
 
 def _written(spark, sf_dir):
     url = F.expr("concat('https://shop.example/products/', replace(p_name, ' ', '-'), '/', p_partkey)")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.expr(f"concat({_HEAD}, {_JSON}, {_BODY})").alias("html"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.expr(f"concat({_HEAD}, {_JSON}, {_BODY})").alias("html"))
 
 
 def _evidence(spark, sf_dir, *cells):
-    return page_evidence.read_pages(_written(spark, sf_dir), columns=[c for cell in cells for c in extract.NEEDS[cell]])
+    return page_evidence.read_pages(_written(spark, sf_dir), columns=[c for cell in cells for c in extract.NEEDS[cell]], spread=False)
 
 
 _SQL_CENTS = "cast(round(p_retailprice * 100) as bigint)"

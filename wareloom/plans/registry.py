@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores by their key: short rows from which long texts are made, so that their few splits don't make
+    all of these, nor the texts themselves move."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # ---------------------------------------------------------------- links and plans
 
 _TRACKING = "|".join(urls.TRACKING)
