@@ -20,3 +20,8 @@ def test_pages_are_read_once_and_made_where_they_are_read(spark, name):
     below = said[said.index("MapInArrow") :].split("\n")
     dealt = [line for line in below if "Repartition" in line][0]
     assert re.search(r"RepartitionByExpression \[p_partkey", dealt), dealt
+
+
+@pytest.mark.parametrize("name", ["gallery_pictures", "plugin_cells"])
+def test_texts_are_made_by_all_cores(spark, name):
+    assert re.search(r"RepartitionByExpression \[p_partkey", plan(spark, name))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wareloom.functions import texts, urls
 from wareloom.operators import checks, plugins, records, reports
-from wareloom.plans.registry import _OUTCOME, _outcomes, query, table
+from wareloom.plans.registry import _OUTCOME, _outcomes, dealt, query, table
 from wareloom.scratch import fresh_path
 from wareloom.sources import readers, scripts
 from wareloom.streaming import outcomes as streams
@@ -170,7 +170,7 @@ def _shop_pages(spark, sf_dir):
         " when 1 then concat('<span id=\"productTitle\"> ', p_name, '  x </span><div id=\"availability\"><span> In stock. </span></div><div id=\"corePrice_d\"><span class=\"a-offscreen\">₹', p_size, '00.00</span></div><script>P.when(''A'').execute({ \\'colorImages\\': { \\'initial\\': [{\"hiRes\":\"https://m.media-amazon.com/images/I/', p_partkey, '._SL1_.jpg\",\"alt\":\"a ] b\"}]}, x: 1});</script>') else p_name end"
     )
     url = F.expr("concat(if(p_partkey % 3 = 1, 'https://www.amazon.in/dp/', 'https://shop.example/'), p_partkey)")
-    made = table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), html.alias("html"), F.expr("array('own.jpg')").alias("image_candidates"))
+    made = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", url.alias("url"), html.alias("html"), F.expr("array('own.jpg')").alias("image_candidates"))
     return plugins.apply(records.complete(made), [plugins.MARKETPLACE, plugins.SHOP_SYSTEM])
 
 
@@ -185,7 +185,7 @@ def gallery_pictures(spark, sf_dir):
     html = f"""concat('<div id="imgTagWrapperId"><img id="landingImage" data-old-hires="', {base}, 'o._AC_SL1500_.jpg" src="/images/G/01/play-icon.png" data-a-dynamic-image="{{&quot;', {base}, 'a._SX50_.jpg&quot;:[50,', 40 + p_size,
      '],&quot;', {base}, 'b._SX90_.jpg&quot;:[90,100],&quot;https://other.example/c.jpg&quot;:[900,900]}}"></div><script>var obj = {{title: "[", \\'colorImages\\' : {{ "initial": [{{"large":"x","hiRes":"', {base}, 'h.jpg","alt":"one ] [[ \\\\" }}"}},',
      '{{"hiRes":null,"large":"', replace('{_MEDIA}', 'https:', ''), p_partkey, 'l._SX9_.jpg"}},{{"mainUrl":"https://m.media-amazon.com/images/G/01/sprite-x.jpg"}}, 7]}}, more: [1,2]}};</script><ul id="altImages"><li><img src="', {base}, 't._SS40_.jpg"></ul>')"""
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(html).alias("html"))
+    pages = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(html).alias("html"))
     return pages.select("p_partkey", F.array_join(plugins.ranked_gallery(scripts.gallery_of(F.col("html"))), " ").alias("links"))
 
 
