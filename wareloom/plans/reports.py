@@ -209,6 +209,15 @@ def delimited_upload(spark, sf_dir):
     return readers.read_delimited(spark, path).select("key", "link", F.get("more_links", F.lit(0)).alias("second"), "name")
 
 
+#: Bytes of the smallest and the largest split of an export. A task sorts the lines of its splits.
+LEAST_SPLIT, MOST_SPLIT = 10_000, 8 << 20
+
+
+def split_size(total: int) -> int:
+    """Bytes of a split of an export: small enough that records lie across them, and never more as the export grows."""
+    return min(MOST_SPLIT, max(LEAST_SPLIT, total // 24))
+
+
 @query("""select o_orderkey, o_orderkey || chr(10) || 'say "' || o_orderpriority || '", ' || chr(10) as note, o_orderstatus || '"' as mark from orders""")
 def quoted_export(spark, sf_dir):
     path = fresh_path(spark, "export")
@@ -217,7 +226,7 @@ def quoted_export(spark, sf_dir):
     orders.write.csv(path, header=True, escape='"', ignoreTrailingWhiteSpace=False)
     # small splits, so that records lie across them at every size
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    size = max(10_000, sum(f["length"] for f in spark.read.format("binaryFile").load(path).select("length").collect()) // 24)
+    size = split_size(sum(f["length"] for f in spark.read.format("binaryFile").load(path).select("length").collect()))
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
         rows = readers.read_export(spark, path).select(F.col("o_orderkey").cast("long"), "note", "mark")
