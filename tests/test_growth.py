@@ -27,6 +27,11 @@ def test_texts_are_made_by_all_cores(spark, name):
     assert re.search(r"RepartitionByExpression \[p_partkey", plan(spark, name))
 
 
+@pytest.mark.parametrize("name", ["photo_best_copy", "image_rank"])
+def test_shots_are_made_by_all_cores(spark, name):
+    assert re.search(r"RepartitionByExpression \[p_partkey", plan(spark, name))
+
+
 def test_splits_of_an_export_are_bounded():
     assert reports.split_size(1000) == 10_000 and reports.split_size(24_000_000) == 1_000_000
     assert reports.split_size(10**10) == reports.split_size(10**12) <= 8 << 20

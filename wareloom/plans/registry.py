@@ -417,7 +417,7 @@ _SHOTS = """select p_partkey as page, n as dom_index, 'https://cdn.example.com/i
 
 def _shots(spark, sf_dir):
     n = spark.range(6).select(F.col("id").alias("n"))
-    part = table(spark, sf_dir, "part").crossJoin(F.broadcast(n))
+    part = dealt(table(spark, sf_dir, "part"), "p_partkey").crossJoin(F.broadcast(n))
     return part.select(
         F.col("p_partkey").alias("page"), F.col("n").alias("dom_index"),
         F.expr("'https://cdn.example.com/img/p' || p_partkey || '-' || (n div 2) || case n % 2 when 0 then '_800x800' else '' end || '.jpg'").alias("url"),
