@@ -195,6 +195,48 @@ def test_jaccard(spark, monkeypatch, crowd):
     assert got == {k: (len(sets[k]), find(k) if k is not None else None) for k in sets}
 
 
+def near_crowd(n):
+    """Parts of a text, which head its lists as smallest sets but link with nothing, and copies of it all but for some words."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[:150]), " ".join(base[50:])]
+    for _ in range(n):
+        own = list(base)
+        for k in r.sample(range(200), r.randint(1, 4)):
+            own[k] = f"x{r.randrange(100_000)}"
+        texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def test_crowds_make_no_rows_by_pairs(spark, monkeypatch):
+    """Two ids to a row are tables of pairs: of no group there may be as many as the square of its members."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 4)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "SET_TILE", 16, raising=False)
+    made, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if {"a", "b"} <= set(out.columns):
+            made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rows = near_crowd(150)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    words = {k: t.split() for k, t in rows}
+    sets = {k: set(zip(w, w[1:], w[2:])) for k, w in words.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    least, before = {k: k for k in sets}, None
+    while least != before:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert len(links) > 5 * len(rows) and len(set(least.values())) > 5
+    assert max(made.values()) <= 4 * len(rows), sorted(made.items())
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((40, 64))

@@ -12,6 +12,7 @@
 4. Bits in which two bitmaps differ are shingles that one set has alone, so bitmaps bound the intersection from above:
    pairs that can't link go without moving a set. What is left is verified on whole sets, which are made again for the
    documents concerned only, first one partner for each, then the others that are still in different components.
+   Members of long lists are verified in tiles, which give forests of links: pairs aren't written there.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ KEPT_WHOLE = 64
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Lists of up to SHORT_LIST members pair them as rows; longer ones are compared in tiles of about TILE members.
 SHORT_LIST, TILE = 16, 256
+#: Sets of a tile in which whole sets are compared, and their hashes, at most.
+SET_TILE, TILE_HASHES = 1024, 1 << 20
 #: Partners of one document in one verification block, and bits of the filter on documents concerned.
 BLOCK, FILTER_BITS = 256, 1 << 24
 #: Document numbers that may be broadcast.
@@ -321,64 +324,165 @@ def resolve(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule, w
     return links.unionAll(more)
 
 
-def crowd_pairs(crowds: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of different components among the members of each crowd that sizes and bitmaps don't rule out.
+def crowd_members(crowds: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(head, band, c, component, guest, n, bits): the members of each crowd (head, c, component) by bands of sizes.
 
-    ``crowds``: head, c, component. Sizes of linked sets lie in the same or in neighbouring bands, so members meet
-    by band. The members of the head's component link already; the others are strangers, compared with each other and
-    with the head's component in pairs of tiles of bounded size (a crowd's band of up to TILE members is one tile).
+    Sizes of linked sets lie in the same or in neighbouring bands, so a member stands in its own band and is a guest in
+    the one below. Guests of a band meet each other in their own.
     """
     step = float(np.log(rule.den / rule.num))
-    heads = crowds.where("c = head").select("head", F.col("component").alias("own"))
-    members = crowds.join(heads, "head").join(classes.select("c", "n", "bits"), "c")
-    members = members.withColumn("stranger", F.col("component") != F.col("own"))
-    # a band may also hold what rounding puts into the next one
+    members = crowds.select("head", "c", "component").join(classes.select("c", "n", "bits"), "c")
+    # rounding may put a size into either of two bands; it has a place in both
     low, high = (F.floor(F.log(F.col("n") * F.lit(x)) / step).cast("int") for x in (1 - 1e-9, 1 + 1e-9))
-    members = members.withColumn("band", F.explode(F.array_distinct(F.array(low, high, low - 1))))
-    sizes = members.groupBy("head", "band").agg(
-        F.ceil(F.count_if("stranger") / TILE).cast("int").alias("ts"),
-        F.when(F.count("*") > TILE, F.ceil(F.count_if(~F.col("stranger")) / TILE)).otherwise(0).cast("int").alias("ta"),
+    members = members.withColumn("low", low).withColumn("band", F.explode(F.array_distinct(F.array("low", high, F.col("low") - 1))))
+    return members.select("head", "band", "c", "component", (F.col("band") < F.col("low")).alias("guest"), "n", "bits")
+
+
+def crowd_sizes(members: DataFrame) -> DataFrame:
+    """A row for each crowd's band in which members of different components can link.
+
+    ``own`` is its commonest component; r0, r1, r2, r3 count the others' members, those of ``own``, and the guests of each.
+    """
+    parts = members.groupBy("head", "band", "component").agg(
+        F.count_if(~F.col("guest")).alias("here"), F.count_if("guest").alias("guests"), F.max("n").alias("most")
     )
-    members = members.join(sizes.where("ts > 0"), ["head", "band"]).withColumn("h", F.xxhash64("c"))
-    members = members.withColumn("tile", F.expr("cast(case when stranger then pmod(h, ts) when ta > 0 then ts + pmod(h, ta) else 0 end as int)"))
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, if(stranger, ts + ta, ts) - 1)")))
-    tiles = members.select("head", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "c", "component", "tile", "n", "bits")
-    num, den = rule.num, rule.den
+    largest = F.max(F.struct((F.col("here") + F.col("guests")).alias("size"), "component", "here", "guests")).alias("x")
+    whole = parts.groupBy("head", "band").agg(largest, F.sum("here").alias("h"), F.sum("guests").alias("g"), F.max("most").alias("most"), F.count("*").alias("k"))
+    rest = [F.col("h") - F.col("x.here"), F.col("x.here"), F.col("g") - F.col("x.guests"), F.col("x.guests")]
+    return whole.where("k > 1 and h > 0").select("head", "band", F.col("x.component").alias("own"), "most", *[c.alias(f"r{k}") for k, c in enumerate(rest)])
 
-    def compare(batches: Iterator) -> Iterator:
+
+def in_tiles(members: DataFrame, scratch: Scratch, size: str, once: bool = False) -> DataFrame:
+    """``members`` with tile, i and j: rows of one (head, band, i, j) are the members of two tiles, or of one.
+
+    A tile has about ``size`` members, an expression over ``most``, the largest set's size. All pairs of tiles stand
+    there but those of one component and those of guests alone; a band of up to ``size`` members is one tile. With
+    ``once``, each member stands in one tile and tiles aren't paired.
+    """
+    sizes = crowd_sizes(members).withColumn("size", F.expr(size)).withColumn("few", F.expr("r0 + r1 + r2 + r3 <= size"))
+    kinds = [F.expr(f"cast(if(few, {int(not k)}, ceil(r{k} / size)) as int)").alias(f"t{k}") for k in range(4)]
+    # written, so that both sides of the join are plain exchanges, of which Spark can split the one of a large crowd
+    sizes = scratch.write(sizes.select("head", "band", "own", "few", F.expr("cast(ceil((r0 + r1 + r2 + r3) / size) as int)").alias("all"), *kinds), "sizes")
+    rows = members.join(sizes, ["head", "band"]).withColumn("h", F.xxhash64("c"))
+    if once:
+        rows = rows.withColumn("tile", F.expr("cast(pmod(h, all) as int)"))
+        return rows.select(*members.columns, "tile", F.col("tile").alias("i"), F.col("tile").alias("j"))
+    rows = rows.withColumn("kind", F.expr("if(few, 0, if(guest, 2, 0) + if(component = own, 1, 0))"))
+    start = "element_at(array(0, t0, t0 + t1, t0 + t1 + t2), kind + 1)"
+    rows = rows.withColumn("tile", F.expr(f"cast({start} + pmod(h, element_at(array(t0, t1, t2, t3), kind + 1)) as int)"))
+    meets = "case kind when 0 then true when 1 then o < t0 or o between t0 + t1 and t0 + t1 + t2 - 1 when 2 then o < t0 + t1 else o < t0 end"
+    rows = rows.withColumn("other", F.explode(F.expr(f"filter(sequence(0, t0 + t1 + t2 + t3 - 1), o -> {meets})")))
+    return rows.select(*members.columns, "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+
+
+class _Tiles:
+    """The members of two tiles, and which pairs of them sizes and bitmaps don't rule out."""
+
+    def __init__(self, rows: list[tuple], group: tuple, rule: Rule):
+        self.c, self.component, tile, guest, self.n, bits = (np.array(x, dtype=np.int64) if k < 5 else x for k, x in enumerate(list(zip(*rows))[:6]))
+        size = min(map(len, bits))
+        words = np.concatenate([_folded([x], size) for x in bits])
+        self.left = np.flatnonzero(tile == group[2])
+        self.right = self.left if group[2] == group[3] else np.flatnonzero(tile == group[3])
+        n, left, right = self.n, self.left[:, None], self.right[None, :]
+        apart = np.zeros((left.size, right.size), dtype=np.int64)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[left, w] ^ words[right, w])
+        both = np.minimum((n[left] + n[right] - apart) // 2, np.minimum(n[left], n[right]))
+        self.fits = (both * rule.den >= rule.num * (n[left] + n[right] - both)) & (self.component[left] != self.component[right])
+        self.fits &= (guest[left] & guest[right]) == 0
+
+
+def _tiles(batches: Iterable, columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of each (head, band, i, j) of sorted batches, if there are two at least."""
+    group, rows = None, []
+    for batch in batches:
+        own = [_rows_of(batch.column(x)) if x == "grams" else batch.column(x).to_pylist() for x in columns]
+        for head, band, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("head", "band", "i", "j")), *own, strict=True):
+            if group != (head, band, i, j):
+                if len(rows) > 1:
+                    yield group, rows
+                group, rows = (head, band, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield group, rows
+
+
+def near_members(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The ``members`` of crowds that, by sizes and bitmaps, may link with one of another component; written."""
+
+    def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        group, rows = None, []
-
-        def pairs():
-            key, component, side, n, bits = zip(*rows, strict=True)
-            key, component, side, n = (np.array(x, dtype=np.int64) for x in (key, component, side, n))
-            size = min(map(len, bits))
-            words = np.concatenate([_folded([x], size) for x in bits])
-            left = np.flatnonzero(side == group[2])
-            right = left if group[2] == group[3] else np.flatnonzero(side == group[3])
-            apart = np.zeros((len(left), len(right)), dtype=np.int64)
-            for w in range(words.shape[1]):
-                apart += np.bitwise_count(words[left, w][:, None] ^ words[right, w][None, :])
-            sums = n[left][:, None] + n[right][None, :]
-            both = np.minimum((sums - apart) // 2, np.minimum(n[left][:, None], n[right][None, :]))
-            x, y = np.nonzero((both * den >= num * (sums - both)) & (component[left][:, None] != component[right][None, :]))
-            a, b = key[left[x]], key[right[y]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for group, rows in _tiles(batches, ["c", "component", "tile", "guest", "n", "bits"]):
+            x = _Tiles(rows, group, rule)
+            near = np.unique(np.concatenate((x.left[x.fits.any(axis=1)], x.right[x.fits.any(axis=0)])))
+            if len(near):
+                head, band = (pa.array(np.full(len(near), v), kind) for v, kind in ((group[0], pa.int64()), (group[1], pa.int32())))
+                yield pa.RecordBatch.from_arrays([head, band, pa.array(x.c[near])], ["head", "band", "c"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("head", "band", "i", "j", "c", "component", "tile", "n", "bits")]
-            for head, band, i, j, *row in zip(*columns, strict=True):
-                if group != (head, band, i, j):
-                    if len(rows) > 1:
-                        yield pairs()
-                    group, rows = (head, band, i, j), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield pairs()
+    tiles = in_tiles(members, scratch, f"{TILE}").repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j")
+    near = tiles.mapInArrow(look, "head long, band int, c long").distinct()
+    return scratch.write(members.join(near, ["head", "band", "c"], "left_semi"), "near")
 
-    dealt = tiles.repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+def tile_links(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, of_a, of_b): in each group of ``tiles`` links, and their ends' components, that join all that its links join.
+
+    Whole sets are compared, and pairs that the links found in the group have joined no more: a group of any links has
+    fewer rows here than members.
+    """
+    num, den = rule.num, rule.den
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group, rows in _tiles(batches, ["c", "component", "tile", "guest", "n", "bits", "grams"]):
+            x, grams, out = _Tiles(rows, group, rule), [r[6] for r in rows], []
+            label = x.component.copy()
+            for k in np.flatnonzero(x.fits.any(axis=1)).tolist():
+                one = int(x.left[k])
+                near = x.right[x.fits[k] & (label[x.right] != label[one])]
+                if not len(near):
+                    continue
+                own, others = grams[one], np.concatenate([grams[y] for y in near])
+                hits = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others)))
+                both = np.diff(hits[np.concatenate(([0], np.cumsum(x.n[near])))])
+                for y in near[both * den >= num * (x.n[one] + x.n[near] - both)].tolist():
+                    if label[y] != label[one]:
+                        label[label == label[y]] = label[one]
+                        out.append((x.c[one], x.c[y], x.component[one], x.component[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b", "of_a", "of_b"])
+
+    rows = tiles.join(sets, "c").repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j")
+    return rows.mapInArrow(compare, "a long, b long, of_a long, of_b long")
+
+
+def crowd_links(docs: DataFrame, crowds: DataFrame, classes: DataFrame, rule: Rule, words: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that, with the components there are, join all that links among members of a crowd join; written.
+
+    ``crowds``: head, c, component. Members that may link with another component are compared on whole sets, first in
+    one tile each, then, those of different components still, in all pairs of tiles. No list of pairs is ever made: a
+    member costs a row for each tile it meets, and links are a forest of each group of tiles.
+    """
+    size = f"greatest(1, least({SET_TILE}, {TILE_HASHES} div most))"
+    members = scratch.write(crowd_members(crowds, classes, rule), "members")
+    near = near_members(members, rule, scratch)
+    scratch.drop(members)
+    concerned = classes.select("c", "doc_id", "f1", "f2").join(near.select("c").distinct(), "c", "left_semi")
+    concerned = scratch.write(concerned, "concerned")
+    sets = scratch.write(whole_sets(docs, concerned, words), "sets")
+    links = scratch.write(tile_links(in_tiles(near, scratch, size, once=True), sets, rule), "tile-links")
+    joined = connected_components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    left = near.join(joined, "component", "left").withColumn("component", F.coalesce("now", "component")).select(*near.columns)
+    left = scratch.write(left, "left")
+    apart = near_members(left, rule, scratch)
+    more = scratch.write(tile_links(in_tiles(apart, scratch, size), sets, rule), "more-links")
+    scratch.drop(near, concerned, sets, left, apart)
+    scratch.release()
+    return links.select("a", "b").unionAll(more.select("a", "b"))
 
 
 def light_boundary(sizes: dict[int, int], rule: Rule, members: float) -> int:
@@ -534,10 +638,12 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, similarity: tuple[
     )
     pairs = scratch.write(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "pairs")
     crowds = scratch.write(large.select("head", "c", "component").distinct(), "crowds")
-    more = may_link(pairs, classes, rule).unionAll(crowd_pairs(crowds, classes, rule)).distinct()
-    more = scratch.write(more, "more-pairs")
-    scratch.drop(pairs, crowds)
+    more = scratch.write(may_link(pairs, classes, rule), "more-pairs")
+    scratch.drop(pairs)
     links = links.unionAll(resolve(docs, more, classes, rule, words, scratch))
+    if not crowds.isEmpty():
+        links = links.unionAll(crowd_links(docs, crowds, classes, rule, words, scratch))
+    scratch.drop(crowds)
 
     reps = lambda x: classes.select(F.col("c").alias(x), F.col("doc_id").alias(f"doc_{x}"))
     links = links.join(reps("a"), "a").join(reps("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
